@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, external_shuffle, media, merkle_audit
+from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, packing, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,31 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_read(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.exact_top_k(vectors, F.col("key") % 50 == 0, k=5)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(documents.where(F.col("doc_id").isNotNull() & ~held))
+    found = language_id.predict(documents, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_merkle_fixity_audit": op1_merkle_fixity_audit,
     "op2_external_shuffle": op2_external_shuffle,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_best_two_fit": op7_best_two_fit,
+    "op8_norm_bucketed_topk": op8_norm_bucketed_topk,
+    "op9_language_id": op9_language_id,
     "op10_audio_features": op10_audio_features,
 }
 
@@ -73,6 +94,15 @@ _SIDE = """
     GROUP BY ALL"""
 
 ORACLES = {
+    "op8_norm_bucketed_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op1_merkle_fixity_audit": f"""
 WITH damaged AS (
     SELECT page_id, url, CASE WHEN page_id % 997 = 3 THEN html || '!' ELSE html END AS html
