@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, packing, topk_search
+from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, packing, suffix_dedup, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", external_shuffle.shard_of(F.col("doc_id"), 25).alias("grown_shard"))
 
 
+def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"))
     return byte_bpe.id_digests(byte_bpe.decode_documents(ids))
@@ -79,6 +83,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_merkle_fixity_audit": op1_merkle_fixity_audit,
     "op2_external_shuffle": op2_external_shuffle,
+    "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_norm_bucketed_topk": op8_norm_bucketed_topk,
@@ -94,6 +99,15 @@ _SIDE = """
     GROUP BY ALL"""
 
 ORACLES = {
+    "op3_suffix_tree_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM windows WHERE s IN (SELECT s FROM again)),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (rid, j) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)""",
     "op8_norm_bucketed_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
