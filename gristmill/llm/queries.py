@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, packing, suffix_dedup, topk_search
+from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, near_dedup, packing, suffix_dedup, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op4_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"))
     return byte_bpe.id_digests(byte_bpe.decode_documents(ids))
@@ -84,6 +88,7 @@ QUERIES = {
     "op1_merkle_fixity_audit": op1_merkle_fixity_audit,
     "op2_external_shuffle": op2_external_shuffle,
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
+    "op4_superminhash_near_dedup": op4_superminhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_norm_bucketed_topk": op8_norm_bucketed_topk,
@@ -108,6 +113,21 @@ words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM
 kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (rid, j) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)""",
+    "op4_superminhash_near_dedup": r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM t UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM t JOIN least ON least.u = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
     "op8_norm_bucketed_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
