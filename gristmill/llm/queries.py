@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, near_dedup, packing, suffix_dedup, topk_search
+from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, near_dedup, packing, pii, suffix_dedup, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.concat("base", "added")).alias("spans"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_read(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -90,6 +96,7 @@ QUERIES = {
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
     "op4_superminhash_near_dedup": op4_superminhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_norm_bucketed_topk": op8_norm_bucketed_topk,
     "op9_language_id": op9_language_id,
