@@ -185,6 +185,18 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
 
 
+def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language is known and not rejected, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            kept = [not rejected for _, _, rejected in model.predict(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(kept))], ["row"])
+
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+
+
 def held_out(key: Column) -> Column:
     """Whether a row is kept from learning: the CRC-32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(4)) == 2, F.lit(False))

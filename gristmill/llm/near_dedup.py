@@ -219,3 +219,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     found = seen.select("key", *same).join(named, same, "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
+    """The rows of ``df`` that ``near_duplicates`` keeps: one of each group, and one of rows equal in all columns.
+
+    Rows without an id all stay.
+    """
+    judged = near_duplicates(df, key, text, percent, agree)
+    ids = judged.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("kept").drop("kept")
+    kept = df.join(ids, key)
+    again = kept.where("copies > 1").select(*df.columns).dropDuplicates()
+    return kept.where("copies = 1").select(*df.columns).unionByName(again).unionByName(df.where(df[key].isNull()))

@@ -157,6 +157,14 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with its text's signature and word count."""
+    for batch in slices(batches, "text"):
+        words, bounds = hashed_words(_texts(batch))
+        sign = _signatures(words, bounds)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(np.diff(bounds), pa.int64())], ["row", "t1", "t2", "n_words"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature and compressed text; a text that comes again in a task is left out."""
     press, seen = zstandard.ZstdCompressor(level=3), set()
@@ -314,12 +322,31 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     return seen.select(F.col("key").alias(key), "t1", "t2", "n_words", "all_sha256"), left
 
 
+def _copied(seen: DataFrame) -> DataFrame:
+    """Texts that occur more than once and hold a window."""
+    groups = seen.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("n_words").alias("w"))
+    return groups.where(f"n > 1 and w >= {WINDOW}").select("t1", "t2", F.lit(True).alias("copied"))
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with repeated words removed from their texts.
+
+    A text in which nothing repeats stays as it is; a row of which nothing is left goes.
+    """
+    seen, left = repeated_text(df, key, text)
+    judged = left.select("t1", "t2", "kept").join(_copied(seen), ["t1", "t2"], "full")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"))
+    signed = rows.mapInArrow(_signed, f"row {rows.schema['row'].dataType.simpleString()}, t1 bigint, t2 bigint, n_words bigint")
+    new = F.when(F.col("copied"), "").otherwise(F.coalesce("kept", f"row.{text}"))
+    out = signed.join(judged, ["t1", "t2"], "left").withColumn("new", new).where("n_words = 0 or new <> ''")
+    return out.select(*[F.col("new").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of each document."""
     seen, left = repeated_text(df, key, text)
     digests = left.select("t1", "t2", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    copies = seen.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("n_words").alias("w")).where(f"n > 1 and w >= {WINDOW}").select("t1", "t2", F.lit(True).alias("copied"))
-    judged = digests.join(copies, ["t1", "t2"], "full")
+    judged = digests.join(_copied(seen), ["t1", "t2"], "full")
     every = seen.join(judged, ["t1", "t2"], "left")
     return every.select(
         key,
