@@ -315,7 +315,8 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     n = max(1, -(-cool.count() // bucket_rows))
     trees = cool.groupBy(F.pmod("anchor", F.lit(n)).alias("bucket")).applyInArrow(_group, _COVER)
     place = F.struct("t1", "t2", "place")
-    windows = hot.groupBy("anchor", "whole").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor", "whole")
+    # written, so that the join deals both sides out anew and can split a frequent window
+    windows = table(hot.groupBy("anchor", "whole").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor", "whole"), "windows")
     whole = hot.join(windows, ["anchor", "whole"]).select("t1", "t2", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
     cover = trees.unionByName(whole).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
     left = held.select("t1", "t2", "packed").join(cover, ["t1", "t2"]).mapInArrow(_removed, "t1 bigint, t2 bigint, n_removed bigint, kept string")
