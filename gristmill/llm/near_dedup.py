@@ -216,7 +216,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     joined = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     named = classes.select(*same, "node").join(joined, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    found = seen.select("key", *same).join(named, same, "left")
+    # written, so that the join deals both sides out anew and can split a large group of copies
+    found = seen.select("key", *same).join(table(named, "named"), same, "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
