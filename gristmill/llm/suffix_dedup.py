@@ -335,7 +335,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     A text in which nothing repeats stays as it is; a row of which nothing is left goes.
     """
     seen, left = repeated_text(df, key, text)
-    judged = left.select("t1", "t2", "kept").join(_copied(seen), ["t1", "t2"], "full")
+    judged = table(left.select("t1", "t2", "kept").join(_copied(seen), ["t1", "t2"], "full"), "judged")
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"))
     signed = rows.mapInArrow(_signed, f"row {rows.schema['row'].dataType.simpleString()}, t1 bigint, t2 bigint, n_words bigint")
     new = F.when(F.col("copied"), "").otherwise(F.coalesce("kept", f"row.{text}"))
@@ -347,7 +347,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of each document."""
     seen, left = repeated_text(df, key, text)
     digests = left.select("t1", "t2", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    judged = digests.join(_copied(seen), ["t1", "t2"], "full")
+    judged = table(digests.join(_copied(seen), ["t1", "t2"], "full"), "judged")
     every = seen.join(judged, ["t1", "t2"], "left")
     return every.select(
         key,
