@@ -139,7 +139,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's signature, word count, digest of all its words and distinct anchors."""
+    """Each document's signature, word count, digest of all its words and distinct anchors with their numbers."""
     for batch in slices(batches, "text"):
         texts = _texts(batch)
         words, bounds = hashed_words(texts)
@@ -148,12 +148,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
         new = np.flatnonzero((np.diff(h, prepend=0) != 0) | (np.diff(owner, prepend=-1) != 0))
-        twice = np.diff(np.append(new, len(h))) > 1
+        times = np.diff(np.append(new, len(h)))
         sums = [sha256(b" ".join(t.split())).hexdigest() for t in texts]
         n = len(texts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(np.diff(bounds), pa.int64()), pa.array(sums), _lists(h[new], owner[new], n, pa.int64()), _lists(twice, owner[new], n, pa.bool_())],
-            ["key", "t1", "t2", "n_words", "all_sha256", "anchors", "twice"],
+            [batch.column("key"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(np.diff(bounds), pa.int64()), pa.array(sums), _lists(h[new], owner[new], n, pa.int64()), _lists(times, owner[new], n, pa.int64())],
+            ["key", "t1", "t2", "n_words", "all_sha256", "anchors", "times"],
         )
 
 
@@ -304,10 +304,10 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    seen = table(rows.mapInArrow(_survey, f"key {kind}, t1 bigint, t2 bigint, n_words bigint, all_sha256 string, anchors array<bigint>, twice array<boolean>"), "survey")
-    places = seen.select("t1", "t2", F.inline(F.arrays_zip("anchors", "twice"))).withColumnRenamed("anchors", "anchor")
-    counted = places.groupBy("anchor").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("twice").alias("twice"), F.count("*").alias("n"))
-    again = counted.where("a <> b or twice").select("anchor", (F.col("n") > group_rows).alias("frequent"))
+    seen = table(rows.mapInArrow(_survey, f"key {kind}, t1 bigint, t2 bigint, n_words bigint, all_sha256 string, anchors array<bigint>, times array<bigint>"), "survey")
+    places = seen.select("t1", "t2", F.inline(F.arrays_zip("anchors", "times"))).withColumnRenamed("anchors", "anchor")
+    counted = places.groupBy("anchor").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.max("times").alias("most"), F.sum("times").alias("n"))
+    again = counted.where("a <> b or most > 1").select("anchor", (F.col("n") > group_rows).alias("frequent"))
     wanted = places.select("t1", "t2", "anchor").join(again, "anchor").groupBy("t1", "t2").agg(F.collect_set(F.expr("if(frequent, null, anchor)")).alias("cool"), F.collect_set(F.expr("if(frequent, anchor, null)")).alias("hot"))
     held = table(rows.mapInArrow(_packed, "t1 bigint, t2 bigint, packed binary").join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"]), "held")
     stretches = table(held.mapInArrow(_stretches, _STRETCH), "stretches")
