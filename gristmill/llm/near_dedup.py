@@ -39,7 +39,7 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 26, 5
 AGREE = 84
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 300_000
 
 
 def shingle_sets(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
