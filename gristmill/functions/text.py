@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, and the scripts written without spaces.
@@ -22,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, evaluated once for each row.
+
+    A one-row generator keeps the optimizer from copying them into later filters and projections, which would
+    evaluate costly expressions again wherever they are used.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def trim(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, F.lit(f"^[{SPACES}]+|[{SPACES}]+\\z"), F.lit(""))
@@ -80,5 +89,9 @@ def strip_non_linguistic(text: Column) -> Column:
 def runs(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens, joined by spaces; none if there are fewer tokens."""
     none = F.expr("cast(array() as array<string>)")
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) < n, none).otherwise(many)
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+        return F.when(F.size(w) < n, none).otherwise(many)
+
+    return let(tokens, of)

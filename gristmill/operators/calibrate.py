@@ -63,7 +63,7 @@ def calibrate_long(rows: DataFrame, false_positive_rate: float = 0.001, min_gap:
     at = [0.5, 0.9, 0.99, 0.999, 1 - false_positive_rate]
     stats = counted.groupBy("code", "mode").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("score") > 0, F.col("n")).otherwise(0)).alias("non_zero"), F.min("score").alias("min"), F.max("score").alias("max"),
-        F.percentile("score", at, "n").alias("p"),
+        F.percentile("score", at, F.col("n")).alias("p"),
     )
     gaps = _gaps(counted, min_gap).withColumnsRenamed({"code": "g_code", "mode": "g_mode"})
     both = stats.join(gaps, (F.col("code") == F.col("g_code")) & F.col("mode").eqNullSafe(F.col("g_mode")), "left")

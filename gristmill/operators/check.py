@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import json_result, redundancy_spans
-from ..functions.text import excerpt, trim, words
+from ..functions.text import excerpt, stage, trim, words
 from . import detectors as d
 
 CODES = ("EMPTY", "TOO_SHORT", "REPETITION", "TAIL_LOOP", "LOW_ENTROPY", "TRUNCATED", "INVALID_JSON", "SCRIPT_MISMATCH", "PROMPT_ECHO", "LANG_MISMATCH")
@@ -74,7 +74,8 @@ def _reason(code: str, score: Column, threshold: Column, message: Column, mode:
 def measures(df: DataFrame, text: Column, o: CheckOptions, prefix: str = "_m_") -> tuple[DataFrame, dict[str, tuple]]:
     """``df`` with a column for each enabled detector's score, and ``code -> (score, threshold, message, mode)``."""
     spans = redundancy_spans(text, o.redundancy_scope) if o.redundancy_scope == "jsonValues" else None
-    staged = df.withColumns({f"{prefix}text": text, f"{prefix}words": words(text)} | ({f"{prefix}spans": spans} if spans is not None else {}))
+    staged = df.withColumn(f"{prefix}spans", spans) if spans is not None else df
+    staged = stage(staged, {f"{prefix}text": text, f"{prefix}words": words(text)})
     t, w = F.col(f"{prefix}text"), F.col(f"{prefix}words")
     scores: dict[str, Column] = {"EMPTY": d.emptiness_score(t)}
     if o.min_length > 0:
@@ -104,7 +105,9 @@ def measures(df: DataFrame, text: Column, o: CheckOptions, prefix: str = "_m_")
         scores["PROMPT_ECHO"] = d.prompt_echo_detail(t, o.prompt, non_spaced_cutoff=o.non_spaced_cutoff)
     if o.expect_lang is not None:
         scores["LANG_MISMATCH"] = d.language_mismatch_score(t, o.expect_lang, tokens=w)
-    staged = staged.withColumns({f"{prefix}{code}": score for code, score in scores.items()})
+    from_python = {code: score for code, score in scores.items() if code in ("LOW_ENTROPY", "INVALID_JSON", "TRUNCATED")}
+    staged = staged.withColumns({f"{prefix}{code}": score for code, score in from_python.items()})
+    staged = stage(staged, {f"{prefix}{code}": score for code, score in scores.items() if code not in from_python})
     m = {code: F.col(f"{prefix}{code}") for code in scores}
     out: dict[str, tuple] = {"EMPTY": (m["EMPTY"], F.lit(0.5), F.lit("Response contains no usable content."), None)}
     if "TOO_SHORT" in m:

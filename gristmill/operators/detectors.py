@@ -256,9 +256,8 @@ def prompt_echo_detail(
 
     def score(tokens, size: int) -> Column:
         def of(both: Column) -> Column:
-            out = runs(both["out"], size)
-            common = F.array_intersect(out, runs(both["src"], size))
-            hits = F.size(F.filter(out, lambda r: F.array_contains(common, r)))
+            found = let(F.struct(runs(both["out"], size).alias("out"), runs(both["src"], size).alias("src")), lambda x: F.struct(x["out"].alias("out"), F.array_intersect(x["out"], x["src"]).alias("common")))
+            hits = let(found, lambda x: F.size(F.filter(x["out"], lambda r: F.array_contains(x["common"], r))))
             few = (F.size(both["out"]) < max(min_tokens, size)) | (F.size(both["src"]) < size)
             return F.when(few, F.lit(0.0)).otherwise(clamp01(hits / F.greatest(F.size(both["out"]) - (size - 1), F.lit(1))))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import stage, trim
 from ..operators.check import PRESETS, CheckOptions, check_output
 from ..operators.verdicts import check_arguments, check_preamble, merge_verdicts
 
@@ -203,12 +203,12 @@ SURFACES = {"openai_chat": CHAT, "openai_responses": RESPONSES, "anthropic": MES
 def read_envelopes(df: DataFrame, surface: str | Surface, response: str = "response", request: str | None = None) -> DataFrame:
     """``df`` with ``text``, ``has_tool_calls``, ``finish_reason``, ``arguments`` and, given a request column, ``prompt``."""
     s = SURFACES[surface] if isinstance(surface, str) else surface
-    parsed = df.withColumn("_response", F.try_parse_json(response)).withColumn("_request", F.try_parse_json(request) if request else F.lit(None))
+    parsed = stage(df, {"_response": F.try_parse_json(response)} | ({"_request": F.try_parse_json(request)} if request else {}))
     value = F.col("_response")
     found = {"text": F.coalesce(s.text(value), F.lit("")), "has_tool_calls": F.coalesce(s.has_tool_calls(value), F.lit(False)), "finish_reason": s.finish_reason(value), "arguments": s.arguments(value)}
     if request:
         found["prompt"] = F.nullif(s.prompt(F.col("_request")), F.lit(""))
-    return parsed.withColumns(found).drop("_response", "_request")
+    return stage(parsed, found).drop("_response", "_request")
 
 
 def read_stream_events(df: DataFrame, surface: str | Surface, event: str = "event") -> DataFrame:
@@ -216,7 +216,7 @@ def read_stream_events(df: DataFrame, surface: str | Surface, event: str = "even
     s = SURFACES[surface] if isinstance(surface, str) else surface
     value = F.col("_event")
     found = {"delta": F.coalesce(s.delta(value), F.lit("")), "tool_call": F.coalesce(s.event_tool_call(value), F.lit(False)), "finish_reason": s.event_finish_reason(value)}
-    return df.withColumn("_event", F.try_parse_json(event)).withColumns(found).drop("_event")
+    return stage(df, {"_event": F.try_parse_json(event)}).withColumns(found).drop("_event")
 
 
 def score_envelopes(df: DataFrame, key: list[str], surface: str | Surface, options: CheckOptions | str, response: str = "response", request: str | None = None, check_tool_arguments: bool = False, check_prompt_echo: bool = False) -> DataFrame:

@@ -72,7 +72,7 @@ def document_positions(positions: Column) -> Column:
     start = F.struct(F.lit(DOCUMENT_FROM).cast("long").alias("due"), F.expr("cast(array() as array<bigint>)").alias("at"))
 
     def step(a: Column, p: Column) -> Column:
-        settled = F.coalesce(F.element_at(F.reverse(a["at"]), 1) >= DOCUMENT_SAMPLE, F.lit(False))
+        settled = F.coalesce(F.array_max(a["at"]) >= DOCUMENT_SAMPLE, F.lit(False))
         return F.when((p >= a["due"]) & ~settled, F.struct((p * 2).alias("due"), F.concat(a["at"], F.array(p)).alias("at"))).otherwise(a)
 
     return F.aggregate(positions, start, step)["at"]
@@ -118,7 +118,7 @@ def _advance(state: dict, chunk: str, s: Schedule) -> Iterator[tuple[int, str, s
         yield n, "document", state["text"][:DOCUMENT_SAMPLE]
 
 
-def _step(s: Schedule):
+def _step(s: Schedule, silence_ms: int | None):
     names = [part.split()[0] for part in _STATE.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -145,20 +145,22 @@ def _step(s: Schedule):
             if state["done"]:
                 state["text"], state["pending"] = "", "{}"
             held.update(tuple(state[n] for n in names))
-            held.setTimeoutDuration(600_000)
+            if silence_ms:
+                held.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(out, columns=["response_id", "at_chars", "kind", "span", "finish_reason"])
 
     return run
 
 
-def spans_to_judge(chunks: DataFrame, s: Schedule = Schedule()) -> DataFrame:
+def spans_to_judge(chunks: DataFrame, s: Schedule = Schedule(), silence_ms: int | None = None) -> DataFrame:
     """Spans due for judgement in a stream ``(response_id, seq, delta, finish_reason, is_end)``.
 
-    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait.  A response
-    that stays silent for ten minutes is ended.
+    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait.  With
+    ``silence_ms`` a response that stays silent for so long is ended; such a query runs until it is stopped.
     """
     rows = chunks.select("response_id", "seq", "delta", "finish_reason", "is_end")
-    return rows.groupBy("response_id").applyInPandasWithState(_step(s), SPAN, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("response_id").applyInPandasWithState(_step(s, silence_ms), SPAN, _STATE, "append", timeout)
 
 
 def judge(spans: DataFrame, options: CheckOptions | str) -> DataFrame:
@@ -172,6 +174,26 @@ def judge(spans: DataFrame, options: CheckOptions | str) -> DataFrame:
     return spans.select("response_id", "at_chars", "kind", verdict.alias("verdict"))
 
 
+def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Texts as the chunks ``(response_id, seq, delta, finish_reason, is_end)`` they might have come in."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    last = F.greatest(F.ceil(F.length(whole) / size) - 1, F.lit(0)).cast("int")
+    rows = df.select(F.col(key).cast("string").alias("response_id"), whole.alias("_text"), last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    return rows.select(
+        "response_id", F.col("_i").cast("long").alias("seq"), F.substring(F.col("_text"), F.col("_i") * size + 1, F.lit(size)).alias("delta"),
+        F.lit(None).cast("string").alias("finish_reason"), (F.col("_i") == F.col("_last")).alias("is_end"),
+    )
+
+
+def run_to_table(spans: DataFrame, options: CheckOptions | str, path: str) -> DataFrame:
+    """Judge a stream of spans until its input is used up; ``path`` gets the verdicts and the checkpoint."""
+    spark = spans.sparkSession
+    write = lambda batch, _: judge(batch, options).write.mode("append").parquet(f"{path}/verdicts")
+    query = spans.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/verdicts")
+
+
 def first_failures(judged: DataFrame) -> DataFrame:
     """One row for each response that fails: where it first does, and why.  For batches and ``foreachBatch``."""
     rows = judged.where(~F.col("verdict.ok"))
