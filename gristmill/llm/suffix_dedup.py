@@ -186,7 +186,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around repeated anchors; for frequent anchors (``hot``), the hashes of their windows."""
+    """The words around repeated anchors; for frequent anchors (``hot``), the hashes of the windows they stand in."""
     for batch, texts in _unpacked(batches, []):
         words, bounds = hashed_words(texts)
         h, place, owner, first, last = anchors(words, bounds)
@@ -211,17 +211,17 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             window = np.zeros(len(s), np.uint64)
             for j in range(WINDOW):
                 window += words[s + j] * power[j]
-            own = np.repeat(owner[at], n)
-            yield _stretch(np.repeat(h[at], n), t1[own], t2[own], s - start[own], np.zeros(len(s), np.int64), None, _mix(window).view(np.int64))
+            wholes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(_mix(window).view(np.int64)))
+            yield _stretch(h[at], t1[owner[at]], t2[owner[at]], first[at] - start[owner[at]], np.zeros(len(at), np.int64), None, wholes)
 
 
-def _stretch(h: np.ndarray, t1: np.ndarray, t2: np.ndarray, place: np.ndarray, left: np.ndarray, spans: list[bytes] | None, window: np.ndarray | None) -> pa.RecordBatch:
+def _stretch(h: np.ndarray, t1: np.ndarray, t2: np.ndarray, place: np.ndarray, left: np.ndarray, spans: list[bytes] | None, wholes: pa.Array | None) -> pa.RecordBatch:
     n = len(h)
     columns = [pa.array(h), pa.array(t1), pa.array(t2), pa.array(place, pa.int64()), pa.array(left, pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(spans if spans is not None else [None] * n, pa.binary()), pa.array(window, pa.int64()) if window is not None else pa.nulls(n, pa.int64())], ["anchor", "t1", "t2", "place", "left", "span", "whole"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(spans if spans is not None else [None] * n, pa.binary()), wholes if wholes is not None else pa.nulls(n, pa.list_(pa.int64()))], ["anchor", "t1", "t2", "place", "left", "span", "wholes"])
 
 
-_STRETCH = "anchor bigint, t1 bigint, t2 bigint, place bigint, left int, span binary, whole bigint"
+_STRETCH = "anchor bigint, t1 bigint, t2 bigint, place bigint, left int, span binary, wholes array<bigint>"
 _COVER = "t1 bigint, t2 bigint, start bigint, stop bigint"
 
 
@@ -296,6 +296,24 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["t1", "t2", "n_removed", "kept"])
 
 
+def _frequent(hot: DataFrame) -> DataFrame:
+    """Repeated windows around frequent anchors, by counting only.
+
+    Equal stretches are counted first: if one occurs again, all its windows do.  The windows of
+    distinct stretches are then counted once for each, and only stretches that occur once look theirs up.
+    """
+    stretch = F.xxhash64("anchor", "wholes")
+    rows = hot.select("anchor", stretch.alias("stretch"), "wholes", "t1", "t2", "place")
+    distinct = table(rows.groupBy("anchor", "stretch", "wholes").agg(F.count("*").alias("n")), "stretches-distinct")
+    windows = distinct.select("anchor", "n", F.explode("wholes").alias("whole")).groupBy("anchor", "whole").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "whole")
+    single = distinct.where("n = 1").select("anchor", "stretch", F.posexplode("wholes").alias("at", "whole"))
+    looked_up = single.join(table(windows, "windows"), ["anchor", "whole"]).groupBy("anchor", "stretch").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    every = distinct.where("n > 1").select("anchor", "stretch", F.lit(0).alias("low"), (F.size("wholes") - 1).alias("high"))
+    # written, so that the join deals both sides out anew and can split a frequent stretch
+    judged = table(looked_up.unionByName(every), "stretches-judged")
+    return rows.join(judged, ["anchor", "stretch"]).select("t1", "t2", (F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high") + WINDOW).alias("stop"))
+
+
 def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """All documents, and what is left of each distinct text that holds repeats.
 
@@ -311,14 +329,10 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     wanted = places.select("t1", "t2", "anchor").join(again, "anchor").groupBy("t1", "t2").agg(F.collect_set(F.expr("if(frequent, null, anchor)")).alias("cool"), F.collect_set(F.expr("if(frequent, anchor, null)")).alias("hot"))
     held = table(rows.mapInArrow(_packed, "t1 bigint, t2 bigint, packed binary").join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"]), "held")
     stretches = table(held.mapInArrow(_stretches, _STRETCH), "stretches")
-    cool, hot = stretches.where("whole is null"), stretches.where("whole is not null")
+    cool, hot = stretches.where("wholes is null"), stretches.where("wholes is not null")
     n = max(1, -(-cool.count() // bucket_rows))
     trees = cool.groupBy(F.pmod("anchor", F.lit(n)).alias("bucket")).applyInArrow(_group, _COVER)
-    place = F.struct("t1", "t2", "place")
-    # written, so that the join deals both sides out anew and can split a frequent window
-    windows = table(hot.groupBy("anchor", "whole").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor", "whole"), "windows")
-    whole = hot.join(windows, ["anchor", "whole"]).select("t1", "t2", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
-    cover = trees.unionByName(whole).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
+    cover = trees.unionByName(_frequent(hot)).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
     left = held.select("t1", "t2", "packed").join(cover, ["t1", "t2"]).mapInArrow(_removed, "t1 bigint, t2 bigint, n_removed bigint, kept string")
     return seen.select(F.col("key").alias(key), "t1", "t2", "n_words", "all_sha256"), left
 
