@@ -69,8 +69,8 @@ def token_mode(text: Column, cutoff: float = 0.5) -> Column:
 
 
 def clamp01(value: Column) -> Column:
-    """The value within 0 and 1; 0 for NaN."""
-    return F.when(F.isnan(value), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+    """The value within 0 and 1; 0 for NaN, null for null."""
+    return F.when(F.isnan(value), F.lit(0.0)).when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def excerpt(text: Column, most: int = 80) -> Column:

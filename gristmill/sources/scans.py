@@ -90,8 +90,15 @@ def extract_scores(line: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``label`` (path) and ``text``: one row for each whole file."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("label"), F.col("value").alias("text"))
+    """``label`` (path) and ``text``: one row for each whole file.
+
+    Scans skip empty files, so the list of files is joined back; an empty file has an empty text.
+    """
+    files = spark.read.text(paths, wholetext=True)
+    name = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    labels = spark.createDataFrame([(f,) for f in files.inputFiles()], "label string").select(name(F.col("label")).alias("label"))
+    texts = files.select(name(F.col("_metadata.file_path")).alias("label"), F.col("value").alias("text"))
+    return labels.join(texts, "label", "left").select("label", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
