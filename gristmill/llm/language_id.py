@@ -105,7 +105,7 @@ def sample(labelled: DataFrame, text: str, label: str, key: str, rows: int = SAM
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()  # at most LANGUAGES rows
     if not counts:
-        return known.limit(0)
+        return known.withColumn("draw", F.lit(0).cast("long")).limit(0)
     each = max(1, rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(SEED), key, text), F.lit(1 << 30))
     share = F.lit(0.0)

@@ -14,7 +14,8 @@ a union-find of the block at once, so a block returns at most a forest.  Verifie
 ``100 * |A & B| >= percent * |A | B|`` on the full sets of 64-bit shingle hashes.
 
 With 26 bands of 5 rows a pair of similarity 0.85 misses all buckets with a probability of 3e-7;
-at 84 of 130 equal positions the filter of a block misses it with about 1e-9.
+at 84 of 130 equal positions the filter of a block misses it with about 1e-9.  For a similarity of 0.8, 32 bands
+of 4 rows miss with 5e-8, and 75 of 128 equal positions with about 1e-9.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing.  Rows
 without an id link with nothing and are kept.  Repeated rows are one class and get equal results.
@@ -108,7 +109,7 @@ def _raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int) -> Iterator[pa.RecordBatch]:
     """Size, 128-bit digest and buckets of each document's set."""
     for batch in slices(batches, "text"):
         h, bounds = shingle_sets(_raw(batch, "text"))
@@ -118,7 +119,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(full):
             digest[full, 0] = np.add.reduceat(_mix(h), bounds[:-1][full])
             digest[full, 1] = np.add.reduceat(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
-        bands = _bands(super_minhash(h, bounds))
+        bands = _bands(super_minhash(h, bounds, n_bands * n_rows), n_bands, n_rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel()))
         s = digest.view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists], ["key", "n", "s1", "s2", "bands"])
@@ -130,12 +131,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([press.compress(t) for t in _raw(batch, "text")], pa.binary())], ["node", "packed"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
     """The full set and one byte of each value of the signature."""
     open_ = zstandard.ZstdDecompressor()
     for batch in slices(batches, "packed", 1 << 20):
         h, bounds = shingle_sets([open_.decompress(x) for x in batch.column("packed").to_pylist()])
-        marks = (_mix(super_minhash(h, bounds)) & np.uint64(255)).astype(np.uint8)
+        marks = (_mix(super_minhash(h, bounds, m)) & np.uint64(255)).astype(np.uint8)
         raw = h.tobytes()
         sets = [raw[a * 8 : b * 8] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in marks], pa.binary())], ["node", "shingles", "marks"])
@@ -188,10 +189,10 @@ def _block(percent: int, agree: int):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE, bands: int = BANDS, rows_each: int = ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` of each document."""
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
-    seen = table(rows.mapInArrow(_survey, "key bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "survey")
+    seen = table(rows.mapInArrow(lambda batches: _survey(batches, bands, rows_each), "key bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "survey")
     same = ["s1", "s2", "n"]
     classes = seen.where("key is not null and n > 0").groupBy(*same).agg(F.min("key").alias("node"), F.first("bands").alias("bands"))
     buckets = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -199,7 +200,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     members = table(buckets.join(groups, "band"), "members")
     stars = members.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
     texts = rows.select(F.col("key").alias("node"), "text").where("node is not null").mapInArrow(_packed, "node bigint, packed binary")
-    sets = table(texts.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("packed").alias("packed")).mapInArrow(_sets, "node bigint, shingles binary, marks binary"), "sets")
+    sets = table(texts.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("packed").alias("packed")).mapInArrow(lambda batches: _sets(batches, bands * rows_each), "node bigint, shingles binary, marks binary"), "sets")
     first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     links = table(stars.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify(percent), "u bigint, v bigint"), "links")
@@ -222,13 +223,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE, bands: int = BANDS, rows_each: int = ROWS) -> DataFrame:
     """The rows of ``df`` that ``near_duplicates`` keeps: one of each group, and one of rows equal in all columns.
 
     Rows without an id all stay.
     """
-    judged = near_duplicates(df, key, text, percent, agree)
-    ids = judged.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("kept").drop("kept")
+    judged = near_duplicates(df, key, text, percent, agree, bands, rows_each)
+    ids = judged.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("_copies")).where("kept").drop("kept")
     kept = df.join(ids, key)
-    again = kept.where("copies > 1").select(*df.columns).dropDuplicates()
-    return kept.where("copies = 1").select(*df.columns).unionByName(again).unionByName(df.where(df[key].isNull()))
+    again = kept.where("_copies > 1").select(*df.columns).dropDuplicates()
+    return kept.where("_copies = 1").select(*df.columns).unionByName(again).unionByName(df.where(df[key].isNull()))
