@@ -202,7 +202,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = words.tobytes()
         spans = [raw[a * 8 : b * 8] for a, b in zip(first[at].tolist(), (last[at] + WINDOW).tolist(), strict=True)]
         start = bounds[:-1]
-        yield _stretch(h[at], t1[owner[at]], t2[owner[at]], place[at] - start[owner[at]], place[at] - first[at], spans, None)
+        cool = {"place": pa.array(place[at] - start[owner[at]]), "left": pa.array((place[at] - first[at]).astype(np.int32)), "span": pa.array(spans, pa.binary())}
+        yield _stretch(h[at], t1[owner[at]], t2[owner[at]], cool)
         at = np.flatnonzero(pick[1])
         if len(at):
             n = last[at] - first[at] + 1
@@ -211,17 +212,28 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             window = np.zeros(len(s), np.uint64)
             for j in range(WINDOW):
                 window += words[s + j] * power[j]
-            wholes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(_mix(window).view(np.int64)))
-            yield _stretch(h[at], t1[owner[at]], t2[owner[at]], first[at] - start[owner[at]], np.zeros(len(at), np.int64), None, wholes)
+            window = _mix(window)
+            begin = np.cumsum(n) - n
+            mark = np.add.reduceat(_mix(window + (np.arange(len(s)) - np.repeat(begin, n)).astype(np.uint64)), begin).view(np.int64)
+            wholes = pa.ListArray.from_arrays(pa.array(np.append(begin, len(s)).astype(np.int32)), pa.array(window.view(np.int64)))
+            # a stretch that stands in a text many times is one row with its places
+            order = np.lexsort((first[at], mark, h[at], owner[at]))
+            at, mark = at[order], mark[order]
+            new = np.flatnonzero((np.diff(mark, prepend=0) != 0) | (np.diff(h[at], prepend=0) != 0) | (np.diff(owner[at], prepend=-1) != 0))
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(first[at] - start[owner[at]]))
+            at = at[new]
+            yield _stretch(h[at], t1[owner[at]], t2[owner[at]], {"stretch": pa.array(mark[new]), "wholes": wholes.take(pa.array(order[new])), "places": places})
 
 
-def _stretch(h: np.ndarray, t1: np.ndarray, t2: np.ndarray, place: np.ndarray, left: np.ndarray, spans: list[bytes] | None, wholes: pa.Array | None) -> pa.RecordBatch:
-    n = len(h)
-    columns = [pa.array(h), pa.array(t1), pa.array(t2), pa.array(place, pa.int64()), pa.array(left, pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(spans if spans is not None else [None] * n, pa.binary()), wholes if wholes is not None else pa.nulls(n, pa.list_(pa.int64()))], ["anchor", "t1", "t2", "place", "left", "span", "wholes"])
+_KINDS = {"place": pa.int64(), "left": pa.int32(), "span": pa.binary(), "stretch": pa.int64(), "wholes": pa.list_(pa.int64()), "places": pa.list_(pa.int64())}
 
 
-_STRETCH = "anchor bigint, t1 bigint, t2 bigint, place bigint, left int, span binary, wholes array<bigint>"
+def _stretch(h: np.ndarray, t1: np.ndarray, t2: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    rest = [columns.get(name, pa.nulls(len(h), kind)) for name, kind in _KINDS.items()]
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t1), pa.array(t2), *rest], ["anchor", "t1", "t2", *_KINDS])
+
+
+_STRETCH = "anchor bigint, t1 bigint, t2 bigint, place bigint, left int, span binary, stretch bigint, wholes array<bigint>, places array<bigint>"
 _COVER = "t1 bigint, t2 bigint, start bigint, stop bigint"
 
 
@@ -302,16 +314,16 @@ def _frequent(hot: DataFrame) -> DataFrame:
     Equal stretches are counted first: if one occurs again, all its windows do.  The windows of
     distinct stretches are then counted once for each, and only stretches that occur once look theirs up.
     """
-    stretch = F.xxhash64("anchor", "wholes")
-    rows = hot.select("anchor", stretch.alias("stretch"), "wholes", "t1", "t2", "place")
-    distinct = table(rows.groupBy("anchor", "stretch", "wholes").agg(F.count("*").alias("n")), "stretches-distinct")
+    rows = hot.select("anchor", "stretch", "wholes", "t1", "t2", "places")
+    distinct = table(rows.groupBy("anchor", "stretch", "wholes").agg(F.sum(F.size("places")).alias("n")), "stretches-distinct")
     windows = distinct.select("anchor", "n", F.explode("wholes").alias("whole")).groupBy("anchor", "whole").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "whole")
     single = distinct.where("n = 1").select("anchor", "stretch", F.posexplode("wholes").alias("at", "whole"))
     looked_up = single.join(table(windows, "windows"), ["anchor", "whole"]).groupBy("anchor", "stretch").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     every = distinct.where("n > 1").select("anchor", "stretch", F.lit(0).alias("low"), (F.size("wholes") - 1).alias("high"))
     # written, so that the join deals both sides out anew and can split a frequent stretch
     judged = table(looked_up.unionByName(every), "stretches-judged")
-    return rows.join(judged, ["anchor", "stretch"]).select("t1", "t2", (F.col("place") + F.col("low")).alias("start"), (F.col("place") + F.col("high") + WINDOW).alias("stop"))
+    covers = F.transform("places", lambda p: F.struct((p + F.col("low")).alias("start"), (p + F.col("high") + WINDOW).alias("stop")))
+    return rows.join(judged, ["anchor", "stretch"]).select("t1", "t2", covers.alias("cover"))
 
 
 def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +344,8 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     cool, hot = stretches.where("wholes is null"), stretches.where("wholes is not null")
     n = max(1, -(-cool.count() // bucket_rows))
     trees = cool.groupBy(F.pmod("anchor", F.lit(n)).alias("bucket")).applyInArrow(_group, _COVER)
-    cover = trees.unionByName(_frequent(hot)).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
+    places = trees.select("t1", "t2", F.array(F.struct("start", "stop")).alias("cover")).unionByName(_frequent(hot))
+    cover = places.groupBy("t1", "t2").agg(F.flatten(F.collect_list("cover")).alias("cover"))
     left = held.select("t1", "t2", "packed").join(cover, ["t1", "t2"]).mapInArrow(_removed, "t1 bigint, t2 bigint, n_removed bigint, kept string")
     return seen.select(F.col("key").alias(key), "t1", "t2", "n_words", "all_sha256"), left
 
