@@ -123,36 +123,29 @@ def tail_loop_score(text: Column, **options: object) -> Column:
 def lz_ratio(text: str, window: int = 1024, max_sample: int = 4000, min_match: int = 4, longest: int = 255) -> float:
     """Tokens per character of a greedy parse into literals and matches that begin within ``window`` characters before.
 
-    Whether a match of some length exists only falls with the length, so the longest one is found by
-    doubling and bisection with substring searches.
+    The first place where a match can begin is found by substring search and the match extended; a longer one
+    must begin later, so the search for one character more goes on from there.
     """
     s = text[:max_sample]
     n = len(s)
     if n < 64:
         return 1.0
     find, at, tokens = s.find, 0, 0
-    while at < n:
+    while at <= n - min_match:
         tokens += 1
-        lo = at - window if at > window else 0
-        if at + min_match > n or find(s[at : at + min_match], lo, at + min_match - 1) < 0:
+        place = find(s[at : at + min_match], at - window if at > window else 0, at + min_match - 1)
+        if place < 0:
             at += 1
             continue
         good, most = min_match, min(longest, n - at)
-        step = min_match
-        while good < most:
-            trial = min(most, good + step)
-            if find(s[at : at + trial], lo, at + trial - 1) < 0:
-                most = trial - 1
+        while True:
+            while good < most and s[place + good] == s[at + good]:
+                good += 1
+            if good >= most or (place := find(s[at : at + good + 1], place + 1, at + good)) < 0:
                 break
-            good, step = trial, step * 2
-        while good < most:
-            trial = (good + most + 1) // 2
-            if find(s[at : at + trial], lo, at + trial - 1) < 0:
-                most = trial - 1
-            else:
-                good = trial
+            good += 1
         at += good
-    return tokens / n
+    return (tokens + n - at) / n
 
 
 @F.pandas_udf(T.DoubleType())

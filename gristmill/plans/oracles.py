@@ -262,3 +262,10 @@ FROM conversations, (SELECT unnest(['openai_chat', 'openai_responses', 'anthropi
 }
 
 ORACLES["stateful_stream_guard"] = f"SELECT doc_id, caught_at, reasons FROM ({ORACLES['stream_replay_first_catch']}) WHERE caught_at >= 0"
+
+_PREAMBLE = PARTS.replace("FROM documents", "FROM given WHERE conv_id % 3 = 0")
+_LOOPED = "conv_id % 2 = 0"
+ORACLES["merge_verdicts"] = f"""
+WITH {GIVEN}, {_PREAMBLE}, judged AS (SELECT conv_id, turn, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail, mode FROM parts),
+counted AS (SELECT *, ((rep > 0.4)::INT + (tail > CASE WHEN mode = 'char' THEN 0.7 ELSE 0.5 END)::INT + CASE WHEN {_LOOPED} THEN 2 ELSE 0 END)::BIGINT AS n_reasons FROM judged)
+SELECT conv_id, turn, n_reasons = 0 AS ok, n_reasons, round(greatest(rep, CASE WHEN {_LOOPED} THEN 1 - 3.0::DOUBLE / 88 ELSE 0.0 END), 6) AS repetition FROM counted"""
