@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # White space, and the scripts written without spaces.
 SPACES = r"\t\n\x0B\f\r    -     　﻿"
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NON_SPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 
 WORD_MODE, CHAR_MODE = "word", "char"
@@ -33,7 +34,7 @@ def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def trim(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, F.lit(f"^[{SPACES}]+|[{SPACES}]+\\z"), F.lit(""))
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 def words(text: Column) -> Column:

@@ -46,7 +46,7 @@ SUPPORTED_SCRIPTS, SUPPORTED_LANGUAGES = tuple(SCRIPTS), tuple(LANGUAGES)
 def emptiness_score(text: Column) -> Column:
     """1 for a text with no content: blank, without words, or only fences, brackets and punctuation."""
     bare = trim(text)
-    rest = F.regexp_replace(bare, F.lit(rf"(?i)```[a-z]*[{SPACES}]*```"), F.lit(""))
+    rest = F.when(bare.contains("```"), F.regexp_replace(bare, F.lit(rf"(?i)```[a-z]*[{SPACES}]*```"), F.lit(""))).otherwise(bare)
     rest = trim(F.regexp_replace(rest, F.lit(rf"""\A[{{}}\[\]"'{SPACES},.:;!?-]+\z"""), F.lit("")))
     return F.when(~bare.rlike(r"[\p{L}\p{N}']") | (rest == ""), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -166,13 +166,16 @@ def compressibility_score(text: Column, pivot: float = 0.32) -> Column:
 
 def truncation_score(text: Column, finish_reason: Column | str | None = None, complete: Column | None = None) -> Column:
     """1 if the provider stopped for length, 0 for complete JSON, else the worst of fence, bracket and final-character signs."""
-    bare = trim(text)
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
-    unclosed = (count("{") > count("}")) | (count("[") > count("]")) | (count("(") > count(")"))
-    ended = bare.rlike(f"[{TERMINAL}][{SPACES}]*\\z")
-    signs = F.when(F.regexp_count(bare, F.lit("```")) % 2 == 1, F.lit(0.9)).when(unclosed, F.lit(0.8)).when(~ended, F.lit(0.55)).otherwise(F.lit(0.0))
+
+    def signs(bare: Column) -> Column:
+        count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+        unclosed = (count("{") > count("}")) | (count("[") > count("]")) | (count("(") > count(")"))
+        ended = F.right(bare, F.lit(1)).rlike(f"[{TERMINAL}]")
+        fences = (F.length(bare) - F.length(F.replace(bare, F.lit("```"), F.lit("")))) / 3
+        return F.when(fences % 2 == 1, F.lit(0.9)).when(unclosed, F.lit(0.8)).when(~ended, F.lit(0.55)).otherwise(F.lit(0.0))
+
     complete = is_complete_document(text) if complete is None else complete
-    score = F.when((bare == "") | complete, F.lit(0.0)).otherwise(signs)
+    score = F.when((trim(text) == "") | complete, F.lit(0.0)).otherwise(let(trim(text), signs))
     if finish_reason is None:
         return score
     reason = F.lit(finish_reason) if isinstance(finish_reason, str) else finish_reason

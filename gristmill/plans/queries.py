@@ -22,7 +22,9 @@ NO_ENTROPY = {name: o.but(max_compressibility=None) for name, o in k.PRESETS.ite
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out, since a file may be a single row group."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
