@@ -30,10 +30,11 @@ def op1_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    records = _read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    shuffled = external_shuffle.shuffle_into_shards(records, "doc_id", n_shards=24)
-    return shuffled.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", external_shuffle.shard_of(F.col("doc_id"), 25).alias("grown_shard"))
+    records = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 8).cast("long")
+    shuffled = external_shuffle.shuffle_into_shards(records, "doc_id", n_shards=24, record_bytes=size)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    return shuffled.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", external_shuffle.shard_of(F.col("doc_id"), 25).alias("grown_shard"))
 
 
 def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
