@@ -263,6 +263,8 @@ FROM conversations, (SELECT unnest(['openai_chat', 'openai_responses', 'anthropi
 
 ORACLES["stateful_stream_guard"] = f"SELECT doc_id, caught_at, reasons FROM ({ORACLES['stream_replay_first_catch']}) WHERE caught_at >= 0"
 
+ORACLES["benchmark_echo_whole"] = ORACLES["benchmark_echo"].replace("text[1:8000]", "text")
+
 _PREAMBLE = PARTS.replace("FROM documents", "FROM given WHERE conv_id % 3 = 0")
 _LOOPED = "conv_id % 2 = 0"
 ORACLES["merge_verdicts"] = f"""

@@ -129,15 +129,22 @@ def prompt_echo_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", r6(d.prompt_echo_score(F.col("text"), F.col("prompt"), min_tokens=8, mode="word")).alias("score"))
 
 
-def benchmark_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each document's five-word runs that stand in some benchmark item; a semi join on runs."""
-    runs = lambda df: t.runs(t.words(F.substring(df["text"], 1, 8000)), 5)
-    documents, items = _documents(spark, sf_dir), read(spark, sf_dir, "benchmark")
-    out = documents.select("doc_id", F.explode(runs(documents)).alias("run"))
-    known = items.select(F.explode(runs(items)).alias("run")).distinct()
-    hits = out.join(known, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
-    n = documents.select("doc_id", F.size(runs(documents)).cast("long").alias("n_runs")).where("n_runs > 0")
-    return n.join(hits, "doc_id", "left").select("doc_id", "n_runs", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), r6(F.coalesce("hits", F.lit(0)) / F.col("n_runs")).alias("score"))
+def _benchmark_echo(most: int | None):
+    """Share of each document's five-word runs that stand in some benchmark item; a semi join on runs.
+
+    With ``most``, documents and items are read to that many characters only, and what stands beyond is not seen.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        runs = lambda df: t.runs(t.words(df["text"] if most is None else F.substring(df["text"], 1, most)), 5)
+        documents, items = _documents(spark, sf_dir), read(spark, sf_dir, "benchmark")
+        out = documents.select("doc_id", F.explode(runs(documents)).alias("run"))
+        known = items.select(F.explode(runs(items)).alias("run")).distinct()
+        hits = out.join(known, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+        n = documents.select("doc_id", F.size(runs(documents)).cast("long").alias("n_runs")).where("n_runs > 0")
+        return n.join(hits, "doc_id", "left").select("doc_id", "n_runs", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), r6(F.coalesce("hits", F.lit(0)) / F.col("n_runs")).alias("score"))
+
+    return query
 
 
 def _verdicts(preset: str, entropy: bool):
@@ -364,7 +371,8 @@ QUERIES = {
     "json_string_leaves": json_string_leaves,
     "schema_check": schema_check,
     "prompt_echo_conversations": prompt_echo_conversations,
-    "benchmark_echo": benchmark_echo,
+    "benchmark_echo": _benchmark_echo(8000),
+    "benchmark_echo_whole": _benchmark_echo(None),
     "verdict_chat": _verdicts("chat", True),
     "verdict_long_form": _verdicts("longForm", True),
     "verdict_lenient": _verdicts("lenient", True),
