@@ -4,8 +4,10 @@ A text is lower-cased UTF-8; its subwords are runs of 3 to 5 bytes with no white
 inside (a neighbouring space marks the edge of a word), hashed into a fixed number of rows.  The text is
 the mean of its subwords' embeddings; a linear softmax gives a probability for each
 language.  Embeddings and weights are learned together by stochastic gradient descent in
-numpy, on the driver, from a sample whose size is bounded by ``sample_rows``; executors
-turn the sampled texts into counts of whole texts first.  A part of the sample is held
+numpy, on the driver, from a sample whose size is bounded by ``sample_rows``, or by one row
+for each label if there are more labels; executors turn the sampled texts into counts of
+whole texts first.  Every non-null label with a text that is not blank is learned; the model
+takes 128 KB for each label, on the driver and in each task.  A part of the sample is held
 back to calibrate a temperature and the level below which a prediction is rejected: no
 correct prediction of that part is rejected, nor any with a probability of ``SURE`` or more.
 
@@ -32,7 +34,6 @@ BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
 DIMENSIONS = 16
 SAMPLE_ROWS = 1600
-LANGUAGES = 64
 EPOCHS = 12
 BATCH = 32
 RATE = 2.0
@@ -101,17 +102,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, text: str, label: str, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled rows, as many of each of the most frequent languages as there are."""
-    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()  # at most LANGUAGES rows
+    """At most ``rows`` labelled rows, as many of each label as there are; at least one of each label."""
+    draw = F.pmod(F.xxhash64(F.lit(SEED), key, text), F.lit(1 << 30))
+    known = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\S")).withColumn("draw", draw)
+    counts = known.groupBy(label).agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # one row for each label, as in the model
     if not counts:
-        return known.withColumn("draw", F.lit(0).cast("long")).limit(0)
+        return known.limit(0)
     each = max(1, rows // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), key, text), F.lit(1 << 30))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == r[label], min(1.0, 1.3 * each / r["count"])).otherwise(share)
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < share * (1 << 30))
+    # the least draw is always within the bound, so that no label is lost by chance
+    bounds = [(r[label], max(r["least"], int(min(1.0, (1.3 * each + 20) / r["n"]) * (1 << 30)))) for r in counts]
+    kind = labelled.schema[label].dataType.simpleString()
+    bound = labelled.sparkSession.createDataFrame(bounds, f"bounded {kind}, bound long")
+    drawn = known.join(F.broadcast(bound), F.col(label) == F.col("bounded")).where("draw <= bound").drop("bounded", "bound")
     return drawn.selectExpr("*", f"row_number() over (partition by `{label}` order by draw, `{key}`) as nth").where(F.col("nth") <= each)
 
 
@@ -133,35 +135,44 @@ def _counted(rows: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``sample_rows`` rows; a fifth of them calibrates."""
+    """Learn every label from at most ``sample_rows`` rows, or one a label; each fifth row of a label calibrates."""
     rows = _counted(sample(labelled, text, label, key, sample_rows), text, label).collect()
     rows = [r for r in rows if len(r["buckets"])]
     names = tuple(sorted({r["label"] for r in rows}))
     if not names:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["buckets"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
-    y = np.array([names.index(r["label"]) for r in rows])
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[r["label"]] for r in rows])
+
+    def dense(part: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(part), BUCKETS), np.float32)
+        for i, k in enumerate(part):
+            x[i, np.frombuffer(rows[k]["buckets"], np.uint16)] = np.frombuffer(rows[k]["shares"], np.float32)
+        return x
+
     draw = np.random.default_rng(SEED)
-    held = np.arange(len(rows)) % 5 == 4
+    # each fifth row of a label calibrates, so that a label of few rows is learned
+    place = np.arange(len(rows)) - np.searchsorted(y, y)
+    held = place % 5 == 4
     fit = np.flatnonzero(~held)
     e = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, b = draw.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    onehot = np.eye(len(names), dtype=np.float32)[y]
     scale = np.float32(np.sqrt(BUCKETS) / 4)
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
         for part in np.array_split(draw.permutation(fit), max(1, len(fit) // BATCH)):
-            xb = x[part]
+            xb = dense(part)
             h = xb @ e
-            d = (softmax(h @ w + b) - onehot[part]) / len(part)
+            d = softmax(h @ w + b)
+            d[np.arange(len(part)), y[part]] -= 1
+            d /= len(part)
             back = d @ w.T
             w -= rate * (h.T @ d)
             b -= rate * d.sum(axis=0)
             e -= rate * scale * (xb.T @ back)
     full = (e @ w).astype(np.float64)
-    z, truth = (x[held] @ full + b, y[held]) if held.any() else (x @ full + b, y)
+    judged = np.flatnonzero(held) if held.any() else fit
+    z, truth = np.concatenate([dense(p) @ full + b for p in np.array_split(judged, -(-len(judged) // BATCH))]), y[judged]
     grid = np.geomspace(0.25, 16, 25)
     loss = [-np.log(np.maximum(softmax(z * s)[np.arange(len(truth)), truth], 1e-12)).mean() for s in grid]
     sharpness = float(grid[int(np.argmin(loss))])

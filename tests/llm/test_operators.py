@@ -397,6 +397,19 @@ def test_language_model_learns_and_rejects(spark):
     assert kept.columns == rows.columns and not {240, 241, 242, 246} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_model_learns_every_label(spark):
+    """More labels than 64, many of one row or of repeated rows, and more labels than sample rows."""
+    r = random.Random(7)
+    made = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(90)}
+    rows = [(i, " ".join(words), label) for i, (label, words) in enumerate(made.items()) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample_rows in (language_id.SAMPLE_ROWS, 40):
+        model = language_id.train(df, sample_rows=sample_rows)
+        assert model.languages == tuple(sorted(made))
+        chosen = {x["lang"] for x in language_id.sample(df, "text", "lang", "doc_id", sample_rows).collect()}
+        assert chosen == set(made)
+
+
 def test_language_model_without_labels(spark):
     rows = documents(spark, ["hello there", None])
     model = language_id.train(rows.where(F.lit(False)))
