@@ -18,6 +18,7 @@ from ..sources import envelopes as e
 from ..sources import scans, sinks
 from ..streaming import guard
 
+#: The presets without LOW_ENTROPY, whose parse SQL cannot express.
 NO_ENTROPY = {name: o.but(max_compressibility=None) for name, o in k.PRESETS.items()}
 
 
@@ -40,6 +41,15 @@ def _of_documents(**columns):
     return query
 
 
+def _full(query):
+    """A query under the whole presets, LOW_ENTROPY among them."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, k.PRESETS)
+
+    return whole
+
+
 def r6(x: Column) -> Column:
     return F.round(x, 6)
 
@@ -165,23 +175,23 @@ def verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ok", F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"), *[r6(F.col(f"score_{x.lower()}")).alias(f"score_{x.lower()}") for x in k.CODES if x != "PROMPT_ECHO"])
 
 
-def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"])
+def reason_counts(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
+    rows = k.check_output(_documents(spark, sf_dir), "text", presets["chat"])
     return rows.select(F.explode("verdict.reasons").alias("r")).groupBy(F.col("r.code").alias("code")).agg(F.count("*").alias("n"), r6(F.max("r.score")).alias("worst"))
 
 
-def check_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.footer(k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"]))
+def check_footer(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
+    return sinks.footer(k.check_output(_documents(spark, sf_dir), "text", presets["chat"]))
 
 
 def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"]).withColumn("label", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"]).withColumn("label", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
     return sinks.verdict_lines(rows)
 
 
-def assert_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assert_output(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
     """Documents that pass, asserted to pass."""
-    o = NO_ENTROPY["chat"]
+    o = presets["chat"]
     good = k.check_output(_documents(spark, sf_dir), "text", o).where("verdict.ok").drop("verdict")
     return k.assert_output(good, "text", o).select("doc_id")
 
@@ -208,9 +218,9 @@ def calibrate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calibrate_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calibrate_maps(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
     """Calibration straight from verdicts' maps of scores and modes."""
-    rows = k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"]).select(F.col("verdict.scores").alias("scores"), F.col("verdict.modes").alias("modes"))
+    rows = k.check_output(_documents(spark, sf_dir), "text", presets["chat"]).select(F.col("verdict.scores").alias("scores"), F.col("verdict.modes").alias("modes"))
     return c.calibrate(rows).select("code", "mode", "n", "non_zero", r6(F.col("max")).alias("max"), r6(F.col("p99")).alias("p99"))
 
 
@@ -289,7 +299,7 @@ def _envelope(surface: str):
 
 
 def score_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = e.score_envelopes(_responses("openai_chat")(spark, sf_dir), ["conv_id", "turn"], "openai_chat", NO_ENTROPY["chat"], request="request", check_tool_arguments=True, check_prompt_echo=True)
+    found = e.score_envelopes(_responses("openai_chat")(spark, sf_dir), ["conv_id", "turn"], "openai_chat", k.PRESETS["chat"], request="request", check_tool_arguments=True, check_prompt_echo=True)
     return found.select("conv_id", "turn", F.col("verdict.ok").alias("ok"), F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"))
 
 
@@ -299,9 +309,9 @@ def tool_arguments_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.col("arguments_verdict.ok").alias("ok"), r6(F.col("arguments_verdict.scores")["REPETITION"]).alias("repetition"))
 
 
-def merge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_verdicts(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
     rows = e.read_envelopes(_responses("openai_chat")(spark, sf_dir), "openai_chat").where("has_tool_calls")
-    both = v.check_preamble(rows, "text", NO_ENTROPY["chat"]).join(v.check_arguments(rows, ["conv_id", "turn"], "arguments", NO_ENTROPY["chat"]), ["conv_id", "turn"], "left")
+    both = v.check_preamble(rows, "text", presets["chat"]).join(v.check_arguments(rows, ["conv_id", "turn"], "arguments", presets["chat"]), ["conv_id", "turn"], "left")
     merged = both.select("conv_id", "turn", v.merge_verdicts(F.col("preamble"), F.col("arguments_verdict")).alias("m"))
     return merged.select("conv_id", "turn", F.col("m.ok").alias("ok"), F.size("m.reasons").cast("long").alias("n_reasons"), r6(F.col("m.scores")["REPETITION"]).alias("repetition"))
 
@@ -381,11 +391,15 @@ QUERIES = {
     "verdict_long_form_native": _verdicts("longForm", False),
     "verdict_full": verdict_full,
     "reason_counts": reason_counts,
+    "reason_counts_full": _full(reason_counts),
     "check_footer": check_footer,
+    "check_footer_full": _full(check_footer),
     "verdict_lines": verdict_lines,
     "assert_output": assert_output,
+    "assert_output_full": _full(assert_output),
     "calibrate_summary": calibrate_summary,
     "calibrate_maps": calibrate_maps,
+    "calibrate_maps_full": _full(calibrate_maps),
     "label_margins": label_margins,
     "extract_text": extract_text,
     "extract_scores": extract_scores,
@@ -396,6 +410,7 @@ QUERIES = {
     "score_envelopes": score_envelopes,
     "tool_arguments_worst": tool_arguments_worst,
     "merge_verdicts": merge_verdicts,
+    "merge_verdicts_full": _full(merge_verdicts),
     "stream_events": stream_events,
     "stream_replay_first_catch": _replay(False),
     "stream_replay_early_document": _replay(True),
