@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from hashlib import blake2b
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +21,22 @@ WORD = re.compile("[^" + SPACE + "]+")
 UPPER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Paths of the tables of this process that have not been deleted.
+_written: list[str] = []
+#: How many words' hashes a process remembers, and up to which length.
+WORDS_HELD, WORD_BYTES = 1 << 17, 64
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a fresh temporary
-    folder is made and remembered in the session.
+    Only where the setting is absent and Spark runs in this process alone (tests, a laptop) a fresh temporary
+    folder is made and remembered in the session; on a cluster the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,11 +49,34 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, start: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what ``table`` wrote (from the ``start``-th on): call it when results have been written elsewhere."""
+    for path in [p for p in _written[start:] if p not in keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at the end the tables written inside; the function that is yielded writes one that stays."""
+    start, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = table(df, name)
+        kept.append(_written[-1])
+        return out
+
+    yield keep
+    drop_tables(spark, start, tuple(kept))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` has about ``most`` bytes.
 
@@ -62,3 +97,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 def words_of(text: str | None) -> list[str]:
     """The words of a text; none for null."""
     return WORD.findall(text) if text else []
+
+
+class _Hashes(dict):
+    """64-bit BLAKE2b hashes of words; those of short words are remembered, up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def hashed_words(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all lists in order, and where each list's begin."""
+    bounds = np.array(list(accumulate(map(len, lists), initial=0)))
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(bounds[-1])), bounds
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 of every text; null is empty.  ``bytes.split`` cuts it into words at ASCII white space only."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads their bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

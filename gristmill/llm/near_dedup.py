@@ -1,17 +1,18 @@
 """Near-duplicate groups by SuperMinHash, banding, verification and union-find.
 
 A document's set is its distinct shingles of ``WORDS`` words (ASCII letters lower-cased; a shorter text is one
-shingle).  Documents with equal sets are one class, represented by its smallest id.  For each
-class a SuperMinHash signature is computed: every shingle visits the positions in its own random
+shingle).  Documents with the same words in the same order (by SHA-256) are one class, represented by its smallest
+id.  For each class a SuperMinHash signature is computed: every shingle visits the positions in its own random
 order and offers its round plus a random fraction, so that later rounds cannot improve full signatures and stop
 early.  Bands of rows become buckets.
 
-Links inside a bucket are found without listing its pairs.  First every member is compared
-with the bucket's smallest id; verified links are joined to components.  Only buckets that still
-span several components are searched further, in blocks of bounded size: a pair in
-different components whose signatures agree enough is verified on the full sets and joined in
-a union-find of the block at once, so a block returns at most a forest.  Verified means
-``100 * |A & B| >= percent * |A | B|`` on the full sets of 64-bit shingle hashes.
+Links inside a bucket are found without listing its pairs.  First every member is compared with the bucket's
+smallest id, its hub; hubs with many members are dealt out in parts, and a part gets the hub's text once.  Members
+take the least hub they link with as a label.  Only buckets that still show several labels are searched
+further, in blocks of bounded size: members with the hub's label on one side, all others on the
+other.  A pair with different labels whose signatures agree enough is verified and joined in a
+union-find of the block at once, so a block returns at most a forest.  Verified means
+``100 * |A & B| >= percent * |A | B|`` on the full sets of the words themselves, no hashes.
 
 With 26 bands of 5 rows a pair of similarity 0.85 misses all buckets with a probability of 3e-7;
 at 84 of 130 equal positions the filter of a block misses it with about 1e-9.  For a similarity of 0.8, 32 bands
@@ -24,7 +25,9 @@ Ids should be unique: where different texts share an id, links of that id are ve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import hashed_words, mix, raw_texts, slices, table
 from .components import components
-from .suffix_dedup import _mix, hashed_words
 
 WORDS = 5
 PERCENT = 85
@@ -43,20 +45,20 @@ AGREE = 84
 BLOCK_SHINGLES = 300_000
 
 
-def shingle_sets(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, and where each text's begin."""
-    words, bounds = hashed_words([t.lower() for t in texts])
-    n, owner = np.diff(bounds), np.repeat(np.arange(len(texts)), np.diff(bounds))
+def shingle_hashes(lists: list[list[bytes]], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each list of words, and where each list's begin."""
+    words, bounds = hashed_words(lists)
+    n, owner = np.diff(bounds), np.repeat(np.arange(len(lists)), np.diff(bounds))
     h = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for j in range(size):
-        h = _mix(h + words[j : j + len(h)])
+        h = mix(h + words[j : j + len(h)])
     whole = np.flatnonzero(owner[: len(h)] == owner[size - 1 :]) if len(h) else np.zeros(0, np.int64)
     values, owners = [h[whole]], [owner[whole]]
     for i in np.flatnonzero((n > 0) & (n < size)):
         x = np.zeros(1, np.uint64)
         for w in words[bounds[i] : bounds[i + 1]]:
-            x = _mix(x + w)
-        values.append(_mix(x + n[i : i + 1].astype(np.uint64)))
+            x = mix(x + w)
+        values.append(mix(x + n[i : i + 1].astype(np.uint64)))
         owners.append(np.array([i]))
     h, owner = np.concatenate(values), np.concatenate(owners)
     order = np.lexsort((h, owner))
@@ -64,7 +66,12 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> tuple[np.ndarray, np.
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
-    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+    return h, np.searchsorted(owner, np.arange(len(lists) + 1))
+
+
+def shingle_set(words: list[bytes], size: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves."""
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
 
 
 def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
@@ -76,7 +83,7 @@ def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int = BANDS * ROWS) -> n
     for j in range(m):
         if not len(owner):
             break
-        x = _mix(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        x = mix(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
         value = (x & np.uint64(0xFFFFFFFF)) | (np.uint64(j) << np.uint64(32))
         k = (j + ((x >> np.uint64(32)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)).astype(np.int64)
         if order is None:
@@ -99,80 +106,80 @@ def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int = BANDS * ROWS) -> n
 
 def _bands(sign: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit bucket for each band of each signature."""
-    out = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(sign), bands)).copy()
+    out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(sign), bands)).copy()
     for r in range(rows):
-        out = _mix(out + sign[:, r : bands * rows : rows])
+        out = mix(out + sign[:, r : bands * rows : rows])
     return out.view(np.int64)
 
 
-def _raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
 def _survey(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int) -> Iterator[pa.RecordBatch]:
-    """Size, 128-bit digest and buckets of each document's set."""
+    """Size of each document's set, digest of its words, buckets and one byte of each value of the signature."""
     for batch in slices(batches, "text"):
-        h, bounds = shingle_sets(_raw(batch, "text"))
-        n = np.diff(bounds)
-        digest = np.zeros((len(n), 2), np.uint64)
-        full = np.flatnonzero(n)
-        if len(full):
-            digest[full, 0] = np.add.reduceat(_mix(h), bounds[:-1][full])
-            digest[full, 1] = np.add.reduceat(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
-        bands = _bands(super_minhash(h, bounds, n_bands * n_rows), n_bands, n_rows)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel()))
-        s = digest.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists], ["key", "n", "s1", "s2", "bands"])
+        lists = [t.lower().split() for t in raw_texts(batch.column("text"))]
+        h, bounds = shingle_hashes(lists)
+        sign = super_minhash(h, bounds, n_bands * n_rows)
+        bands = _bands(sign, n_bands, n_rows)
+        buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel()))
+        marks = (mix(sign) & np.uint64(255)).astype(np.uint8)
+        names = [sha256(b" ".join(w)).digest() for w in lists]
+        columns = [batch.column("key"), pa.array(np.diff(bounds), pa.int64()), pa.array(names, pa.binary()), buckets, pa.array([x.tobytes() for x in marks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "n", "same", "bands", "marks"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, compressed."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([press.compress(t) for t in _raw(batch, "text")], pa.binary())], ["node", "packed"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
-    """The full set and one byte of each value of the signature."""
-    open_ = zstandard.ZstdDecompressor()
-    for batch in slices(batches, "packed", 1 << 20):
-        h, bounds = shingle_sets([open_.decompress(x) for x in batch.column("packed").to_pylist()])
-        marks = (_mix(super_minhash(h, bounds, m)) & np.uint64(255)).astype(np.uint8)
-        raw = h.tobytes()
-        sets = [raw[a * 8 : b * 8] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in marks], pa.binary())], ["node", "shingles", "marks"])
+        packed = [press.compress(b" ".join(t.lower().split())) for t in raw_texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets are similar enough."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def linked(a: set, b: set, percent: int = PERCENT) -> bool:
+    """Whether two sets are similar enough."""
+    both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "a", 8 << 20):
-            keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch.column("a"), batch.column("b"), strict=True) for a, b in [(a.as_buffer(), b.as_buffer())]]
-            rows = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(rows)), batch.column("v").take(pa.array(rows))], ["u", "v"])
+def _stars(percent: int):
+    """Verified links of hubs with the members dealt to each of their parts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
+        text = lambda i: shingle_set(open_.decompress(rows.column("packed")[i].as_py()).split(b" "))
+        u, part, node = (rows.column(c).to_numpy() for c in ("u", "part", "node"))
+        us, vs, at, hub = [], [], None, set()
+        for i in np.lexsort((node != u, part, u)).tolist():
+            if (u[i], part[i]) != at:
+                at, hub = (u[i], part[i]), text(i)
+            elif linked(hub, text(i), percent):
+                us.append(int(u[i]))
+                vs.append(int(node[i]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
 def _block(percent: int, agree: int):
-    """Verified links between components inside one pair of blocks of a bucket."""
+    """Verified links between differently labelled members of one pair of blocks of a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
         node, label, part, n = (rows.column(c).to_numpy() for c in ("node", "label", "part", "n"))
         marks = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("marks").to_pylist()])
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         up = {x: x for x in label.tolist()}
+        sets: dict[int, set] = {}
 
         def root(x: int) -> int:
             while up[x] != x:
                 up[x] = x = up[up[x]]
             return x
 
+        def shingles(i: int) -> set:
+            if i not in sets:
+                sets[i] = shingle_set(open_.decompress(rows.column("packed")[i].as_py()).split(b" "))
+            return sets[i]
+
         us, vs = [], []
         for i in np.flatnonzero(part == low).tolist():
             far = (label != label[i]) & (part == high) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
@@ -180,7 +187,7 @@ def _block(percent: int, agree: int):
             others = np.flatnonzero(far)
             for j in others[(marks[others] == marks[i]).sum(axis=1) >= agree].tolist():
                 a, b = root(int(label[i])), root(int(label[j]))
-                if a != b and linked(sets[i], sets[j], percent):
+                if a != b and linked(shingles(i), shingles(j), percent):
                     up[a] = b
                     us.append(int(node[i]))
                     vs.append(int(node[j]))
@@ -192,33 +199,40 @@ def _block(percent: int, agree: int):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, agree: int = AGREE, bands: int = BANDS, rows_each: int = ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` of each document."""
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
-    seen = table(rows.mapInArrow(lambda batches: _survey(batches, bands, rows_each), "key bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "survey")
-    same = ["s1", "s2", "n"]
-    classes = seen.where("key is not null and n > 0").groupBy(*same).agg(F.min("key").alias("node"), F.first("bands").alias("bands"))
+    seen = table(rows.mapInArrow(lambda batches: _survey(batches, bands, rows_each), "key bigint, n bigint, same binary, bands array<bigint>, marks binary"), "survey")
+    classes = table(seen.where("key is not null and n > 0").groupBy("same").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     buckets = classes.select("node", "n", F.explode("bands").alias("band"))
     groups = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = table(buckets.join(groups, "band"), "members")
-    stars = members.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
+
+    pairs = members.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").select(F.col("hub.node").alias("u"), "hub.n", F.col("node").alias("v"), "m")
+    parts = F.ceil(F.max("m") * F.max("n") / block_shingles)
+    stars = table(pairs.groupBy("u", "v").agg(F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.max("n").alias("n")), "stars")
+    n_buckets = max(1, math.ceil((stars.agg(F.sum("n")).first()[0] or 0) / block_shingles))
+    asked = stars.select("u", "part", F.col("v").alias("node")).unionByName(stars.select("u", "part", F.col("u").alias("node")).distinct())
     texts = rows.select(F.col("key").alias("node"), "text").where("node is not null").mapInArrow(_packed, "node bigint, packed binary")
-    sets = table(texts.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("packed").alias("packed")).mapInArrow(lambda batches: _sets(batches, bands * rows_each), "node bigint, shingles binary, marks binary"), "sets")
-    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    links = table(stars.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_verify(percent), "u bigint, v bigint"), "links")
-    near = components(links)
-
-    labelled = members.where("m > 2").select("band", "node", "n").join(near, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum("n").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m")).where("a <> b")
-    once = mixed.groupBy("content", "m", "size").agg(F.min("band").alias("band"))
-    parts = once.select("band", F.ceil(F.col("size") / block_shingles).cast("int").alias("parts"))
-    own = labelled.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = own.withColumn("other", other).select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "label", "part", "n")
-    more = dealt.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_block(percent, agree), "u bigint, v bigint")
-    joined = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-
-    named = classes.select(*same, "node").join(joined, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    held = table(texts.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("packed").alias("packed")), "held")
+    dealt = asked.join(held, "node").withColumn("bucket", F.pmod(F.xxhash64("u", "part"), F.lit(n_buckets)))
+    links = table(dealt.groupBy("bucket").applyInArrow(_stars(percent), "u bigint, v bigint"), "links")
+
+    first = links.groupBy("v").agg(F.min("u").alias("label"))
+    further = first.select(F.col("v").alias("label"), F.col("label").alias("next"))
+    labels = table(first.join(further, "label", "left").select(F.col("v").alias("node"), F.coalesce("next", "label").alias("label")), "labels")
+    labelled = table(members.where("m > 2").select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    least, size = F.min("label"), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    mixed = labelled.groupBy("band").agg(least.alias("least"), F.max("label").alias("most"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m"), F.sum("n").alias("all")).where("least <> most")
+    once = mixed.groupBy("content", "m", "all").agg(F.min(F.struct("band", "least")).alias("b")).select("b.band", "b.least")
+    apart = labelled.join(once, "band").withColumn("rest", F.col("label") != F.col("least"))
+    sizes = apart.groupBy("band").agg(size(~F.col("rest")).alias("main"), size(F.col("rest")).alias("others")).select("band", F.ceil(F.col("main") / block_shingles).cast("int").alias("p"), F.ceil(F.col("others") / block_shingles).cast("int").alias("q"))
+    own = apart.join(sizes, "band").withColumn("part", F.when(F.col("rest"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int"))
+    other = F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1))
+    blocks = own.withColumn("other", other).select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "label", "part", "n")
+    more = blocks.join(held, "node").join(classes.select("node", "marks"), "node").groupBy("band", "low", "high").applyInArrow(_block(percent, agree), "u bigint, v bigint")
+    joined = components(links.unionByName(more))
+
+    named = classes.select("same", "node").join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     # written, so that the join deals both sides out anew and can split a large group of copies
-    found = seen.select("key", *same).join(table(named, "named"), same, "left")
+    found = seen.select("key", "n", "same").join(table(named, "named"), "same", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .suffix_dedup import _mix, hashed_words
+from .common import hashed_words, mix, raw_texts, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -120,15 +119,15 @@ def _grams(before: list[bytes], after: list[bytes]) -> list[tuple[bytes, int]]:
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
-    return _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
 def _gram_hashes(grams: list[bytes]) -> np.ndarray:
     """Hashes of words, or of pairs of words, as the scan of the corpus makes them."""
-    h, bounds = hashed_words(grams)
+    h, bounds = hashed_words([g.split() for g in grams])
     first, n = bounds[:-1], np.diff(bounds)
     second = np.minimum(first + 1, max(0, len(h) - 1))
-    return np.where(n == 1, h[first], _mix(h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second])) if len(grams) else h
+    return np.where(n == 1, h[first], mix(h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second])) if len(grams) else h
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -168,7 +167,7 @@ def _counter(bitmap: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            h, bounds = hashed_words([(x or b"").lower() for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            h, bounds = hashed_words([x.lower().split() for x in raw_texts(batch.column("text"))])
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             pairs = _pairs(h)[owner[:-1] == owner[1:]] if len(h) > 1 else h[:0]
             grams = np.concatenate([h, pairs])
