@@ -69,13 +69,15 @@ class WordIds(dict):
     """Ids of words between white space, as little-endian 32-bit bytes, remembered up to a bound.
 
     The vocabulary splits a text at white space and matches no token across it, so
-    the words of a plain text are independent; other texts are encoded whole.
+    the words of a plain text are independent; other texts, and those that hold one of the vocabulary's
+    added tokens such as ``<|endoftext|>``, are encoded whole by the library with its defaults.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         self.encoder = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=_ranks(path), special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
@@ -90,7 +92,7 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
-        if not PLAIN(text):
+        if not PLAIN(text) or self.added(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 

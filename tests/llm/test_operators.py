@@ -297,8 +297,12 @@ def test_word_ids_equal_the_tokenizer():
     held = packing.load(packing.VOCABULARY)
     r = random.Random(2)
     alphabet = [*"abTHÉßİıſŸǅ.,'sS1²½_-\t\n<>|&", " ", "the", "<|endoftext|>", "漢", "é", "Σ"]
-    for text in ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]:
-        assert held.of(text) == held.whole(text), text
+    fresh = Tokenizer.from_file(packing.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext"]
+    for text in texts + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]:
+        ids = fresh.encode(text, add_special_tokens=False).ids
+        assert held.of(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    assert list(struct.unpack("<3I", held.of("a <|endoftext|> b"))) == [320, 49407, 321]
 
 
 @settings(max_examples=60, deadline=None)
