@@ -7,8 +7,9 @@ order and offers its round plus a random fraction, so that later rounds cannot i
 early.  Bands of rows become buckets.
 
 Links inside a bucket are found without listing its pairs.  First every member is compared with the bucket's
-smallest id, its hub; hubs with many members are dealt out in parts, and a part gets the hub's text once.  Members
-take the least hub they link with as a label.  Only buckets that still show several labels are searched
+hub, the member that shares most buckets with most documents (in a family of edited copies, the one they come
+from); hubs with many members are dealt out in parts, and a part gets the hub's text once.  Members
+are labelled by the least hub they reach over links to hubs.  Only buckets that still show several labels are searched
 further, in blocks of bounded size: members with the hub's label on one side, all others on the
 other.  A pair with different labels whose signatures agree enough is verified and joined in a
 union-find of the block at once, so a block returns at most a forest.  Verified means
@@ -202,10 +203,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     seen = table(rows.mapInArrow(lambda batches: _survey(batches, bands, rows_each), "key bigint, n bigint, same binary, bands array<bigint>, marks binary"), "survey")
     classes = table(seen.where("key is not null and n > 0").groupBy("same").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     buckets = classes.select("node", "n", F.explode("bands").alias("band"))
-    groups = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = table(buckets.join(groups, "band"), "members")
+    shared = table(buckets.join(buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "shared")
+    central = shared.join(shared.groupBy("node").agg(F.sum("m").alias("company")), "node")
+    hubs = central.groupBy("band").agg(F.max(F.struct("company", F.bitwise_not("node").alias("not_node"), "n")).alias("h")).select("band", F.bitwise_not("h.not_node").alias("hub"), F.col("h.n").alias("hub_n"))
+    members = table(shared.join(hubs, "band"), "members")
 
-    pairs = members.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").select(F.col("hub.node").alias("u"), "hub.n", F.col("node").alias("v"), "m")
+    pairs = members.where(f"node <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("u"), F.col("hub_n").alias("n"), F.col("node").alias("v"), "m")
     parts = F.ceil(F.max("m") * F.max("n") / block_shingles)
     stars = table(pairs.groupBy("u", "v").agg(F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.max("n").alias("n")), "stars")
     n_buckets = max(1, math.ceil((stars.agg(F.sum("n")).first()[0] or 0) / block_shingles))
@@ -216,14 +219,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     links = table(dealt.groupBy("bucket").applyInArrow(_stars(percent), "u bigint, v bigint"), "links")
 
     first = links.groupBy("v").agg(F.min("u").alias("label"))
-    further = first.select(F.col("v").alias("label"), F.col("label").alias("next"))
-    labels = table(first.join(further, "label", "left").select(F.col("v").alias("node"), F.coalesce("next", "label").alias("label")), "labels")
-    labelled = table(members.where("m > 2").select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    least, size = F.min("label"), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    mixed = labelled.groupBy("band").agg(least.alias("least"), F.max("label").alias("most"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m"), F.sum("n").alias("all")).where("least <> most")
-    once = mixed.groupBy("content", "m", "all").agg(F.min(F.struct("band", "least")).alias("b")).select("b.band", "b.least")
-    apart = labelled.join(once, "band").withColumn("rest", F.col("label") != F.col("least"))
-    sizes = apart.groupBy("band").agg(size(~F.col("rest")).alias("main"), size(F.col("rest")).alias("others")).select("band", F.ceil(F.col("main") / block_shingles).cast("int").alias("p"), F.ceil(F.col("others") / block_shingles).cast("int").alias("q"))
+    met = links.join(first, "v").groupBy("u").agg(F.least("u", F.min("label")).alias("label"))
+    second = links.join(met, "u").groupBy("v").agg(F.min("label").alias("label"))
+    labels = second.unionByName(met.withColumnRenamed("u", "v")).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("label"))
+    labelled = table(members.where("m > 2").select("band", "node", "n", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    size = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m"), F.sum("n").alias("all")).where("least <> most")
+    once = mixed.groupBy("content", "m", "all").agg(F.min(F.struct("band", "main")).alias("b")).select("b.band", "b.main")
+    apart = labelled.join(once, "band").withColumn("rest", F.col("label") != F.col("main"))
+    sizes = apart.groupBy("band").agg(size(~F.col("rest")).alias("ours"), size(F.col("rest")).alias("others")).select("band", F.ceil(F.col("ours") / block_shingles).cast("int").alias("p"), F.ceil(F.col("others") / block_shingles).cast("int").alias("q"))
     own = apart.join(sizes, "band").withColumn("part", F.when(F.col("rest"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int"))
     other = F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1))
     blocks = own.withColumn("other", other).select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "label", "part", "n")
