@@ -7,18 +7,25 @@ an identifier of the kind.  Spark scores this graph in rounds.  A pattern's conf
 for a kind is the weight of trusted instances next to it, divided by all its occurrences in the corpus; only
 patterns with enough different trusted instances and a high confidence count.  A candidate's score is the
 chance that not all of its patterns are wrong; candidates above a level are trusted in the next
-round and their spans are added at the end.
+round, until no further one is, and their spans are added at the end.
 
-Corpus counts of patterns are exact: documents are scanned once more, and a bitmap of fixed
-size (``1 << BITMAP_BITS`` bits, whatever the corpus) only says which grams need not be sent.  All joins are on
+A fifth kind, ``secret``, has no base pattern: quoted strings of 32 or more hexadecimal digits are its seeds, but such a seed
+is added only where its context is trusted, because the shape alone may be a check sum.
+
+Corpus counts of patterns are exact: documents are scanned once more, and a bitmap whose size follows the number of
+patterns (at most ``1 << BITMAP_BITS`` bits) only says which grams need not be sent.  All joins are on
 hashes; common patterns are pre-aggregated.  Offsets are code points, ends exclusive.
 
+The words next to a span are looked for within ``CONTEXT`` characters on each side; a longer word there is no
+pattern.  A candidate is always a whole run of the characters of its shape.  All scans take time in proportion to a text's length.
 Null texts count as empty and have no spans.  Repeated rows get equal results; an empty table
-gives an empty result.  Memory is bounded by a slice of documents and a text's own matches.
+gives an empty result.  Input columns called ``base`` or ``added`` are carried as ``input_base`` and
+``input_added``.  Memory is bounded by a slice of documents and a text's own matches.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,27 +37,31 @@ from pyspark.sql import functions as F
 from .common import hashed_words, mix, raw_texts, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ALL_KINDS = (*KINDS, "secret")
+SECRET = 4
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
 ACCEPT = 0.8
-BITMAP_BITS = 18
+BITMAP_BITS = 27
+CONTEXT = 200
 
-# The base patterns.
+# The base patterns.  Runs are cut so that no text is scanned twice.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
-#: Loose shapes of candidates, by kind.
-_LOOSE = (
-    re.compile(r"[^\s@]{2,64}(?:@|\(at\)|\[at\])[^\s@]{2,64}"),
-    re.compile(r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}"),
-    re.compile(r"[0-9](?:[ ./-]?[0-9]){7,31}"),
-    re.compile(r"[+(0-9][0-9 ()./-]{5,22}[0-9]"),
-)
+# Loose shapes of candidates, as whole runs of their characters.
+_TOKEN = re.compile(r"\S+")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_GROUPS = re.compile(r"[0-9A-Fa-f.:]+")
+_GROUPED = re.compile(r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}")
+_LONG = re.compile(r"[0-9](?:[ ./-]?[0-9])*")
+_DIALLED = re.compile(r"[+0-9 ()./-]+")
+_HEX = re.compile(r"[\"'][0-9a-fA-F]{32,}[\"']")
+_CODE = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -66,6 +77,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost groups of four numbers joined by dots, whatever the numbers are."""
+    for m in _NUMBERS.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        at, numbers = m.start(), m.group().split(".")
+        for i in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -82,9 +105,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the base matches, sorted."""
     found = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.group().split(".")):
-                found.append((m.start(), 1, m.end()))
+        for a, b in _addresses(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in text[a:b].split(".")):
+                found.append((a, 1, b))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m.group())) <= 19 and _luhn(d):
                 found.append((m.start(), 2, m.end()))
@@ -94,21 +117,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """``(start, kind, end)`` of the seeds of secrets: quoted strings of hexadecimal digits, both letters and numbers."""
+    if '"' not in text and "'" not in text:
+        return []
+    return [(m.start() + 1, SECRET, m.end() - 1) for m in _HEX.finditer(text) if _DIGIT.search(m.group()) and re.search("[A-Fa-f]", m.group())]
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, int]]:
+    """``(start, kind, end)`` of what loosely looks like an identifier."""
+    if "@" in text or "(at)" in text or "[at]" in text:
+        for m in _TOKEN.finditer(text):
+            word = m.group().rstrip(".,;:!?")
+            if (at := _AT.search(word)) and at.start() > 1 and len(word) - at.end() > 1:
+                yield m.start(), 0, m.start() + len(word)
+    if not _DIGIT.search(text):
+        return
+    for m in _GROUPS.finditer(text):
+        word = m.group().strip(".:")
+        if len(_digits(word)) >= 4 and _GROUPED.fullmatch(word):
+            start = m.start() + m.group().index(word)
+            yield start, 1, start + len(word)
+    for m in _LONG.finditer(text):
+        if 8 <= len(_digits(m.group())) <= 32:
+            yield m.start(), 2, m.end()
+    for m in _DIALLED.finditer(text):
+        run = m.group()
+        start, end = len(run) - len(run.lstrip(" )./-")), len(run.rstrip(" ()./+-"))
+        if start < end and 7 <= len(_digits(run[start:end])) <= 20:
+            yield m.start() + start, 3, m.start() + end
+    for m in _CODE.finditer(text):
+        if _DIGIT.search(m.group()) and re.search("[A-Za-z]", m.group()):
+            yield m.start(), SECRET, m.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of loose matches that touch no base match."""
-    if not _DIGIT.search(text) and "@" not in text and "at" not in text:
-        return []
-    busy = sorted((a, b) for a, _, b in base)
-    out = []
-    for kind, shape in enumerate(_LOOSE):
-        if kind == 0 and not ("@" in text or "(at)" in text or "[at]" in text):
-            continue
-        i = 0
-        for m in shape.finditer(text):
-            while i < len(busy) and busy[i][1] <= m.start():
-                i += 1
-            if (i == len(busy) or busy[i][0] >= m.end()) and (kind == 0 or len(_digits(m.group())) >= (4, 4, 8, 7)[kind]):
-                out.append((m.start(), kind, m.end()))
+    busy, out, at = sorted((a, b) for a, _, b in base), [], {}
+    for start, kind, end in _runs(text):
+        i = at.get(kind, 0)
+        while i < len(busy) and busy[i][1] <= start:
+            i += 1
+        at[kind] = i
+        if i == len(busy) or busy[i][0] >= end:
+            out.append((start, kind, end))
     return out
 
 
@@ -118,6 +170,17 @@ def _grams(before: list[bytes], after: list[bytes]) -> list[tuple[bytes, int]]:
     return out + [(b" ".join(after[:k]), 1) for k in (1, 2) if len(after) >= k]
 
 
+def _around(text: str, start: int, end: int) -> tuple[list[bytes], list[bytes]]:
+    """Whole words before and after the token that holds a span, within ``CONTEXT`` characters of it."""
+    lo, hi, first, last = start, end, max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    while lo > first and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < last and not text[hi].isspace():
+        hi += 1
+    before, after = text[first:lo].encode().lower().split(), text[hi:last].encode().lower().split()
+    return before[1:] if first and not text[first - 1].isspace() else before, after[:-1] if last < len(text) and not text[last].isspace() else after
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
@@ -142,16 +205,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = value or ""
             base = base_spans(text)
             spans.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in base])
-            for seed, found in ((True, base), (False, candidates(text, base))):
+            sure = base + secrets(text)
+            for seed, found in ((True, sure), (False, candidates(text, sure))):
                 for start, kind, end in found:
-                    lo, hi = start, end
-                    while lo and not text[lo - 1].isspace():
-                        lo -= 1
-                    while hi < len(text) and not text[hi].isspace():
-                        hi += 1
-                    before = text[max(0, lo - 200) : lo].encode().lower().split()
-                    after = text[hi : hi + 200].encode().lower().split()
-                    for gram, side in _grams(before[1:] if lo > 200 else before, after[:-1] if hi + 200 < len(text) else after):
+                    for gram, side in _grams(*_around(text, start, end)):
                         flat.append((i, side, kind, seed, start, end))
                         grams.append(gram)
                         names.append((str(kind) + text[start:end].lower()).encode().replace(b" ", b"_") or b"_")
@@ -162,8 +219,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(spans, _SPANS), pa.array(edges, _EDGES)], ["carried", "base", "edges"])
 
 
-def _counter(bitmap: np.ndarray):
-    """Counts of the words and pairs whose hash is in the bitmap, by slice."""
+def _counter(bitmap: np.ndarray, bits: int):
+    """Counts of the words and pairs whose hash is in the bitmap; one task adds up until it holds many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -171,47 +228,61 @@ def _counter(bitmap: np.ndarray):
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             pairs = _pairs(h)[owner[:-1] == owner[1:]] if len(h) > 1 else h[:0]
             grams = np.concatenate([h, pairs])
-            grams = grams[bitmap[(grams >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]]
+            place = (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
+            grams = grams[(bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
             found, n = np.unique(grams, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
     return run
 
 
+def _bitmap(patterns: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the grams' lowest bits, some 16 for each of ``n`` patterns, from pieces that Spark aggregates."""
+    bits = min(BITMAP_BITS, max(15, math.ceil(math.log2(16 * n))))
+    place = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
+    pieces = patterns.groupBy(F.bitmap_bucket_number(place + 1).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    for r in pieces.collect():  # at most (1 << BITMAP_BITS) / 32768 pieces of 4 KB
+        bitmap[(r["piece"] - 1) * 4096 : r["piece"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap, bits
+
+
 def _gram_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Occurrences in the corpus of every gram of ``patterns``."""
-    bit = F.shiftrightunsigned("gram", 64 - BITMAP_BITS)
-    bits = [r[0] for r in patterns.select(bit.alias("bit")).distinct().collect()]  # at most one for each bit of the fixed bitmap
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    bitmap[bits] = True
-    held = texts.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    counts = texts.mapInArrow(lambda batches: _counter(np.unpackbits(held.value).astype(bool))(batches), "gram bigint, n bigint")
-    return counts.join(patterns.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("total"))
+    grams = patterns.select("gram").distinct()
+    bitmap, bits = _bitmap(grams, grams.count())
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)  # 16 MB at most
+    counts = texts.mapInArrow(lambda batches: _counter(held.value, bits)(batches), "gram bigint, n bigint")
+    return counts.join(grams, "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("total"))
 
 
-def trusted_instances(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
+def trusted_instances(edges: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
     """``kind`` and ``instance`` of candidates that the scored graph trusts; None if no pattern has enough seeds."""
     links = table(edges.groupBy("gram", "side", "kind", "instance", "seed").agg(F.count("*").alias("n")), "links")
-    able = links.groupBy("gram", "side", "kind").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where(F.col("seeds") >= min_seeds).where(F.col("others") > 0)
+    able = links.groupBy("gram", "side", "kind").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where(F.col("seeds") >= min_seeds).where((F.col("others") > 0) | (F.col("kind") == SECRET))
     patterns = table(able.select("gram", "side", "kind"), "patterns")
     if patterns.isEmpty():
         return None
     totals = _gram_totals(texts, patterns)
     graph = table(links.join(patterns, ["gram", "side", "kind"]).join(totals, "gram"), "graph")
     scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct()
-    for _ in range(rounds):
-        weighed = graph.join(scores, ["kind", "instance"])
+    known = -1
+    while True:
+        weighed = graph.join(scores.select("kind", "instance", "score"), ["kind", "instance"])
         confidence = weighed.groupBy("gram", "side", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"), F.count_if(F.col("score") >= accept).alias("support"))
         good = confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds)).select("gram", "side", "kind", "confidence")
-        joint = graph.join(good, ["gram", "side", "kind"], "left").groupBy("kind", "instance", "seed").agg(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))).alias("wrong"))
-        scores = table(joint.select("kind", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("wrong")).alias("score")), "scores")
-    return scores.where(~F.col("seed") & (F.col("score") >= accept)).select("kind", "instance")
+        joint = graph.join(good, ["gram", "side", "kind"], "left").groupBy("kind", "instance", "seed").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))).alias("merit"))
+        scores = table(joint.select("kind", "instance", "seed", "merit", F.when(F.col("seed"), 1.0).otherwise(F.col("merit")).alias("score")), "scores")
+        # scores never fall from round to round, so the number of trusted instances settles
+        before, known = known, scores.where(F.col("score") >= accept).count()
+        if known == before:
+            return scores.where((~F.col("seed") | (F.col("kind") == SECRET)) & (F.col("merit") >= accept)).select("kind", "instance")
 
 
 def find_spans(df: DataFrame, text: str = "text", carry: list[str] | None = None, **options: float) -> DataFrame:
     """The ``carry`` columns (default: all) of each row, ``base`` and ``added``: arrays of (start, kind, end), sorted."""
     carry = list(carry or df.columns)
-    rows = df.select(F.struct(*[df[c] for c in carry]).alias("carried"), df[text].alias("text"))
+    rows = df.select(F.struct(*[df[c].alias(f"input_{c}" if c in ("base", "added") else c) for c in carry]).alias("carried"), df[text].alias("text"))
     kind = rows.schema["carried"].dataType.simpleString()
     span = "array<struct<start: int, kind: int, end: int>>"
     edge = "array<struct<gram: bigint, side: int, instance: bigint, kind: int, seed: boolean, start: int, end: int>>"
@@ -221,20 +292,20 @@ def find_spans(df: DataFrame, text: str = "text", carry: list[str] | None = None
     if trusted is None:
         out = scanned.withColumn("added", F.expr("cast(array() as " + span + ")"))
     else:
-        new = edges.where("not seed").join(trusted, ["kind", "instance"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
+        new = edges.where(f"not seed or kind = {SECRET}").join(trusted, ["kind", "instance"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
         out = scanned.join(new, "row", "left").withColumn("added", F.expr(f"coalesce(added, cast(array() as {span}))"))
     return out.select("carried.*", "base", "added")
 
 
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; overlapping spans are replaced once."""
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in ALL_KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.struct(
         F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"] + 1))).alias("out"),

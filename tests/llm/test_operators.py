@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import struct
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -353,6 +355,50 @@ def test_pii_base_spans():
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.base_spans(text)] == [("email", "a.b+c@x-y.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (017) 555-7713")]
 
 
+def contract_spans(text):
+    """The base patterns by the standard library, one after the other."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        doubled = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))]
+        return sum(doubled) % 10 == 0
+
+    shapes = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), kind, m.end()) for kind, (shape, good) in enumerate(shapes) for m in re.finditer(shape, text) if good(m.group()))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(8)
+    pieces = [*"@.+-() %_aZ0159é\u0663", "1.2.3.4", "255", "0255", "a.b@c-d.e", "4111 1111 1111 1111", "+1 (017) 555-7713", "...", "  ", "@@", "12345678"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert pii.base_spans(text) == contract_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000, "1." * 200_000, "a" * 400_000 + "@", "+1(" * 130_000, "((((" * 100_000, "a@" * 200_000, "ab12" * 100_000, "12345678x" * 40_000, "\"" + "0a" * 200_000])
+def test_scans_take_linear_time(text):
+    start = time.process_time()
+    found = pii.candidates(text, pii.base_spans(text))
+    for begin, _, end in found:
+        pii._around(text, begin, end)
+    assert time.process_time() - start < 20
+
+
+def test_secrets_are_added_where_their_context_is_trusted(spark):
+    r = random.Random(4)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    texts = [f'{prose(i, 6)} token = "{code(40)}" {prose(70 + i, 4)}' for i in range(6)] + [f'{prose(300, 5)} token = "Xy7{code(15)}" end'] + [f'{prose(200 + i, 4)} "{code(40)}" {prose(220 + i, 4)}' for i in range(3)]
+    found = {row["doc_id"]: row["added"] for row in pii.find_spans(documents(spark, texts), carry=["doc_id"]).collect()}
+    assert all([s["kind"] for s in found[i]] == [pii.SECRET] for i in range(7)) and not any(found[i] for i in range(7, 10))
+    (span,) = found[6]
+    assert texts[6][span["start"] : span["end"]].startswith("Xy7")
+
+
 def test_pii_bootstraps_unseen_identifiers(spark):
     texts = [f"{prose(i, 6)} subscriber telephone +4930{1000000 + i} ends {prose(50 + i, 6)}" for i in range(8)]
     texts += [f"{prose(90, 4)} subscriber telephone 030-77{i}1234 ends {prose(91 + i, 4)}" for i in range(2)] + ["the number 030-5551234 alone", *ODD]
