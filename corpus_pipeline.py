@@ -10,7 +10,7 @@ last return the columns of ``documents`` (``doc_id, text, lang, source, n_chars`
    five-word shingles), the one with the smallest id; repeated rows leave one.
 3. ``substring_dedup`` removes every word covered by a repeated window of 35 words.  A document in
    which nothing repeats keeps its text as it is; one of which nothing is left goes.
-4. ``pii`` replaces personal data by the name of its kind in angle brackets.
+4. ``pii`` replaces personal data, and secrets in trusted contexts, by the name of their kind in angle brackets.
 5. ``packing`` tokenizes the texts and packs them into sequences of 2048 ids.
 
 Null texts go in the first stage.  Empty tables pass through as empty tables.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import language_id, near_dedup, packing, pii, suffix_dedup
-from gristmill.llm.common import table
+from gristmill.llm.common import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir).select(*COLUMNS), name)
+        with scratch(spark) as keep:  # what a stage writes on its way goes when its result is written
+            docs = keep(stage(spark, docs, sf_dir).select(*COLUMNS), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,17 +2,18 @@
 
 Vectors are grouped by length into bands of nearly equal norm (approximate
 percentiles), and large bands are split by a hash of the id into blocks that fit in
-memory.  The blocks of the longest band give each query a first bound on its k-th
-score.  In every other block the bound becomes a local cosine threshold; the block is skipped, or
-pruned either by length (a prefix of the block, sorted by norm) or by one coordinate (the
+memory.  The longest band gives each query a first bound on its k-th score.  A query then goes only to
+those of the other bands whose longest vector can reach its bound; this is decided in Spark, before anything is
+copied, and bands without queries are not read.  In a block the bound becomes a local cosine
+threshold; the block is pruned either by length (a prefix of the block, sorted by norm) or by one coordinate (the
 range that a vector within the cosine threshold can have there), whichever leaves
-fewer vectors; these are then verified by exact integer products.  Query
+fewer vectors; these are then verified by exact integer products, many queries at once where little was pruned.  Query
 rows meet candidates in blocks of both; what leaves a block is at most k rows a query.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows
 without an id.  Vectors meet only vectors of their own dimension.  A query excludes
 the rows with its own id; repeated candidates count as often as they occur; repeated
-equal queries are asked once.  Ties go to the smaller id.
+equal queries are asked once.  Ties go to the smaller id.  An empty table has no queries and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
     unit = c.astype(float) / np.maximum(norm, 1e-300)[:, None]
     by = np.argsort(unit, axis=0, kind="stable")
     sorted_unit = np.take_along_axis(unit, by, axis=0)
-    out = []
-    for row, qkey, qhash, bound in zip(q, queries["key"], queries["qhash"], queries["bound"], strict=True):
+    out, broad = [], []
+    for i, (row, bound) in enumerate(zip(q, queries["bound"], strict=True)):
         length = math.sqrt(float((row.astype(float) ** 2).sum()))
-        chosen = slice(None)
+        chosen = slice(0, len(c))
         if not pd.isna(bound) and bound > 0 and length > 0:
             cosine = bound / (length * max(norm[0], 1e-300)) * (1 - 1e-9)
             if cosine > 1:
@@ -71,23 +72,36 @@ def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
             high = x * cosine + spread if at_one > reach else 1.0
             a, b = np.searchsorted(sorted_unit[:, f], [low - 1e-9, high + 1e-9])
             chosen = slice(0, n_length) if n_length <= b - a else by[a:b, f]
-        scores, ids = c[chosen] @ row, keys[chosen]
-        keep = ids != qkey
-        if not pd.isna(bound):
-            keep &= scores >= bound
-        scores, ids = scores[keep], ids[keep]
-        best = np.lexsort((ids, -scores))[:k] if not big else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
-        out.append(pd.DataFrame({"qkey": qkey, "qhash": qhash, "vkey": ids[best], "score": [int(s) for s in scores[best]]}))
+        if isinstance(chosen, slice) and 2 * chosen.stop >= len(c) and not big:
+            broad.append(i)
+        else:
+            out.append(_best(i, c[chosen] @ row, keys[chosen], queries, k))
+    for part in np.array_split(broad, -(-len(broad) // 64)) if broad else []:
+        products = c @ q[part].T
+        out += [_best(i, products[:, j], keys, queries, k) for j, i in enumerate(part)]
     return pd.concat(out) if out else empty
 
 
-def _blocks(candidates: DataFrame, queries: DataFrame, sizes: DataFrame, n_query: int, k: int) -> DataFrame:
-    """Search every block of candidates against every block of queries of its dimension."""
-    to = F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))
-    left = candidates.select("dim", "band", "salt", to.alias("part"), "key", "v").groupBy("dim", "band", "salt", "part")
-    blocks = sizes.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    fresh = [F.col(c).alias(f"q_{c}") for c in ("dim", "band", "salt", "part")] + [F.col(c).alias(c) for c in ("key", "v", "qhash", "bound")]
-    right = queries.join(blocks, "dim").select(*fresh).groupBy("q_dim", "q_band", "q_salt", "q_part")
+def _best(i: int, scores: np.ndarray, ids: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best of one query's scores, ties to the smaller id."""
+    qkey, bound = queries["key"].iat[i], queries["bound"].iat[i]
+    keep = ids != qkey
+    if not pd.isna(bound):
+        keep &= scores >= bound
+    scores, ids = scores[keep], ids[keep]
+    if len(scores) > 4 * k and scores.dtype != object:
+        high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, ids = scores[high], ids[high]
+    best = np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k], int)
+    return pd.DataFrame({"qkey": qkey, "qhash": queries["qhash"].iat[i], "vkey": ids[best], "score": [int(s) for s in scores[best]]})
+
+
+def _blocks(candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Search the blocks of candidates for the queries that are ``asked`` of their bands (``dim``, ``band``, ``salts``, ``part``)."""
+    met = asked.select("dim", "band", "part").distinct()
+    left = candidates.join(met, ["dim", "band"]).select("dim", "band", "salt", "part", "key", "v").groupBy("dim", "band", "salt", "part")
+    fresh = [F.col(c).alias(f"q_{c}") for c in ("dim", "band", "part")] + [F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("q_salt"), *[F.col(c).alias(c) for c in ("key", "v", "qhash", "bound")]]
+    right = asked.select(*fresh).groupBy("q_dim", "q_band", "q_salt", "q_part")
     return left.cogroup(right).applyInPandas(lambda a, b: _search(a, b, k), _FOUND)
 
 
@@ -101,15 +115,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, bands: int = B
     edges = rows.agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)], 10_000)).first()[0] or []
     band = sum((F.when(F.col("norm") >= e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
     banded = rows.withColumn("band", band)
-    counts = banded.groupBy("dim", "band").count()
-    sizes = counts.withColumn("salts", F.ceil(F.col("count") / block_rows).cast("int"))
+    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("salts"), F.max("norm").alias("longest"))
     # at most one row for each dimension and band
-    placed = banded.join(sizes.drop("count"), ["dim", "band"]).withColumn("salt", F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("salts")).cast("int"))
-    asked = rows.where(is_query).select("key", "v", "dim", F.xxhash64("v").alias("qhash")).distinct()
+    placed = banded.join(sizes.drop("longest"), ["dim", "band"]).withColumn("salt", F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("salts")).cast("int"))
+    asked = rows.where(is_query).select("key", "v", "dim", "norm", F.xxhash64("v").alias("qhash")).distinct()
     n_query = max(1, math.ceil(asked.count() / query_rows))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n_query)).cast("int"))
     top = sizes.groupBy("dim").agg(F.max("band").alias("band"))
-    first = _blocks(placed.join(top, ["dim", "band"], "left_semi"), asked.withColumn("bound", F.lit(None).cast("double")), sizes.join(top, ["dim", "band"], "left_semi"), n_query, k)
+    first = _blocks(placed.join(top, ["dim", "band"], "left_semi"), asked.withColumn("bound", F.lit(None).cast("double")).join(sizes.join(top, ["dim", "band"], "left_semi"), "dim"), k)
     bounds = _top(first, k).where(F.col("rank") == k).select(F.col("qkey").alias("key"), "qhash", F.col("score").cast("double").alias("bound"))
-    rest = _blocks(placed.join(top, ["dim", "band"], "left_anti"), asked.join(bounds, ["key", "qhash"], "left"), sizes.join(top, ["dim", "band"], "left_anti"), n_query, k)
+    able = F.col("bound").isNull() | (F.col("bound") <= F.col("norm") * F.col("longest") * (1 + 1e-9))
+    further = asked.join(bounds, ["key", "qhash"], "left").join(sizes.join(top, ["dim", "band"], "left_anti"), "dim").where(able)
+    rest = _blocks(placed.join(top, ["dim", "band"], "left_anti"), further, k)
     return _top(first.unionByName(rest), k).select(F.col("qkey").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vkey").alias("vec_id"), "score")
