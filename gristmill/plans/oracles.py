@@ -60,11 +60,40 @@ def coverage(r: str, most: int) -> str:
     return f"(CASE WHEN len({r}) < 6 THEN 0.0::DOUBLE ELSE coalesce(list_max(list_transform({periods}, lambda p: {cover})), 0.0::DOUBLE) END)"
 
 
-#: Of every document: words, words of the head, the tail's words and characters from the end, and the tail's mode.
-PARTS = f"""parts AS (
+def lz(source: str) -> str:
+    """``WITH`` parts giving ``lz``: tokens per character of the greedy parse of each distinct head ``s`` of texts.
+
+    The longest earlier match of every place is found by halving steps, from the places the parse picks its way.
+    """
+    found = lambda m: f"instr(w, substring(w, k + 1, {m})) <= k"
+    longest = f"(SELECT *, CASE WHEN NOT {found(4)} THEN 3 WHEN n - i + 1 < 16 OR NOT {found(16)} THEN 4 ELSE 16 END AS m FROM lz_places)"
+    for step in (128, 64, 32, 16, 8, 4, 2, 1):
+        able = f"m >= {16 if step > 8 else 4} AND m + {step} <= least(255, n - i + 1) AND {found(f'm + {step}')}"
+        longest = f"(SELECT * REPLACE (CASE WHEN {able} THEN m + {step} ELSE m END AS m) FROM {longest})"
+    return f"""lz_heads AS (SELECT s, length(s) AS n FROM (SELECT DISTINCT text[1:4000] AS s FROM {source}) WHERE length(s) >= 64),
+lz_places AS (SELECT s, n, i, least(i - 1, 1024) AS k, substring(s, greatest(1, i - 1024), least(i - 1, 1024) + 255) AS w FROM (SELECT *, unnest(range(1, n - 2)) AS i FROM lz_heads)),
+lz_jumps AS (SELECT s, n, list({{'next': CASE WHEN m > 3 THEN m ELSE 1 END, 'tokens': i}} ORDER BY i) AS j FROM {longest} GROUP BY s, n),
+lz AS (SELECT s, (r.tokens + n - (r.next - 1))::DOUBLE / n AS ratio FROM (
+    SELECT s, n, list_reduce(list_prepend({{'next': 1::BIGINT, 'tokens': 0::BIGINT}}, j), lambda a, x: CASE WHEN x.tokens = a.next THEN {{'next': a.next + x.next, 'tokens': a.tokens + 1}} ELSE a END) AS r FROM lz_jumps))"""
+
+
+RATIO = "coalesce(ratio, 1.0::DOUBLE)"
+ENTROPY = f"(CASE WHEN length({trim('text')}) < 64 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - {RATIO} / 0.32)) END)"
+
+
+def parts(source: str = "documents", entropy: bool = False, texts: str | None = None) -> str:
+    """Of every text: words, words of the head, the tail's words and characters from the end, and the tail's mode.
+
+    With ``entropy`` the ratio of the greedy parse too, made from ``texts`` where that is a plainer name of the source.
+    """
+    rows = f"{source} LEFT JOIN lz ON lz.s = text[1:4000]" if entropy else source
+    return (f"{lz(texts or source)}, " if entropy else "") + f"""parts AS (
     SELECT *, CASE WHEN {non_spaced('tail')} >= 0.5 THEN 'char' ELSE 'word' END AS mode,
         list_reverse(w[greatest(1, len(w) - 199):]) AS rw, list_reverse(CASE WHEN tail = '' THEN [] ELSE string_split(tail, '') END) AS rc
-    FROM (SELECT *, {words('text')} AS w, {words('text[1:8000]')} AS wh, right({BARE}, 400) AS tail FROM documents))"""
+    FROM (SELECT *, {words('text')} AS w, {words('text[1:8000]')} AS wh, right({BARE}, 400) AS tail FROM {rows}))"""
+
+
+PARTS = parts()
 
 
 def tail(mode: str) -> str:
@@ -109,20 +138,21 @@ def mismatch(target: str) -> str:
 TARGET = "CASE lang " + " ".join(f"WHEN '{x}' THEN s_{x}" for x in LANGUAGES) + " END"
 
 
-def verdict(least: int, rep: float, word: float, char: float, truncated: float | None = None, json: bool = False) -> tuple[str, str, str]:
+def verdict(least: int, rep: float, word: float, char: float, truncated: float | None = None, json: bool = False, entropy: float | None = None) -> tuple[str, str, str]:
     """``WITH`` parts giving ``scored`` with scores, thresholds and the list of reasons that fire; its columns; the list."""
     cut = f", {TRUNCATION} AS truncated" if truncated is not None else ""
+    dense = f", {ENTROPY} AS dense" if entropy is not None else ""
     fired = [
-        ("TOO_SHORT", "too_short > 0"), ("REPETITION", f"rep > {rep}"), ("TAIL_LOOP", f"tail > CASE WHEN mode = 'char' THEN {char} ELSE {word} END"),
+        ("TOO_SHORT", "too_short > 0"), ("REPETITION", f"rep > {rep}"), ("TAIL_LOOP", f"tail > CASE WHEN mode = 'char' THEN {char} ELSE {word} END"), *([("LOW_ENTROPY", f"dense > {entropy}")] if entropy is not None else []),
         *([("TRUNCATED", f"truncated > {truncated}")] if truncated is not None else []), *([("INVALID_JSON", "invalid > 0")] if json else []),
     ]
     bad = f", CASE WHEN json_valid({_T}) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS invalid" if json else ""
     reasons = "CASE WHEN empty >= 1 THEN ['EMPTY'] ELSE list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in fired) + "], lambda x: x IS NOT NULL) END"
-    scored = f"scored AS (SELECT *, {reasons} AS reasons FROM (SELECT doc_id, text, mode, {EMPTY} AS empty, {short(least)} AS too_short, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail{cut}{bad} FROM parts))"
-    shown = ["empty", "too_short", "rep", "tail"] + ["truncated"] * (truncated is not None)
-    names = ["score_empty", "score_too_short", "score_repetition", "score_tail_loop"] + ["score_truncated"] * (truncated is not None)
+    scored = f"scored AS (SELECT *, {reasons} AS reasons FROM (SELECT doc_id, text, mode, {EMPTY} AS empty, {short(least)} AS too_short, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail{dense}{cut}{bad} FROM parts))"
+    shown = ["empty", "too_short", "rep", "tail"] + ["dense"] * (entropy is not None) + ["truncated"] * (truncated is not None)
+    names = ["score_empty", "score_too_short", "score_repetition", "score_tail_loop"] + ["score_low_entropy"] * (entropy is not None) + ["score_truncated"] * (truncated is not None)
     columns = ", ".join(f"round(CASE WHEN empty >= 1 AND '{a}' <> 'empty' THEN NULL ELSE {a} END, 6) AS {b}" for a, b in zip(shown, names, strict=True))
-    return f"WITH {PARTS}, {scored}", columns, reasons
+    return f"WITH {parts(entropy=entropy is not None)}, {scored}", columns, reasons
 
 
 def verdict_query(*args: object, **options: object) -> str:
@@ -130,7 +160,24 @@ def verdict_query(*args: object, **options: object) -> str:
     return f"{parts} SELECT doc_id, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons, {columns} FROM scored"
 
 
+def reason_counts(chat: tuple[str, str, str]) -> str:
+    dense = "WHEN 'LOW_ENTROPY' THEN dense " if "dense" in chat[1] else ""
+    return f"""{chat[0]}, fired AS (SELECT unnest(reasons) AS code, * EXCLUDE reasons FROM scored)
+SELECT code, count(*) AS n, round(max(CASE code WHEN 'EMPTY' THEN 1.0 WHEN 'TOO_SHORT' THEN too_short WHEN 'REPETITION' THEN rep {dense}ELSE tail END)::DOUBLE, 6) AS worst FROM fired GROUP BY code"""
+
+
+def calibrate_maps(chat: tuple[str, str, str]) -> str:
+    code, mode, score = ("'LOW_ENTROPY', ", "NULL, ", "dense, ") if "dense" in chat[1] else ("", "", "")
+    return f"""{chat[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', {code}'TAIL_LOOP']) AS code, unnest([NULL, NULL, NULL, {mode}mode]) AS mode, unnest([empty, too_short, rep, {score}tail]) AS score, empty FROM scored)
+SELECT code, mode, count(*) AS n, count(*) FILTER (score > 0) AS non_zero, round(max(score), 6) AS max, round(quantile_cont(score, 0.99), 6) AS p99 FROM long WHERE empty < 1 OR code = 'EMPTY' GROUP BY code, mode"""
+
+
+def check_footer(chat: tuple[str, str, str]) -> str:
+    return f"{chat[0]} SELECT count(*) AS checked, count(*) FILTER (len(reasons) > 0) AS degenerate, 0::BIGINT AS unrecognised FROM scored"
+
+
 CHAT = verdict(12, 0.4, 0.5, 0.7)
+WHOLE_CHAT = verdict(12, 0.4, 0.5, 0.7, entropy=0.75)
 
 SCORES = f"""{PARTS}, scores AS (
     SELECT doc_id, unnest(['REPETITION', 'TAIL_LOOP', 'TOO_SHORT']) AS code, unnest([NULL, mode, NULL]) AS mode,
@@ -213,16 +260,23 @@ WITH {GIVEN}, w AS (SELECT conv_id, turn, {words('text[1:8000]')} AS o, {words('
 r AS (SELECT conv_id, turn, len(o) AS n, len(s) AS m, {runs('o', 5)} AS a, {runs('s', 5)} AS b FROM w)
 SELECT conv_id, turn, round(CASE WHEN n < 8 OR m < 5 THEN 0.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) END, 6) AS score FROM r""",
     "benchmark_echo": f"""
-WITH known AS (SELECT DISTINCT unnest({runs('w', 5)}) AS run FROM (SELECT {words('text[1:8000]')} AS w FROM benchmark)),
-out AS (SELECT doc_id, unnest({runs('w', 5)}) AS run FROM (SELECT doc_id, {words('text[1:8000]')} AS w FROM documents))
+WITH known AS (SELECT DISTINCT unnest({runs('w', 5)}) AS run FROM (SELECT {words('text')} AS w FROM benchmark)),
+out AS (SELECT doc_id, unnest({runs('w', 5)}) AS run FROM (SELECT doc_id, {words('text')} AS w FROM documents))
 SELECT doc_id, count(*)::BIGINT AS n_runs, count(known.run)::BIGINT AS hits, round(count(known.run)::DOUBLE / count(*), 6) AS score FROM out LEFT JOIN known USING (run) GROUP BY doc_id""",
     "verdict_chat_native": verdict_query(12, 0.4, 0.5, 0.7),
     "verdict_long_form_native": verdict_query(200, 0.35, 0.4, 0.6, 0.75),
     "verdict_strict_json": verdict_query(2, 0.6, 0.6, 0.75, 0.75, True),
-    "reason_counts": f"""{CHAT[0]}, fired AS (SELECT unnest(reasons) AS code, * EXCLUDE reasons FROM scored)
-SELECT code, count(*) AS n, round(max(CASE code WHEN 'EMPTY' THEN 1.0 WHEN 'TOO_SHORT' THEN too_short WHEN 'REPETITION' THEN rep ELSE tail END)::DOUBLE, 6) AS worst FROM fired GROUP BY code""",
-    "check_footer": f"{CHAT[0]} SELECT count(*) AS checked, count(*) FILTER (len(reasons) > 0) AS degenerate, 0::BIGINT AS unrecognised FROM scored",
+    "verdict_chat": verdict_query(12, 0.4, 0.5, 0.7, entropy=0.75),
+    "verdict_long_form": verdict_query(200, 0.35, 0.4, 0.6, 0.75, entropy=0.7),
+    "verdict_lenient": verdict_query(1, 0.7, 0.7, 0.85, entropy=0.9),
+    "low_entropy": f"WITH {lz('documents')} SELECT doc_id, round({RATIO}, 6) AS ratio, round({ENTROPY}, 6) AS score FROM documents LEFT JOIN lz ON lz.s = text[1:4000]",
+    "reason_counts": reason_counts(CHAT),
+    "reason_counts_full": reason_counts(WHOLE_CHAT),
+    "check_footer": check_footer(CHAT),
+    "check_footer_full": check_footer(WHOLE_CHAT),
     "assert_output": f"{CHAT[0]} SELECT doc_id FROM scored WHERE len(reasons) = 0",
+    "assert_output_full": f"{WHOLE_CHAT[0]} SELECT doc_id FROM scored WHERE len(reasons) = 0",
+    "verdict_lines_read": f"{WHOLE_CHAT[0]} SELECT doc_id, 'doc:' || doc_id AS label, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons, CASE WHEN empty < 1 THEN round(rep, 6) END AS repetition, CASE WHEN empty < 1 THEN mode END AS mode FROM scored",
     "calibrate_summary": f"""
 WITH {SCORES},
 ranked AS (SELECT *, row_number() OVER g AS i, lead(score) OVER g AS above, count(*) OVER (PARTITION BY code, mode) AS n FROM scores WINDOW g AS (PARTITION BY code, mode ORDER BY score)),
@@ -234,8 +288,8 @@ SELECT s.code, s.mode, n, non_zero, min, max, round(p[1], 6) AS p50, round(p[2],
     ((n * 0.01 < 10)::INT + (max = 0 OR p[1] = max)::INT + (below IS NULL OR g.count < 5)::INT)::BIGINT AS n_caveats,
     CASE s.code WHEN 'REPETITION' THEN 'max_repetition' WHEN 'TAIL_LOOP' THEN CASE WHEN s.mode = 'char' THEN 'max_char_tail_loop' ELSE 'max_tail_loop' END END AS option, s.code IN ('EMPTY', 'TOO_SHORT') AS rate_only
 FROM stats s LEFT JOIN gaps g ON g.code = s.code AND g.mode IS NOT DISTINCT FROM s.mode""",
-    "calibrate_maps": f"""{CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP']) AS code, unnest([NULL, NULL, NULL, mode]) AS mode, unnest([empty, too_short, rep, tail]) AS score, empty FROM scored)
-SELECT code, mode, count(*) AS n, count(*) FILTER (score > 0) AS non_zero, round(max(score), 6) AS max, round(quantile_cont(score, 0.99), 6) AS p99 FROM long WHERE empty < 1 OR code = 'EMPTY' GROUP BY code, mode""",
+    "calibrate_maps": calibrate_maps(CHAT),
+    "calibrate_maps_full": calibrate_maps(WHOLE_CHAT),
     "label_margins": f"""
 WITH {SCORES}, pairs AS (SELECT code, mode, coalesce(max(score) FILTER (quality <> 0), 0.0) AS healthy_max, min(score) FILTER (quality = 0 AND score > 0.05) AS degenerate_min FROM scores JOIN labels USING (doc_id) GROUP BY code, mode)
 SELECT code, mode, round(healthy_max, 6) AS healthy_max, round(degenerate_min, 6) AS degenerate_min, round(degenerate_min - healthy_max, 6) AS margin, degenerate_min - healthy_max > 0.2 AS safe FROM pairs""",
@@ -263,11 +317,44 @@ FROM conversations, (SELECT unnest(['openai_chat', 'openai_responses', 'anthropi
 
 ORACLES["stateful_stream_guard"] = f"SELECT doc_id, caught_at, reasons FROM ({ORACLES['stream_replay_first_catch']}) WHERE caught_at >= 0"
 
-ORACLES["benchmark_echo_whole"] = ORACLES["benchmark_echo"].replace("text[1:8000]", "text")
+ORACLES["benchmark_echo_whole"] = ORACLES["benchmark_echo"]
 
-_PREAMBLE = PARTS.replace("FROM documents", "FROM given WHERE conv_id % 3 = 0")
 _LOOPED = "conv_id % 2 = 0"
-ORACLES["merge_verdicts"] = f"""
-WITH {GIVEN}, {_PREAMBLE}, judged AS (SELECT conv_id, turn, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail, mode FROM parts),
-counted AS (SELECT *, ((rep > 0.4)::INT + (tail > CASE WHEN mode = 'char' THEN 0.7 ELSE 0.5 END)::INT + CASE WHEN {_LOOPED} THEN 2 ELSE 0 END)::BIGINT AS n_reasons FROM judged)
+
+
+def merged(entropy: bool) -> str:
+    """Tool-call turns: the preamble's reasons and those of looping arguments."""
+    before = parts("(SELECT * FROM given WHERE conv_id % 3 = 0)", entropy)
+    dense = f" + ({ENTROPY} > 0.75)::INT" if entropy else ""
+    return f"""
+WITH {GIVEN}, {before}, judged AS (SELECT conv_id, turn, text, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail, mode{', ratio' if entropy else ''} FROM parts),
+counted AS (SELECT *, ((rep > 0.4)::INT{dense} + (tail > CASE WHEN mode = 'char' THEN 0.7 ELSE 0.5 END)::INT + CASE WHEN {_LOOPED} THEN 2 ELSE 0 END)::BIGINT AS n_reasons FROM judged)
 SELECT conv_id, turn, n_reasons = 0 AS ok, n_reasons, round(greatest(rep, CASE WHEN {_LOOPED} THEN 1 - 3.0::DOUBLE / 88 ELSE 0.0 END), 6) AS repetition FROM counted"""
+
+
+ORACLES["merge_verdicts"], ORACLES["merge_verdicts_full"] = merged(False), merged(True)
+
+_ECHO = f"""(CASE WHEN {non_spaced('text[1:8000]')} >= 0.5 THEN NULL WHEN len(o) < 40 OR len(p) < 5 THEN 0.0::DOUBLE
+    ELSE len(list_filter({runs('o', 5)}, lambda x: list_contains({runs('p', 5)}, x)))::DOUBLE / (len(o) - 4) END)"""
+_SPOKEN = f"(SELECT *, {words('text[1:8000]')} AS o, {words('prompt[1:8000]')} AS p FROM given)"
+ORACLES["score_envelopes"] = f"""
+WITH {GIVEN}, {parts(_SPOKEN, True, 'given')},
+judged AS (SELECT conv_id, turn, {EMPTY} AS empty, {short(12)} AS too_short, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail, mode, {ENTROPY} AS dense, {_ECHO} AS echo,
+    CASE WHEN turn % 4 = 1 THEN 1.0::DOUBLE ELSE {TRUNCATION} END AS truncated FROM parts),
+fired AS (SELECT *, conv_id % 3 = 0 AS tool, CASE WHEN empty >= 1 THEN ['EMPTY'] ELSE list_filter([CASE WHEN NOT tool AND too_short > 0 THEN 'TOO_SHORT' END, CASE WHEN rep > 0.4 THEN 'REPETITION' END,
+    CASE WHEN tail > CASE WHEN mode = 'char' THEN 0.7 ELSE 0.5 END THEN 'TAIL_LOOP' END, CASE WHEN dense > 0.75 THEN 'LOW_ENTROPY' END, CASE WHEN NOT tool AND truncated > 0.75 THEN 'TRUNCATED' END,
+    CASE WHEN echo > 0.6 THEN 'PROMPT_ECHO' END], lambda x: x IS NOT NULL) END AS own FROM judged),
+whole AS (SELECT *, CASE WHEN tool AND {_LOOPED} THEN list_concat(own, ['REPETITION', 'TAIL_LOOP']) ELSE own END AS reasons FROM fired)
+SELECT conv_id, turn, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons FROM whole"""
+
+ORACLES["verdict_full"] = f"""
+WITH {parts(f"(SELECT *, {JUDGED} AS judged FROM documents)", True, 'documents')},
+shared AS (SELECT *, {', '.join(f"{share(x)} AS s_{x}" for x in LANGUAGES)} FROM parts),
+measured AS (SELECT doc_id, mode, {EMPTY} AS empty, {short(12)} AS too_short, {repetition('wh', 3)} AS rep, {tail('mode')} AS tail, {ENTROPY} AS dense, {TRUNCATION_WITH_REASON} AS truncated,
+    CASE WHEN json_valid({_T}) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS invalid, {script(r'\p{Latin}')} AS script, CASE WHEN lang IS NOT NULL THEN {mismatch(TARGET)} END AS language FROM shared),
+fired AS (SELECT *, CASE WHEN empty >= 1 THEN ['EMPTY'] ELSE list_filter([CASE WHEN too_short > 0 THEN 'TOO_SHORT' END, CASE WHEN rep > 0.4 THEN 'REPETITION' END, CASE WHEN tail > CASE WHEN mode = 'char' THEN 0.7 ELSE 0.5 END THEN 'TAIL_LOOP' END,
+    CASE WHEN dense > 0.75 THEN 'LOW_ENTROPY' END, CASE WHEN truncated > 0.75 THEN 'TRUNCATED' END, CASE WHEN invalid > 0 THEN 'INVALID_JSON' END, CASE WHEN script > 0.5 THEN 'SCRIPT_MISMATCH' END, CASE WHEN language > 0.6 THEN 'LANG_MISMATCH' END], lambda x: x IS NOT NULL) END AS reasons FROM measured)
+SELECT doc_id, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons, empty AS score_empty, """ + ", ".join(
+    f"round(CASE WHEN empty < 1 THEN {a} END, 6) AS score_{b}"
+    for a, b in (("too_short", "too_short"), ("rep", "repetition"), ("tail", "tail_loop"), ("dense", "low_entropy"), ("truncated", "truncated"), ("invalid", "invalid_json"), ("script", "script_mismatch"), ("language", "lang_mismatch"))
+) + " FROM fired"

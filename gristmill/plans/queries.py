@@ -18,7 +18,7 @@ from ..sources import envelopes as e
 from ..sources import scans, sinks
 from ..streaming import guard
 
-#: The presets without LOW_ENTROPY, whose parse SQL cannot express.
+#: The presets without LOW_ENTROPY, the one detector that runs in Python.
 NO_ENTROPY = {name: o.but(max_compressibility=None) for name, o in k.PRESETS.items()}
 
 
@@ -139,22 +139,15 @@ def prompt_echo_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", r6(d.prompt_echo_score(F.col("text"), F.col("prompt"), min_tokens=8, mode="word")).alias("score"))
 
 
-def _benchmark_echo(most: int | None):
-    """Share of each document's five-word runs that stand in some benchmark item; a semi join on runs.
-
-    With ``most``, documents and items are read to that many characters only, and what stands beyond is not seen.
-    """
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        runs = lambda df: t.runs(t.words(df["text"] if most is None else F.substring(df["text"], 1, most)), 5)
-        documents, items = _documents(spark, sf_dir), read(spark, sf_dir, "benchmark")
-        out = documents.select("doc_id", F.explode(runs(documents)).alias("run"))
-        known = items.select(F.explode(runs(items)).alias("run")).distinct()
-        hits = out.join(known, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
-        n = documents.select("doc_id", F.size(runs(documents)).cast("long").alias("n_runs")).where("n_runs > 0")
-        return n.join(hits, "doc_id", "left").select("doc_id", "n_runs", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), r6(F.coalesce("hits", F.lit(0)) / F.col("n_runs")).alias("score"))
-
-    return query
+def benchmark_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each document's five-word runs, whole texts, that stand in some benchmark item; a semi join on runs."""
+    runs = lambda df: t.runs(t.words(df["text"]), 5)
+    documents, items = _documents(spark, sf_dir), read(spark, sf_dir, "benchmark")
+    out = documents.select("doc_id", F.explode(runs(documents)).alias("run"))
+    known = items.select(F.explode(runs(items)).alias("run")).distinct()
+    hits = out.join(known, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    n = documents.select("doc_id", F.size(runs(documents)).cast("long").alias("n_runs")).where("n_runs > 0")
+    return n.join(hits, "doc_id", "left").select("doc_id", "n_runs", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), r6(F.coalesce("hits", F.lit(0)) / F.col("n_runs")).alias("score"))
 
 
 def _verdicts(preset: str, entropy: bool):
@@ -189,6 +182,17 @@ def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.verdict_lines(rows)
 
 
+def verdict_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``verdict_lines``, read back as a log of scores is read."""
+    line = F.col("value")
+    found = scans.extract_scores(line)
+    rows = verdict_lines(spark, sf_dir).select(F.get_json_object(line, "$.label").alias("label"), F.from_json(line, "ok boolean, reasons array<struct<code: string>>").alias("v"), found.alias("f"))
+    return rows.select(
+        F.replace("label", F.lit("doc:"), F.lit("")).cast("long").alias("doc_id"), "label", F.col("v.ok").alias("ok"), F.array_join("v.reasons.code", ",").alias("reasons"),
+        r6(F.col("f.scores")["REPETITION"]).alias("repetition"), F.col("f.modes")["TAIL_LOOP"].alias("mode"),
+    )
+
+
 def assert_output(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
     """Documents that pass, asserted to pass."""
     o = presets["chat"]
@@ -381,8 +385,8 @@ QUERIES = {
     "json_string_leaves": json_string_leaves,
     "schema_check": schema_check,
     "prompt_echo_conversations": prompt_echo_conversations,
-    "benchmark_echo": _benchmark_echo(8000),
-    "benchmark_echo_whole": _benchmark_echo(None),
+    "benchmark_echo": benchmark_echo,
+    "benchmark_echo_whole": benchmark_echo,  # the name under which whole texts were first read
     "verdict_chat": _verdicts("chat", True),
     "verdict_long_form": _verdicts("longForm", True),
     "verdict_lenient": _verdicts("lenient", True),
@@ -395,6 +399,7 @@ QUERIES = {
     "check_footer": check_footer,
     "check_footer_full": _full(check_footer),
     "verdict_lines": verdict_lines,
+    "verdict_lines_read": verdict_lines_read,
     "assert_output": assert_output,
     "assert_output_full": _full(assert_output),
     "calibrate_summary": calibrate_summary,
