@@ -20,9 +20,6 @@ from .operators.calibrate import calibrate
 from .operators.check import PRESETS, check_output
 from .sources import scans, sinks
 
-SHOWN = 10_000
-
-
 def _check(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.preset not in PRESETS:
         print(f"--preset expects one of: {', '.join(PRESETS)}", file=sys.stderr)
@@ -42,7 +39,7 @@ def _check(spark: SparkSession, args: argparse.Namespace) -> int:
         for row in sinks.verdict_lines(known).toLocalIterator():
             print(row["value"])
     elif not args.quiet:
-        for row in known.select("label", "verdict").limit(SHOWN).toLocalIterator():
+        for row in known.select("label", "verdict").toLocalIterator():
             print(sinks.describe(row["label"], row["verdict"]))
         more = f", {counts['unrecognised']} line(s) unrecognised" if counts["unrecognised"] else ""
         print(f"\n  {counts['checked']} checked under {args.preset}, {counts['degenerate']} degenerate{more}")

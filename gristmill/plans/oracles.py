@@ -358,3 +358,20 @@ SELECT doc_id, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons,
     f"round(CASE WHEN empty < 1 THEN {a} END, 6) AS score_{b}"
     for a, b in (("too_short", "too_short"), ("rep", "repetition"), ("tail", "tail_loop"), ("dense", "low_entropy"), ("truncated", "truncated"), ("invalid", "invalid_json"), ("script", "script_mismatch"), ("language", "lang_mismatch"))
 ) + " FROM fired"
+
+_LONG_FORM = verdict(200, 0.35, 0.4, 0.6, 0.75, entropy=0.7)[0].replace(f"{TRUNCATION} AS truncated", f"{TRUNCATION_WITH_REASON} AS truncated")
+ORACLES["stream_end"] = f"""
+{_LONG_FORM.replace(" AS reasons FROM (SELECT doc_id", " AS ended, list_filter([CASE WHEN rep > 0.35 THEN 'REPETITION' END, CASE WHEN tail > CASE WHEN mode = 'char' THEN 0.6 ELSE 0.4 END THEN 'TAIL_LOOP' END, CASE WHEN dense > 0.7 THEN 'LOW_ENTROPY' END], lambda x: x IS NOT NULL) AS before FROM (SELECT doc_id")},
+chosen AS (SELECT *, CASE WHEN doc_id % 7 <> 3 THEN ended WHEN empty >= 1 THEN ['EMPTY'] ELSE before END AS reasons FROM scored WHERE doc_id % 7 <> 3 OR {_T} <> '')
+SELECT doc_id, length(text)::BIGINT AS at_chars, CASE WHEN doc_id % 7 = 3 THEN 'preamble' ELSE 'end' END AS kind, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons FROM chosen"""
+ORACLES["stream_policies"] = f"""
+SELECT doc_id, CASE WHEN policy = 'abort' AND caught_at >= 0 THEN least(caught_at, n_chars) ELSE n_chars END::BIGINT AS n_chars, policy
+FROM ({ORACLES['stream_replay_first_catch']}), (SELECT unnest(['abort', 'ignore']) AS policy)"""
+ORACLES["scan_responses"] = """
+SELECT doc_id, sha256(text) AS text_sha256, (SELECT count(*) FROM documents WHERE doc_id % 11 <> 4) AS lines, (SELECT count(*) FROM documents WHERE doc_id % 11 = 7) AS unrecognised
+FROM documents WHERE doc_id % 11 NOT IN (4, 7)"""
+ORACLES["scan_texts"] = "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark"
+ORACLES["scan_scores"] = f"""
+{CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP']) AS code, unnest([empty, too_short, rep, tail]) AS score, empty, mode FROM scored)
+SELECT code, count(*) AS n, round(max(score), 6) AS worst, count(*) FILTER (empty < 1 AND mode = 'char') AS by_char FROM long WHERE empty < 1 OR code = 'EMPTY' GROUP BY code"""
+ORACLES["exit_codes"] = f"{CHAT[0]} SELECT source, max(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM scored JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"

@@ -352,17 +352,82 @@ def _shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stateful_stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents streamed in chunks of 100 characters through the stateful guard; those caught before their end."""
+def _streamed(spark: SparkSession, chunks: DataFrame, options) -> DataFrame:
+    """Verdicts of a stream made of the chunks."""
     folder = _shared_folder(spark, "guard")
-    guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100).write.parquet(f"{folder}/chunks")
+    chunks.write.parquet(f"{folder}/chunks")
     stored = spark.read.parquet(f"{folder}/chunks")
-    chunks = spark.readStream.schema(stored.schema).parquet(f"{folder}/chunks")
-    judged = guard.run_to_table(guard.spans_to_judge(chunks), NO_ENTROPY["chat"].but(min_length=0), folder)
+    return guard.run_to_table(guard.spans_to_judge(spark.readStream.schema(stored.schema).parquet(f"{folder}/chunks")), options, folder)
+
+
+def stateful_stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents streamed in chunks of 100 characters through the stateful guard; those caught before their end."""
+    judged = _streamed(spark, guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100), NO_ENTROPY["chat"].but(min_length=0))
     found = guard.first_failures(judged.where("kind = 'window'"))
     return found.select(F.col("response_id").cast("long").alias("doc_id"), "caught_at", F.array_join("reasons", ",").alias("reasons"))
 
 
+def stream_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last verdict of each document streamed in chunks: the full check under the stop reason, or that of a preamble.
+
+    Every seventh document is a turn with a tool call.
+    """
+    rows = _documents(spark, sf_dir).select("doc_id", "text", finish_reason().alias("stop"))
+    chunks = guard.chunked(rows, "doc_id", "text", 500).join(rows.select(F.col("doc_id").cast("string").alias("response_id"), "stop", (F.col("doc_id") % 7 == 3).alias("tool")), "response_id")
+    chunks = chunks.select("response_id", "seq", "delta", F.when(F.col("is_end"), F.col("stop")).alias("finish_reason"), "is_end", (F.col("tool") & (F.col("seq") == 0)).alias("tool_call"))
+    judged = _streamed(spark, chunks, k.PRESETS["longForm"]).where("kind in ('end', 'preamble')")
+    return judged.select(F.col("response_id").cast("long").alias("doc_id"), "at_chars", "kind", F.col("verdict.ok").alias("ok"), F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"))
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, value: Column) -> str:
+    """A folder of text files with one value for each document, as some producer might have written them."""
+    folder = _shared_folder(spark, name)
+    _documents(spark, sf_dir).select(value.alias("value")).write.text(folder)
+    return folder
+
+
+def scan_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses read from JSON lines, with blank and foreign lines among them; the id is found in the text."""
+    line = F.when(F.col("doc_id") % 11 == 4, F.lit("")).when(F.col("doc_id") % 11 == 7, F.lit('{"level": "info"}')).otherwise(F.to_json(F.struct(F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("output"))))
+    rows = scans.read_responses(spark, _written(spark, sf_dir, "responses", line))
+    known = rows.where("text is not null").select(F.split("text", " ", 2).alias("x"))
+    counts = rows.agg(F.count("*").alias("lines"), F.count_if(F.col("text").isNull()).alias("unrecognised"))
+    return known.select(F.col("x")[0].cast("long").alias("doc_id"), F.sha2(F.col("x")[1], 256).alias("text_sha256")).join(counts)
+
+
+def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written one to a file and read back as whole files."""
+    folder = _shared_folder(spark, "texts")
+    read(spark, sf_dir, "benchmark").select("item_id", "text").write.option("lineSep", "\f").partitionBy("item_id").text(folder)
+    rows = scans.read_texts(spark, f"{folder}/*/*.txt")
+    return rows.select(F.regexp_extract("label", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), F.sha2(F.regexp_replace("text", "\f$", ""), 256).alias("text_sha256"))
+
+
+def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and modes read from a log of verdict lines."""
+    folder = _shared_folder(spark, "scores")
+    sinks.write_verdicts(k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"]).withColumn("label", F.col("doc_id").cast("string")), folder)
+    rows = scans.read_scores(spark, folder)
+    return rows.select(F.explode(F.map_keys("scores")).alias("code"), "scores", "modes").groupBy("code").agg(F.count("*").alias("n"), r6(F.max(F.col("scores")[F.col("code")])).alias("worst"), F.count_if(F.col("modes")["TAIL_LOOP"] == "char").alias("by_char"))
+
+
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check of each source's documents would exit with."""
+    rows = k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"])
+    return rows.groupBy("source").agg(F.when(F.count_if(F.col("text").isNotNull()) == 0, 2).when(F.count_if(~F.col("verdict.ok")) > 0, 1).otherwise(0).cast("long").alias("exit_code"))
+
+
+def stream_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that reach the reader of each document under two policies for degenerate output."""
+    chunks = guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100)
+    failures = guard.replay(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("response_id"), "text"), ["response_id"], "text", NO_ENTROPY["chat"], 100)
+    out = None
+    for policy in ("abort", "ignore"):
+        rows = guard.pass_through(chunks, failures, policy).groupBy(F.col("response_id").cast("long").alias("doc_id")).agg(F.sum(F.length("delta")).cast("long").alias("n_chars"), F.lit(policy).alias("policy"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
     "empty_short": _of_documents(empty=lambda: d.emptiness_score(_text()), short=lambda: r6(d.shortness_score(_text(), 400))),
     "words_stats": _of_documents(n_words=lambda: F.size(t.words(_text())).cast("long"), n_distinct=lambda: F.size(F.array_distinct(t.words(_text()))).cast("long"), longest=lambda: F.array_max(F.transform(t.words(_text()), F.length)).cast("long")),
@@ -420,4 +485,10 @@ QUERIES = {
     "stream_replay_first_catch": _replay(False),
     "stream_replay_early_document": _replay(True),
     "stateful_stream_guard": stateful_stream_guard,
+    "stream_end": stream_end,
+    "stream_policies": stream_policies,
+    "scan_responses": scan_responses,
+    "scan_texts": scan_texts,
+    "scan_scores": scan_scores,
+    "exit_codes": exit_codes,
 }

@@ -20,15 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import trim
 from ..operators.check import PRESETS, CheckOptions, check_output
-from ..operators.verdicts import merge_early
+from ..operators.verdicts import merge_early, preamble_options
 
 # The schedule.
 WARMUP, CHECK_EVERY, WINDOW = 240, 400, 2000
 DOCUMENT_FROM, DOCUMENT_CERTAINTY, DOCUMENT_SAMPLE = 600, 0.9, 8000
 
 SPAN = "response_id string, at_chars bigint, kind string, span string, finish_reason string"
-_STATE = "text string, since bigint, checks bigint, document_at bigint, settled boolean, next_seq bigint, pending string, finish_reason string, done boolean"
+_STATE = "text string, since bigint, checks bigint, document_at bigint, settled boolean, next_seq bigint, pending string, finish_reason string, tool boolean, done boolean"
 
 
 @dataclass(frozen=True)
@@ -121,56 +122,70 @@ def _advance(state: dict, chunk: str, s: Schedule) -> Iterator[tuple[int, str, s
 def _step(s: Schedule, silence_ms: int | None):
     names = [part.split()[0] for part in _STATE.split(", ")]
 
+    def end(key: tuple, state: dict) -> tuple:
+        """A turn with tool calls ends as a ``preamble``: its text may be short, unfinished or absent."""
+        return key[0], len(state["text"]), "preamble" if state["tool"] else "end", state["text"], state["finish_reason"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        fresh = {"text": "", "since": 0, "checks": 0, "document_at": DOCUMENT_FROM, "settled": False, "next_seq": 0, "pending": "{}", "finish_reason": None, "done": False}
+        fresh = {"text": "", "since": 0, "checks": 0, "document_at": DOCUMENT_FROM, "settled": False, "next_seq": 0, "pending": "{}", "finish_reason": None, "tool": False, "done": False}
         state = dict(zip(names, held.get, strict=True)) if held.exists else fresh
         out: list[tuple] = []
         if held.hasTimedOut:
-            out.append((key[0], len(state["text"]), "end", state["text"], state["finish_reason"]))
+            if not state["done"]:
+                out.append(end(key, state))
             held.remove()
-        else:
+        elif not state["done"]:
             pending = json.loads(state["pending"])
             for rows in batches:
                 for r in rows.itertuples(index=False):
-                    pending[str(r.seq)] = [None if pd.isna(r.delta) else r.delta, None if pd.isna(r.finish_reason) else r.finish_reason, bool(r.is_end)]
+                    pending[str(r.seq)] = [None if pd.isna(r.delta) else r.delta, None if pd.isna(r.finish_reason) else r.finish_reason, bool(r.is_end), bool(r.tool_call)]
             while not state["done"] and str(state["next_seq"]) in pending:
-                delta, finish, end = pending.pop(str(state["next_seq"]))
+                delta, finish, last, tool = pending.pop(str(state["next_seq"]))
                 state["next_seq"] += 1
-                state["finish_reason"] = finish or state["finish_reason"]
+                state["finish_reason"], state["tool"] = finish or state["finish_reason"], state["tool"] or tool
                 out += [(key[0], at, kind, span, None) for at, kind, span in _advance(state, delta or "", s)]
-                if end:
-                    out.append((key[0], len(state["text"]), "end", state["text"], state["finish_reason"]))
+                if last:
+                    out.append(end(key, state))
                     state["done"] = True
-            state["pending"] = json.dumps(pending)
-            if state["done"]:
-                state["text"], state["pending"] = "", "{}"
-            held.update(tuple(state[n] for n in names))
-            if silence_ms:
-                held.setTimeoutDuration(silence_ms)
+            state["text"], state["pending"] = ("", "{}") if state["done"] else (state["text"], json.dumps(pending))
+            if state["done"] and not silence_ms:
+                if held.exists:
+                    held.remove()
+            else:
+                held.update(tuple(state[n] for n in names))
+                if silence_ms:
+                    held.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(out, columns=["response_id", "at_chars", "kind", "span", "finish_reason"])
 
     return run
 
 
 def spans_to_judge(chunks: DataFrame, s: Schedule = Schedule(), silence_ms: int | None = None) -> DataFrame:
-    """Spans due for judgement in a stream ``(response_id, seq, delta, finish_reason, is_end)``.
+    """Spans due for judgement in a stream ``(response_id, seq, delta, finish_reason, is_end)``, perhaps with ``tool_call``.
 
-    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait.  With
-    ``silence_ms`` a response that stays silent for so long is ended; such a query runs until it is stopped.
+    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait.  A response ends
+    once, and what comes after its end is passed over.  The last stop reason that a chunk names holds.  With
+    ``silence_ms`` a response that stays silent for so long is ended; such a query runs until it is stopped, and the state of a
+    finished response is kept for that time.  Without it, state goes with the end, so ids must not be used again.
     """
-    rows = chunks.select("response_id", "seq", "delta", "finish_reason", "is_end")
+    tool = F.coalesce("tool_call", F.lit(False)) if "tool_call" in chunks.columns else F.lit(False)
+    rows = chunks.select("response_id", "seq", "delta", "finish_reason", "is_end", tool.alias("tool_call"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
     return rows.groupBy("response_id").applyInPandasWithState(_step(s, silence_ms), SPAN, _STATE, "append", timeout)
 
 
 def judge(spans: DataFrame, options: CheckOptions | str) -> DataFrame:
-    """``spans`` without their text, with the ``verdict`` that suits their kind: window, document or end."""
+    """``spans`` without their text, with the ``verdict`` that suits their kind: window, document, preamble or end.
+
+    A blank preamble is not judged and has no row.
+    """
     o = _resolved(options)
-    by = {"window": window_options(o), "document": document_options(o), "end": o.but(finish_reason=F.col("finish_reason"))}
+    by = {"window": window_options(o), "document": document_options(o), "preamble": preamble_options(o), "end": o.but(finish_reason=F.col("finish_reason"))}
+    spans = spans.where((F.col("kind") != "preamble") | (trim(F.col("span")) != ""))
     for kind, chosen in by.items():
         spans = spans.withColumn(f"_{kind}_text", F.when(F.col("kind") == kind, F.col("span")))
         spans = check_output(spans, f"_{kind}_text", chosen, f"_{kind}")
-    verdict = F.when(F.col("kind") == "window", F.col("_window")).when(F.col("kind") == "document", F.col("_document")).otherwise(F.col("_end"))
+    verdict = F.coalesce(*[F.when(F.col("kind") == kind, F.col(f"_{kind}")) for kind in by])
     return spans.select("response_id", "at_chars", "kind", verdict.alias("verdict"))
 
 
@@ -186,12 +201,15 @@ def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def run_to_table(spans: DataFrame, options: CheckOptions | str, path: str) -> DataFrame:
-    """Judge a stream of spans until its input is used up; ``path`` gets the verdicts and the checkpoint."""
+    """Judge a stream of spans until its input is used up; ``path`` gets the verdicts and the checkpoint.
+
+    Each micro-batch has a folder of its own, so that one that runs again replaces what it wrote.
+    """
     spark = spans.sparkSession
-    write = lambda batch, _: judge(batch, options).write.mode("append").parquet(f"{path}/verdicts")
+    write = lambda batch, number: judge(batch, options).write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
     query = spans.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/verdicts")
+    return spark.read.parquet(f"{path}/verdicts").drop("batch")
 
 
 def first_failures(judged: DataFrame) -> DataFrame:
