@@ -8,8 +8,9 @@ numpy, on the driver, from a sample whose size is bounded by ``sample_rows``, or
 for each label if there are more labels; executors turn the sampled texts into counts of
 whole texts first.  Every non-null label with a text that is not blank is learned; the model
 takes 128 KB for each label, on the driver and in each task.  A part of the sample is held
-back to calibrate a temperature and the level below which a prediction is rejected: no
-correct prediction of that part is rejected, nor any with a probability of ``SURE`` or more.
+back to calibrate a temperature and the level below which a prediction is rejected: the lower of ``SURE`` and the
+probability that all but ``LOST`` of that part's correct predictions reach.  So nothing with a probability of ``SURE`` or more is
+rejected, nor more than that share of what is right.
 
 Texts that are null or hold no letter get the label ``und`` with score 0.  So does every
 text if there is no labelled row to learn from.  Repeated rows and equal texts get equal
@@ -38,6 +39,7 @@ EPOCHS = 12
 BATCH = 32
 RATE = 2.0
 SURE = 0.5
+LOST = 0.005
 SEED = 9
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -178,7 +180,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     sharpness = float(grid[int(np.argmin(loss))])
     p = softmax(z * sharpness)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    level = float(min(SURE, right.min(initial=SURE)) * 0.9)
+    level = float(min(SURE, np.quantile(right, LOST, method="lower"))) if len(right) else SURE
     return Model(names, full, b.astype(np.float64), sharpness, level)
 
 

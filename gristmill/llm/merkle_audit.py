@@ -1,27 +1,31 @@
 """Merkle fixity audit of two replicas of an archive.
 
 Every record is written out as a WARC resource record and hashed.  Records are
-ordered by (position, digest); nodes cover ranges of that order: below a position
-its records are grouped by the first hexadecimal digits of their digest, above it
-each level joins 2**bits neighbouring ranges, up to one root.  A node holds the hash of its
+ordered by (position, digest); nodes cover ranges of that order.  Above a position
+each level joins 2**bits neighbouring ranges, up to one root.  Where some position has more than ``CROWD``
+different records, levels below the positions group records by the first hexadecimal digits of their digests, two
+digits a level and as many levels as make groups of about that size; else a position is the lowest node.  A node holds the hash of its
 children's hashes and the bytes beneath it.  The audit compares roots and descends
 only into nodes that differ; the bytes of the siblings before a node add up to the
 offset of a damaged record in the ordered archive, so no global sort is needed.
 
 A null position sorts before all others; null urls and bodies are written as
-empty.  Records with equal bytes at one position are counted, not listed, so
-copies of one record and positions with many records stay small everywhere.
-Empty replicas are valid: a root of no records differs from any other.
+empty.  Records with equal bytes at one position are counted, not listed, and different ones are dealt to
+groups, so no node has more than some hundred children.
+Empty replicas are valid: a root of no records differs from any other.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 BITS = 6
+CROWD = 256
 NULL_POSITION = -(2**63)
 
 
@@ -48,17 +52,28 @@ def _parent(children: DataFrame, key: list[Column], order: list[str]) -> DataFra
     )
 
 
-def merkle_levels(records: DataFrame, bits: int = BITS) -> list[DataFrame]:
-    """Tables of nodes from the lowest level to the root; the key of level ``k`` is ``node`` (and ``sub`` at level 0)."""
-    leaves = records.select("side", "pos", F.substring("digest", 1, 2).alias("sub"), "digest", F.concat_ws("x", "digest", "n").alias("hash"), (F.col("bytes") * F.col("n")).alias("size"))
-    levels = [table(_parent(leaves, [F.col("pos").alias("node"), F.col("sub")], ["digest"]), "merkle-0")]
-    levels.append(table(_parent(levels[0], [F.col("node")], ["sub"]), "merkle-1"))
-    low, high = levels[-1].agg(F.min("node"), F.max("node")).first()
+def _under(digits: int) -> Column:
+    """The group of a record or of a lower group below its position."""
+    return F.substring("sub", 1, digits) if digits else F.lit("")
+
+
+def merkle_levels(records: DataFrame, bits: int = BITS, crowd: int = CROWD) -> tuple[list[tuple[DataFrame, Column]], int]:
+    """Tables of nodes ``(node, sub)`` from the lowest level to the root, each with the column that names a node's parent; digits of the lowest ``sub``."""
+    most = records.groupBy("side", "pos").count().agg(F.max("count")).first()[0] or 0
+    depth = max(0, math.ceil(math.log(max(1, most) / crowd, 256)))
+    leaves = records.select("side", F.col("pos").alias("node"), F.col("digest").alias("sub"), F.concat_ws("x", "digest", "n").alias("hash"), (F.col("bytes") * F.col("n")).alias("size"))
+    levels, below, up = [], leaves, lambda node, sub: F.struct(node.alias("node"), sub.alias("sub"))
+    for d in range(depth, -1, -1):
+        below = table(_parent(below, [F.col("node"), _under(2 * d).alias("sub")], ["sub"]), f"merkle-{len(levels)}")
+        levels.append((below, up(F.col("node"), _under(2 * d - 2)) if d else up(F.shiftright("node", bits), F.lit(""))))
+    low, high = below.agg(F.min("node"), F.max("node")).first()
     while low is not None and low != high and not (low == -1 and high == 0):
         low, high = low >> bits, high >> bits
-        levels.append(table(_parent(levels[-1], [F.shiftright("node", bits).alias("node")], ["node"]), f"merkle-{len(levels)}"))
-    root = _parent(levels[-1].withColumn("child", F.col("node")), [F.lit(0).cast("long").alias("node")], ["child"])
-    return [*levels, root]
+        below = table(_parent(below, [F.shiftright("node", bits).alias("node"), F.lit("").alias("sub")], ["node"]), f"merkle-{len(levels)}")
+        levels.append((below, up(F.shiftright("node", bits), F.lit(""))))
+    root = _parent(below.withColumn("child", F.col("node")), [F.lit(0).cast("long").alias("node"), F.lit("").alias("sub")], ["child"])
+    levels[-1] = (below, up(F.lit(0).cast("long"), F.lit("")))
+    return [*levels, (root, up(F.lit(0).cast("long"), F.lit("")))], 2 * depth
 
 
 def _compare(nodes: DataFrame, key: list[str]) -> DataFrame:
@@ -74,7 +89,7 @@ def _descend(at: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     return inside.selectExpr("up", *key, "hash_a", "hash_b", before("a"), before("b")).where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
-def audit(primary: DataFrame, replica: DataFrame, position: str = "page_id", url: str = "url", body: str = "html", bits: int = BITS) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, position: str = "page_id", url: str = "url", body: str = "html", bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     """The records that one replica has more often than the other.
 
     Columns: the position, ``digest``, ``n_primary``, ``n_replica``, ``n_bytes`` of one copy, and
@@ -82,17 +97,16 @@ def audit(primary: DataFrame, replica: DataFrame, position: str = "page_id", url
     """
     sides = [hashed_records(d, position, url, body).withColumn("side", F.lit(s)) for d, s in ((primary, "a"), (replica, "b"))]
     records = table(sides[0].unionByName(sides[1]), "merkle-records")
-    *levels, root = merkle_levels(records, bits)
-    at = _compare(root, ["node"]).where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select(F.col("node").alias("up"), F.lit(0).cast("long").alias("off_a"), F.lit(0).cast("long").alias("off_b"))
-
-    for k in range(len(levels) - 1, 0, -1):
-        up = F.lit(0).cast("long") if k == len(levels) - 1 else F.shiftright("node", bits)
-        at = _descend(at, levels[k].withColumn("up", up), ["node"]).select(F.col("node").alias("up"), "off_a", "off_b")
-    at = _descend(at, levels[0].withColumn("up", F.col("node")), ["node", "sub"]).select(F.struct("node", "sub").alias("up"), "off_a", "off_b")
-    leaves = records.select(
-        "side", F.struct(F.col("pos").alias("node"), F.substring("digest", 1, 2).alias("sub")).alias("up"), "digest", "bytes", F.col("n").cast("string").alias("hash"), (F.col("bytes") * F.col("n")).alias("size")
-    )
-    n_primary, n_replica = (F.coalesce(F.col(f"hash_{s}").cast("long"), F.lit(0).cast("long")) for s in ("a", "b"))
+    levels, digits = merkle_levels(records, bits, crowd)
+    zero, key = F.lit(0).cast("long"), ["node", "sub"]
+    differ = _compare(levels.pop()[0], key).where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    at = differ.select(F.struct(*key).alias("up"), zero.alias("off_a"), zero.alias("off_b"))
+    while levels:
+        nodes, up = levels.pop()
+        at = _descend(at, nodes.withColumn("up", up), key).select(F.struct(*key).alias("up"), "off_a", "off_b")
+    below = F.struct(F.col("pos").alias("node"), (F.substring("digest", 1, digits) if digits else F.lit("")).alias("sub"))
+    leaves = records.select("side", below.alias("up"), "digest", "bytes", F.col("n").cast("string").alias("hash"), (F.col("bytes") * F.col("n")).alias("size"))
+    n_primary, n_replica = (F.coalesce(F.col(f"hash_{s}").cast("long"), zero) for s in ("a", "b"))
     return _descend(at, leaves, ["digest", "bytes"]).select(
         F.when(F.col("up.node") != NULL_POSITION, F.col("up.node")).alias(position),
         "digest",

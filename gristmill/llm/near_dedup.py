@@ -250,8 +250,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
     Rows without an id all stay.
     """
-    judged = near_duplicates(df, key, text, percent, agree, bands, rows_each)
-    ids = judged.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("_copies")).where("kept").drop("kept")
-    kept = df.join(ids, key)
-    again = kept.where("_copies > 1").select(*df.columns).dropDuplicates()
-    return kept.where("_copies = 1").select(*df.columns).unionByName(again).unionByName(df.where(df[key].isNull()))
+    judged = near_duplicates(df, key, text, percent, agree, bands, rows_each).select(F.col(key).alias("id"), "kept")
+    ids = judged.where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("kept")
+    rows = df.select(df[key].alias("id"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+    kept = rows.join(ids, "id")
+    again = kept.where("copies > 1").select("row").dropDuplicates()
+    return kept.where("copies = 1").select("row").unionByName(again).unionByName(rows.where("id is null").select("row")).select("row.*")

@@ -39,7 +39,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
 SEPARATOR = 0
 CACHE = 300_000
-PARTS = 1024
+PARTS = 8192
 
 #: Characters that the vocabulary's normalizer only lower-cases, and whose white space is ASCII.
 PLAIN = re.compile("[\t\n\r -~\xa1-ɏ]*").fullmatch

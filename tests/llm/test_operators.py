@@ -100,6 +100,10 @@ def test_merkle_audit_finds_exactly_the_damage(spark):
     found = sorted((merkle_audit.NULL_POSITION if r[0] is None else r[0], *r[1:]) for r in merkle_audit.audit(a, b).collect())
     assert found == expected
     assert merkle_audit.audit(a, a).count() == 0
+    crowded = merkle_audit.audit(a.withColumn("page_id", F.lit(None).cast("long")), b.withColumn("page_id", F.lit(None).cast("long")), crowd=1)
+    (x2, ox2), (y2, oy2) = side([(None, *p[1:]) for p in pages]), side([(None, *p[1:]) for p in damaged])
+    expected = sorted((k[0], k[1], x2[k], y2[k], k[2], ox2[k] if x2[k] > y2[k] else oy2[k]) for k in x2.keys() | y2.keys() if x2[k] != y2[k])
+    assert sorted((merkle_audit.NULL_POSITION if r[0] is None else r[0], *r[1:]) for r in crowded.collect()) == expected
     assert merkle_audit.audit(a.limit(0), a.limit(0)).count() == 0 and merkle_audit.audit(a.limit(0), a).count() == len(x)
 
 
