@@ -375,3 +375,8 @@ ORACLES["scan_scores"] = f"""
 {CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP']) AS code, unnest([empty, too_short, rep, tail]) AS score, empty, mode FROM scored)
 SELECT code, count(*) AS n, round(max(score), 6) AS worst, count(*) FILTER (empty < 1 AND mode = 'char') AS by_char FROM long WHERE empty < 1 OR code = 'EMPTY' GROUP BY code"""
 ORACLES["exit_codes"] = f"{CHAT[0]} SELECT source, max(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM scored JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"
+ORACLES["sql_names"] = f"""
+WITH {lz('documents')}, stream AS ({ORACLES['stream_replay_first_catch']})
+SELECT doc_id, round({RATIO}, 6) AS ratio, json_valid(text) AS is_json, 2 AS n_leaves, true AS found, checks,
+    CASE WHEN stream.n_chars < 240 THEN -1 WHEN stream.n_chars < 300 THEN stream.n_chars ELSE least(stream.n_chars, 300 + 400 * (checks - 1)) END::BIGINT AS last_check
+FROM documents JOIN stream USING (doc_id) LEFT JOIN lz ON lz.s = text[1:4000]"""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as j
+from ..functions import sql as names
 from ..functions import text as t
 from ..operators import calibrate as c
 from ..operators import check as k
@@ -379,6 +380,20 @@ def stream_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("response_id").cast("long").alias("doc_id"), "at_chars", "kind", F.col("verdict.ok").alias("ok"), F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"))
 
 
+def sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions under their names in SQL, the stream's checks as a lateral join."""
+    names.register(spark)
+    return spark.sql(
+        """
+        with checks as (select doc_id, count(*) as checks, max(at_chars) as last_check from {docs} d, lateral gristmill_stream_checks(d.text, 100) group by doc_id)
+        select d.doc_id, round(gristmill_compression_ratio(d.text), 6) as ratio, gristmill_is_json(d.text) as is_json, size(gristmill_string_leaves(to_json(struct(d.source, d.text)))) as n_leaves,
+               gristmill_extract_text(to_json(struct(d.text as answer))) = d.text as found, coalesce(checks, 0) as checks, coalesce(last_check, -1) as last_check
+        from {docs} d left join checks using (doc_id)
+        """,
+        docs=_documents(spark, sf_dir),
+    )
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str, value: Column) -> str:
     """A folder of text files with one value for each document, as some producer might have written them."""
     folder = _shared_folder(spark, name)
@@ -487,6 +502,7 @@ QUERIES = {
     "stateful_stream_guard": stateful_stream_guard,
     "stream_end": stream_end,
     "stream_policies": stream_policies,
+    "sql_names": sql_names,
     "scan_responses": scan_responses,
     "scan_texts": scan_texts,
     "scan_scores": scan_scores,
