@@ -24,7 +24,9 @@ UPPER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 #: Paths of the tables of this process that have not been deleted.
 _written: list[str] = []
 #: How many words' hashes a process remembers, and up to which length.
-WORDS_HELD, WORD_BYTES = 1 << 17, 64
+WORDS_HELD, WORD_BYTES = 1 << 16, 64
+#: Rows that go to a Python worker at once, where the session keeps Spark's default: texts are long.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return found.rstrip("/")
 
 
@@ -92,6 +96,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             total += int(size)
         if at < batch.num_rows:
             yield batch.slice(at)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(text: str | None) -> list[str]:

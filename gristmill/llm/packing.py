@@ -38,7 +38,7 @@ from .common import slices, table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE = 300_000
+CACHE = 100_000
 PARTS = 8192
 
 #: Characters that the vocabulary's normalizer only lower-cases, and whose white space is ASCII.
