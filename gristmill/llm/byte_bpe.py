@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LEAF = 4096
+LEAF = 256
 WINDOW = 32
 
 

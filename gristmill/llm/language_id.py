@@ -9,8 +9,9 @@ for each label if there are more labels; executors turn the sampled texts into c
 whole texts first.  Every non-null label with a text that is not blank is learned; the model
 takes 128 KB for each label, on the driver and in each task.  A part of the sample is held
 back to calibrate a temperature and the level below which a prediction is rejected: the lower of ``SURE`` and the
-probability that all but ``LOST`` of that part's correct predictions reach.  So nothing with a probability of ``SURE`` or more is
-rejected, nor more than that share of what is right.
+probability that all but ``LOST`` of that part's correct predictions reach.  A text is rejected too if its subwords are
+strange: their mean logarithmic frequency in the sample is less than ``FAMILIAR`` times what all but ``LOST`` of that part
+reach.  That catches languages that were not learned, for which the softmax alone may be sure.
 
 Texts that are null or hold no letter get the label ``und`` with score 0.  So does every
 text if there is no labelled row to learn from.  Repeated rows and equal texts get equal
@@ -35,11 +36,12 @@ BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
 DIMENSIONS = 16
 SAMPLE_ROWS = 1600
-EPOCHS = 12
+EPOCHS, UPDATES = 12, 500
 BATCH = 32
 RATE = 2.0
 SURE = 0.5
 LOST = 0.005
+FAMILIAR = 0.5
 SEED = 9
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -70,32 +72,36 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the product of embeddings and weights, bias, inverse temperature and the level of rejection."""
+    """Languages, the product of embeddings and weights with the logarithmic frequency as last column, bias, inverse temperature and the levels of rejection."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     sharpness: float
     level: float
+    floor: float = 0.0
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and how familiar the subwords are, of each text."""
+        total, n = np.zeros((len(texts), len(self.languages) + 1)), np.zeros(len(texts))
         for owner, bucket in subwords(texts):
             if not len(owner):
                 continue
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             total[owner[first]] += np.add.reduceat(self.table[bucket], first, axis=0)
             n += np.bincount(owner, minlength=len(texts))
-        return (total / np.maximum(n, 1)[:, None] + self.bias) * self.sharpness
+        mean = total / np.maximum(n, 1)[:, None]
+        return (mean[:, :-1] + self.bias) * self.sharpness, mean[:, -1]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Label, probability and whether it is rejected, for each text."""
         judged = [bool(t) and _LETTER.search(t) is not None for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0, True)] * len(texts)
-        p = softmax(self.logits([t if ok else "" for t, ok in zip(texts, judged, strict=True)]))
+        z, familiar = self.measure([t if ok else "" for t, ok in zip(texts, judged, strict=True)])
+        p = softmax(z)
         best = p.argmax(axis=1)
-        return [(self.languages[b], float(row[b]), bool(row[b] < self.level)) if ok else (UNKNOWN, 0.0, True) for ok, b, row in zip(judged, best, p, strict=True)]
+        return [(self.languages[b], float(row[b]), bool(row[b] < self.level or f < self.floor)) if ok else (UNKNOWN, 0.0, True) for ok, b, row, f in zip(judged, best, p, familiar, strict=True)]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -142,7 +148,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     rows = [r for r in rows if len(r["buckets"])]
     names = tuple(sorted({r["label"] for r in rows}))
     if not names:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 0.0)
     number = {name: i for i, name in enumerate(names)}
     y = np.array([number[r["label"]] for r in rows])
 
@@ -160,8 +166,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     e = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, b = draw.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     scale = np.float32(np.sqrt(BUCKETS) / 4)
-    for epoch in range(EPOCHS):
-        rate = np.float32(RATE * (1 - epoch / EPOCHS))
+    epochs = max(EPOCHS, -(-UPDATES * BATCH // len(fit)))  # a small sample is gone through more often
+    for epoch in range(epochs):
+        rate = np.float32(RATE * (1 - epoch / epochs))
         for part in np.array_split(draw.permutation(fit), max(1, len(fit) // BATCH)):
             xb = dense(part)
             h = xb @ e
@@ -181,7 +188,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     p = softmax(z * sharpness)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     level = float(min(SURE, np.quantile(right, LOST, method="lower"))) if len(right) else SURE
-    return Model(names, full, b.astype(np.float64), sharpness, level)
+    share = np.zeros(BUCKETS)
+    for part in np.array_split(fit, max(1, len(fit) // BATCH)):
+        share += dense(part).sum(axis=0)
+    often = np.log1p(share / max(1, len(fit)) * BUCKETS)
+    familiar = np.concatenate([dense(p) @ often for p in np.array_split(judged, -(-len(judged) // BATCH))])
+    floor = float(FAMILIAR * np.quantile(familiar, LOST, method="lower"))
+    return Model(names, np.concatenate([full, often[:, None]], axis=1), b.astype(np.float64), sharpness, level, floor)
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -534,3 +534,40 @@ def test_hysteresis():
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+# --- columns of any name
+
+
+CLASHING = ["shard", "slot", "base", "added", "row", "id", "kept", "copies", "node", "same", "cover", "new", "key", "n", "item", "bucket", "piece", "length", "sequence_id", "carried"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    texts = [prose(1, 50), prose(1, 50), prose(2, 60), "call +1 (017) 555-7713 now", None, "", *[prose(9, 40)] * 2]
+    plain = documents(spark, texts)
+    rows = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    shuffled = external_shuffle.shuffle_into_shards(rows, "doc_id", n_shards=2)
+    assert {"shard", "slot", "input_shard", "input_slot"} <= set(shuffled.columns) and shuffled.where("input_shard = 0 and input_slot = 1").count() == len(texts)
+    assert suffix_dedup.without_repeats(rows).columns == rows.columns
+    assert sorted(r["doc_id"] for r in suffix_dedup.without_repeats(rows).collect()) == [2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(rows).collect()) == [0, 2, 3, 4, 5, 6] and near_dedup.keep_one(rows).columns == rows.columns
+    found = pii.find_spans(rows)
+    assert {"base", "added", "input_base", "input_added"} <= set(found.columns) and sorted(r["input_base"] for r in found.collect()) == [2] * len(texts)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(rows).collect())) == sorted(map(tuple, suffix_dedup.remove_repeats(plain).collect()))
+    assert packing.pack_documents(rows).count() == len(texts) and media.audio_features(rows).count() == len(texts)
+    assert byte_bpe.encode_documents(rows).columns == ["doc_id", "ids"]
+    model = language_id.train(rows.withColumn("lang", F.lit("en")))
+    assert language_id.keep_identified(rows, model).columns == rows.columns
+
+
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    words_ = {"a": "lamp boat river stone harbour keeper", "b": "chien chat maison rivière bateau gardien", "c": "hund katze haus fluss schiff wächter"}
+    r = random.Random(6)
+    texts, langs = [], {}
+    for i in range(150):
+        lang = "abc"[i % 3]
+        texts.append(" ".join(r.choice(words_[lang].split()) for _ in range(30)))
+        langs[i] = lang
+    model = language_id.train(documents(spark, texts, langs))
+    found = model.predict([texts[0], "лодка река камень дом сторож " * 6, "", "123"])
+    assert found[0][0] == "a" and not found[0][2] and [x[2] for x in found[1:]] == [True] * 3 and model.level <= language_id.SURE
