@@ -348,8 +348,12 @@ def _replay(early: bool):
 
 
 def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new folder that all executors share; a temporary one only where the session names none and runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
