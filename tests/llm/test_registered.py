@@ -46,7 +46,7 @@ def test_query_equals_its_sql(spark, tables, name):
 
 def test_external_shuffle_query(spark, texts):
     found = rows_of(spark, "op2_external_shuffle")
-    assert Counter(r["doc_id"] for r in found) == Counter(texts)
+    assert Counter(r["doc_id"] for r in found) == Counter(list(texts))
     slots = defaultdict(list)
     for r in found:
         raw = texts[r["doc_id"]].encode()
