@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from hashlib import blake2b
 from itertools import accumulate, chain
@@ -13,7 +13,8 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
@@ -131,6 +132,20 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def floor_components(vector: Column, scale: int = 256) -> Column:
+    """``floor(scale * x)`` of every component, x as double; null for a vector that is null or holds a null or non-finite component."""
+    x = F.transform(vector, lambda c: c.cast("double"))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(x, lambda c: F.floor(c * scale)))
+
+
+def integer_rows(vectors: Iterable) -> np.ndarray:
+    """Vectors of one dimension as the rows of an array: 64-bit integers if sums of products of theirs are exact in doubles, else Python integers."""
+    v = np.stack([np.asarray(x, np.int64) for x in vectors])
+    most = max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0))))
+    return v if 8 * most * most * max(1, v.shape[1]) < 2**53 else v.astype(object)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

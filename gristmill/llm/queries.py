@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, external_shuffle, language_id, media, merkle_audit, near_dedup, packing, pii, suffix_dedup, topk_search
+from . import byte_bpe, dual_tree_kmeans, external_shuffle, hard_negatives, language_id, media, merkle_audit, near_dedup, packing, pii, suffix_dedup, topk_search, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", changed)
+    return hard_negatives.mine(rows, F.col("key") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dual_tree_kmeans.vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    found = dual_tree_kmeans.cluster(rows, F.sha2(F.concat(F.lit("2:"), F.col("key").cast("string")), 256), k=40, rounds=5, dimensions=64)
+    centroid = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return found.select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
+
+
+def op13_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = _read(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(documents, _read(spark, sf_dir, "labels").where(~held))
+    return toxicity.predict(documents, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_merkle_fixity_audit": op1_merkle_fixity_audit,
     "op2_external_shuffle": op2_external_shuffle,
@@ -102,6 +121,9 @@ QUERIES = {
     "op8_norm_bucketed_topk": op8_norm_bucketed_topk,
     "op9_language_id": op9_language_id,
     "op10_audio_features": op10_audio_features,
+    "op11_bit_sliced_negatives": op11_bit_sliced_negatives,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_counterfactual_toxicity": op13_counterfactual_toxicity,
 }
 
 _SIDE = """
@@ -111,6 +133,34 @@ _SIDE = """
                  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM {source})
     GROUP BY ALL"""
 
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """Lloyd's rounds in SQL, a few tables for each."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INTEGER AS c, v FROM v WHERE vec_id IS NOT NULL
+    ORDER BY sha256('2:' || vec_id), v LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT rid, c, (list_dot_product(v.v, v.v) + list_dot_product(c{i}.v, c{i}.v) - 2 * list_dot_product(v.v, c{i}.v))::BIGINT AS d FROM v, c{i})
+    GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+    SELECT c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (
+        SELECT a{i}.c, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{i} JOIN v USING (rid)) GROUP BY c, j),
+n{i} AS (SELECT c, list(x ORDER BY j) AS v FROM m{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (c)"""
+
+
 ORACLES = {
     "op3_suffix_tree_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -145,6 +195,24 @@ scored AS (
     FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_bit_sliced_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id, label, v FROM v WHERE vec_id % 100 = 0),
+p AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id, label, a ORDER BY score DESC, positive_id) AS prank
+    FROM (SELECT a.vec_id AS anchor_id, a.label, a.v AS a, v.vec_id AS positive_id, list_dot_product(a.v, v.v)::BIGINT AS score
+          FROM a JOIN v ON a.label = v.label AND a.vec_id <> v.vec_id AND len(a.v) = len(v.v))
+    QUALIFY prank <= 5),
+n AS (
+    SELECT a.vec_id AS anchor_id, a.label, a.v AS a, v.vec_id AS negative_id, list_dot_product(a.v, v.v)::BIGINT AS score
+    FROM a JOIN v ON a.label <> v.label AND len(a.v) = len(v.v))
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.label, p.a, p.prank ORDER BY n.score DESC, n.negative_id)::INTEGER AS rank,
+       n.negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN n ON p.anchor_id = n.anchor_id AND p.label = n.label AND p.a = n.a AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""",
+    "op12_dual_tree_lloyd": _lloyd(40, 5),
     "op1_merkle_fixity_audit": f"""
 WITH damaged AS (
     SELECT page_id, url, CASE WHEN page_id % 997 = 3 THEN html || '!' ELSE html END AS html
