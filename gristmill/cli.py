@@ -55,7 +55,7 @@ def _scores(spark: SparkSession, files: list[str]) -> DataFrame:
 
 def _calibrate(spark: SparkSession, args: argparse.Namespace) -> int:
     if not 0 < args.fpr < 1:
-        print("--fpr expects a rate between 0 and 1, e.g. 0.001", file=sys.stderr)
+        print("--fpr must lie between 0 and 1 (both excluded); 0.001 flags one text in a thousand", file=sys.stderr)
         return 1
     try:
         rows = _scores(spark, args.files).persist()

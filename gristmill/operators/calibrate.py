@@ -70,10 +70,10 @@ def calibrate_long(rows: DataFrame, false_positive_rate: float = 0.001, min_gap:
     tail = F.col("n") * false_positive_rate
     needed = f"{-(-10 // false_positive_rate):.0f}"
     caveats = F.array_compact(F.array(
-        F.when(tail < 10, F.concat(F.lit(f"sample is too small for a {false_positive_rate * 100:.2f}% rate: it rests on the top ~"), F.round(tail).cast("long").cast("string"), F.lit(f" scores, about {needed} verdicts are needed"))),
+        F.when(tail < 10, F.concat(F.lit("only about "), F.round(tail).cast("long").cast("string"), F.lit(f" scores lie in the share of {false_positive_rate * 100:.2f}% that decides: log {needed} verdicts or more"))),
         F.when(F.col("max") == 0, "every score is 0: there is nothing to calibrate").when(F.col("p")[0] == F.col("max"), "the distribution is a single value"),
-        F.when(F.col("gap").isNull(), "no clean separation in the tail: this is a false-positive budget, not a detection threshold").when(
-            F.col("gap.count") < 5, F.concat(F.lit("the separation rests on "), F.col("gap.count").cast("string"), F.lit(" samples: confirm it"))
+        F.when(F.col("gap").isNull(), "the upper scores show no gap: the suggestion only limits how much is flagged").when(
+            F.col("gap.count") < 5, F.concat(F.lit("only "), F.col("gap.count").cast("string"), F.lit(" scores lie above the gap: look at them"))
         ),
     ))
     suggested = F.round(F.coalesce((F.col("gap.below") + F.col("gap.above")) / 2, F.col("p")[4]), 3)

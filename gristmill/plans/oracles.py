@@ -6,22 +6,12 @@ SQL texts over ``text`` and are put together below.
 
 from __future__ import annotations
 
+from ..operators.detectors import LANGUAGES
+
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 LETTERS = r"\p{L}\p{M}"
 NON_SPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
 
-LANGUAGES = {
-    "id": "adalah akan atau bisa dalam dan dari dengan di ini itu juga ke kita pada saya sudah tidak untuk yang",
-    "en": "and are as be can for in is it not of on or that the this to we with you",
-    "es": "aunque cuando donde el es esta este hasta las los mismo muy no otro pero porque sin sus todos y",
-    "pt": "ao com da das do dos em isso já mais muito não pelo seu sua são também uma você é",
-    "it": "agli anche che dei della delle di essere gli il nel nella non per perché però più questo sia sono",
-    "fr": "aux avec ce cette dans des du est les leur mais nous pas plus pour qui sur tout vous être",
-    "de": "auch auf das dem den der die ein eine für ist kann mit nicht oder sich und von werden wird",
-    "nl": "bij dat deze door een heeft het kan maar moet naar niet omdat ook over tussen van worden wordt zijn",
-}
-
-
 def trim(t: str) -> str:
     return f"regexp_replace({t}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 
@@ -123,7 +113,7 @@ def script(chosen: str, least: int = 12) -> str:
 
 
 def share(language: str) -> str:
-    known = ", ".join(f"'{w}'" for w in LANGUAGES[language].split())
+    known = ", ".join(f"'{w}'" for w in LANGUAGES[language])
     return f"(len(list_filter(w, lambda x: x IN ({known})))::DOUBLE / len(w))"
 
 
@@ -173,10 +163,9 @@ SELECT code, mode, count(*) AS n, count(*) FILTER (score > 0) AS non_zero, round
 
 
 def check_footer(chat: tuple[str, str, str]) -> str:
-    return f"{chat[0]} SELECT count(*) AS checked, count(*) FILTER (len(reasons) > 0) AS degenerate, 0::BIGINT AS unrecognised FROM scored"
+    return f"{chat[0]} SELECT count(*) AS checked, count(*) FILTER (len(reasons) > 0) AS degenerate, 0::BIGINT AS unrecognised, max(len(reasons) > 0)::INTEGER AS exit_code FROM scored"
 
 
-CHAT = verdict(12, 0.4, 0.5, 0.7)
 WHOLE_CHAT = verdict(12, 0.4, 0.5, 0.7, entropy=0.75)
 
 SCORES = f"""{PARTS}, scores AS (
@@ -270,12 +259,9 @@ SELECT doc_id, count(*)::BIGINT AS n_runs, count(known.run)::BIGINT AS hits, rou
     "verdict_long_form": verdict_query(200, 0.35, 0.4, 0.6, 0.75, entropy=0.7),
     "verdict_lenient": verdict_query(1, 0.7, 0.7, 0.85, entropy=0.9),
     "low_entropy": f"WITH {lz('documents')} SELECT doc_id, round({RATIO}, 6) AS ratio, round({ENTROPY}, 6) AS score FROM documents LEFT JOIN lz ON lz.s = text[1:4000]",
-    "reason_counts": reason_counts(CHAT),
-    "reason_counts_full": reason_counts(WHOLE_CHAT),
-    "check_footer": check_footer(CHAT),
-    "check_footer_full": check_footer(WHOLE_CHAT),
-    "assert_output": f"{CHAT[0]} SELECT doc_id FROM scored WHERE len(reasons) = 0",
-    "assert_output_full": f"{WHOLE_CHAT[0]} SELECT doc_id FROM scored WHERE len(reasons) = 0",
+    "reason_counts": reason_counts(WHOLE_CHAT),
+    "check_footer": check_footer(WHOLE_CHAT),
+    "assert_output": f"{WHOLE_CHAT[0]} SELECT doc_id FROM scored WHERE len(reasons) = 0",
     "verdict_lines_read": f"{WHOLE_CHAT[0]} SELECT doc_id, 'doc:' || doc_id AS label, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons, CASE WHEN empty < 1 THEN round(rep, 6) END AS repetition, CASE WHEN empty < 1 THEN mode END AS mode FROM scored",
     "calibrate_summary": f"""
 WITH {SCORES},
@@ -288,8 +274,7 @@ SELECT s.code, s.mode, n, non_zero, min, max, round(p[1], 6) AS p50, round(p[2],
     ((n * 0.01 < 10)::INT + (max = 0 OR p[1] = max)::INT + (below IS NULL OR g.count < 5)::INT)::BIGINT AS n_caveats,
     CASE s.code WHEN 'REPETITION' THEN 'max_repetition' WHEN 'TAIL_LOOP' THEN CASE WHEN s.mode = 'char' THEN 'max_char_tail_loop' ELSE 'max_tail_loop' END END AS option, s.code IN ('EMPTY', 'TOO_SHORT') AS rate_only
 FROM stats s LEFT JOIN gaps g ON g.code = s.code AND g.mode IS NOT DISTINCT FROM s.mode""",
-    "calibrate_maps": calibrate_maps(CHAT),
-    "calibrate_maps_full": calibrate_maps(WHOLE_CHAT),
+    "calibrate_maps": calibrate_maps(WHOLE_CHAT),
     "label_margins": f"""
 WITH {SCORES}, pairs AS (SELECT code, mode, coalesce(max(score) FILTER (quality <> 0), 0.0) AS healthy_max, min(score) FILTER (quality = 0 AND score > 0.05) AS degenerate_min FROM scores JOIN labels USING (doc_id) GROUP BY code, mode)
 SELECT code, mode, round(healthy_max, 6) AS healthy_max, round(degenerate_min, 6) AS degenerate_min, round(degenerate_min - healthy_max, 6) AS margin, degenerate_min - healthy_max > 0.2 AS safe FROM pairs""",
@@ -315,9 +300,14 @@ FROM conversations, (SELECT unnest(['openai_chat', 'openai_responses', 'anthropi
     WHERE len(reasons) > 0 OR (early AND NOT hidden AND length(judged) >= 12 AND 1 - {count('judged', r'\p{Cyrillic}')}::DOUBLE / length(judged) > 0.9))"""),
 }
 
-ORACLES["stateful_stream_guard"] = f"SELECT doc_id, caught_at, reasons FROM ({ORACLES['stream_replay_first_catch']}) WHERE caught_at >= 0"
-
-ORACLES["benchmark_echo_whole"] = ORACLES["benchmark_echo"]
+_ENDED = f"ended AS ({WHOLE_CHAT[0]} SELECT doc_id, array_to_string(reasons, ',') AS own FROM scored), caught AS ({ORACLES['stream_replay_first_catch']})"
+ORACLES["stateful_stream_guard"] = f"""
+WITH {_ENDED} SELECT doc_id, CASE WHEN caught_at >= 0 THEN caught_at ELSE n_chars END AS caught_at, CASE WHEN caught_at >= 0 THEN 'window' ELSE 'end' END AS kind, CASE WHEN caught_at >= 0 THEN reasons ELSE own END AS reasons
+FROM caught JOIN ended USING (doc_id) WHERE caught_at >= 0 OR own <> ''"""
+_FIRED = """SELECT doc_id, greatest(1, ceil(passed / 100))::BIGINT AS n_chunks, passed AS n_chars, caught_at AS fired_at, reasons AS fired_reasons, CASE WHEN caught_at < 0 THEN own END AS end_reasons{more}
+FROM (SELECT *, CASE WHEN caught_at >= 0 THEN caught_at ELSE n_chars END AS passed FROM caught JOIN ended USING (doc_id))"""
+ORACLES["stream_fired"] = f"WITH {_ENDED} {_FIRED.format(more='')}"
+ORACLES["stream_late"] = f"WITH {_ENDED} {_FIRED.format(more=', 1::BIGINT AS n_late')}"
 
 _LOOPED = "conv_id % 2 = 0"
 
@@ -332,7 +322,7 @@ counted AS (SELECT *, ((rep > 0.4)::INT{dense} + (tail > CASE WHEN mode = 'char'
 SELECT conv_id, turn, n_reasons = 0 AS ok, n_reasons, round(greatest(rep, CASE WHEN {_LOOPED} THEN 1 - 3.0::DOUBLE / 88 ELSE 0.0 END), 6) AS repetition FROM counted"""
 
 
-ORACLES["merge_verdicts"], ORACLES["merge_verdicts_full"] = merged(False), merged(True)
+ORACLES["merge_verdicts"] = merged(True)
 
 _ECHO = f"""(CASE WHEN {non_spaced('text[1:8000]')} >= 0.5 THEN NULL WHEN len(o) < 40 OR len(p) < 5 THEN 0.0::DOUBLE
     ELSE len(list_filter({runs('o', 5)}, lambda x: list_contains({runs('p', 5)}, x)))::DOUBLE / (len(o) - 4) END)"""
@@ -372,9 +362,19 @@ SELECT doc_id, sha256(text) AS text_sha256, (SELECT count(*) FROM documents WHER
 FROM documents WHERE doc_id % 11 NOT IN (4, 7)"""
 ORACLES["scan_texts"] = "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark"
 ORACLES["scan_scores"] = f"""
-{CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP']) AS code, unnest([empty, too_short, rep, tail]) AS score, empty, mode FROM scored)
+{WHOLE_CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP', 'LOW_ENTROPY']) AS code, unnest([empty, too_short, rep, tail, dense]) AS score, empty, mode FROM scored)
 SELECT code, count(*) AS n, round(max(score), 6) AS worst, count(*) FILTER (empty < 1 AND mode = 'char') AS by_char FROM long WHERE empty < 1 OR code = 'EMPTY' GROUP BY code"""
-ORACLES["exit_codes"] = f"{CHAT[0]} SELECT source, max(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM scored JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"
+ORACLES["exit_codes"] = f"""{WHOLE_CHAT[0]} SELECT source, count(*) AS checked, count(*) FILTER (len(reasons) > 0) AS degenerate, max(CASE WHEN len(reasons) > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code
+FROM scored JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"""
+ORACLES["written_footer"] = f"""{WHOLE_CHAT[0]}, known AS (SELECT *, doc_id % 9 <> 0 AS known FROM scored)
+SELECT count(*) FILTER (known) AS lines, count(*) FILTER (known) AS checked, count(*) FILTER (known AND len(reasons) > 0) AS degenerate, count(*) FILTER (NOT known) AS unrecognised,
+    max(CASE WHEN known AND len(reasons) > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM known"""
+_PERCENT = "floor({} * 100 + 0.5)::INTEGER"
+ORACLES["check_messages"] = f"""{verdict(200, 0.35, 0.4, 0.6, 0.75)[0]}, codes AS (SELECT unnest(reasons) AS code, * EXCLUDE reasons FROM scored)
+SELECT doc_id, code, CASE code WHEN 'EMPTY' THEN 'Response contains no usable content.' WHEN 'TOO_SHORT' THEN 'Response is ' || length({_T}) || ' chars, below the 200 minimum.'
+    WHEN 'REPETITION' THEN {_PERCENT.format('rep')} || '% of 3-grams are duplicates.' ELSE 'Response ends in a repeating block covering ' || {_PERCENT.format('tail')} || '% of the tail.' END AS message,
+    CASE code WHEN 'EMPTY' THEN 0.5 WHEN 'TOO_SHORT' THEN 0.0 WHEN 'REPETITION' THEN 0.35 WHEN 'TAIL_LOOP' THEN CASE mode WHEN 'char' THEN 0.6 ELSE 0.4 END END::DOUBLE AS threshold
+FROM codes WHERE code <> 'TRUNCATED'"""
 ORACLES["sql_names"] = f"""
 WITH {lz('documents')}, stream AS ({ORACLES['stream_replay_first_catch']})
 SELECT doc_id, round({RATIO}, 6) AS ratio, json_valid(text) AS is_json, 2 AS n_leaves, true AS found, checks,

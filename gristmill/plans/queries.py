@@ -42,15 +42,6 @@ def _of_documents(**columns):
     return query
 
 
-def _full(query):
-    """A query under the whole presets, LOW_ENTROPY among them."""
-
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir, k.PRESETS)
-
-    return whole
-
-
 def r6(x: Column) -> Column:
     return F.round(x, 6)
 
@@ -169,13 +160,13 @@ def verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ok", F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"), *[r6(F.col(f"score_{x.lower()}")).alias(f"score_{x.lower()}") for x in k.CODES if x != "PROMPT_ECHO"])
 
 
-def reason_counts(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
-    rows = k.check_output(_documents(spark, sf_dir), "text", presets["chat"])
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"])
     return rows.select(F.explode("verdict.reasons").alias("r")).groupBy(F.col("r.code").alias("code")).agg(F.count("*").alias("n"), r6(F.max("r.score")).alias("worst"))
 
 
-def check_footer(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
-    return sinks.footer(k.check_output(_documents(spark, sf_dir), "text", presets["chat"]))
+def check_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.footer(k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"]))
 
 
 def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +185,9 @@ def verdict_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def assert_output(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
+def assert_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that pass, asserted to pass."""
-    o = presets["chat"]
+    o = k.PRESETS["chat"]
     good = k.check_output(_documents(spark, sf_dir), "text", o).where("verdict.ok").drop("verdict")
     return k.assert_output(good, "text", o).select("doc_id")
 
@@ -223,9 +214,9 @@ def calibrate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calibrate_maps(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
+def calibrate_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration straight from verdicts' maps of scores and modes."""
-    rows = k.check_output(_documents(spark, sf_dir), "text", presets["chat"]).select(F.col("verdict.scores").alias("scores"), F.col("verdict.modes").alias("modes"))
+    rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"]).select(F.col("verdict.scores").alias("scores"), F.col("verdict.modes").alias("modes"))
     return c.calibrate(rows).select("code", "mode", "n", "non_zero", r6(F.col("max")).alias("max"), r6(F.col("p99")).alias("p99"))
 
 
@@ -314,9 +305,9 @@ def tool_arguments_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.col("arguments_verdict.ok").alias("ok"), r6(F.col("arguments_verdict.scores")["REPETITION"]).alias("repetition"))
 
 
-def merge_verdicts(spark: SparkSession, sf_dir: str, presets: dict = NO_ENTROPY) -> DataFrame:
+def merge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.read_envelopes(_responses("openai_chat")(spark, sf_dir), "openai_chat").where("has_tool_calls")
-    both = v.check_preamble(rows, "text", presets["chat"]).join(v.check_arguments(rows, ["conv_id", "turn"], "arguments", presets["chat"]), ["conv_id", "turn"], "left")
+    both = v.check_preamble(rows, "text", k.PRESETS["chat"]).join(v.check_arguments(rows, ["conv_id", "turn"], "arguments", k.PRESETS["chat"]), ["conv_id", "turn"], "left")
     merged = both.select("conv_id", "turn", v.merge_verdicts(F.col("preamble"), F.col("arguments_verdict")).alias("m"))
     return merged.select("conv_id", "turn", F.col("m.ok").alias("ok"), F.size("m.reasons").cast("long").alias("n_reasons"), r6(F.col("m.scores")["REPETITION"]).alias("repetition"))
 
@@ -366,10 +357,46 @@ def _streamed(spark: SparkSession, chunks: DataFrame, options) -> DataFrame:
 
 
 def stateful_stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents streamed in chunks of 100 characters through the stateful guard; those caught before their end."""
-    judged = _streamed(spark, guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100), NO_ENTROPY["chat"].but(min_length=0))
-    found = guard.first_failures(judged.where("kind = 'window'"))
-    return found.select(F.col("response_id").cast("long").alias("doc_id"), "caught_at", F.array_join("reasons", ",").alias("reasons"))
+    """Documents streamed in chunks of 100 characters through the stateful guard; where each first fails, in a window or at its end."""
+    judged = _streamed(spark, guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100), k.PRESETS["chat"])
+    return guard.first_failures(judged).select(F.col("response_id").cast("long").alias("doc_id"), "caught_at", "kind", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _in_waves(spark: SparkSession, waves: list[DataFrame], folder: str) -> DataFrame:
+    """A stream that gets each of the waves in a micro-batch of its own, more or less."""
+    files = spark.sparkContext.defaultParallelism
+    for wave in waves:
+        wave.repartition(files).write.mode("append").parquet(f"{folder}/chunks")
+    return spark.readStream.schema(waves[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/chunks")
+
+
+def _reported(report: DataFrame) -> DataFrame:
+    """One row for each response of a guarded stream: what passed, where it fired, how it ended, and what came too late."""
+    codes = F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    return report.groupBy(F.col("response_id").cast("long").alias("doc_id")).agg(
+        F.count(of("chunk", F.lit(1))).alias("n_chunks"), F.coalesce(F.sum(of("chunk", F.length("delta"))), F.lit(0)).cast("long").alias("n_chars"),
+        F.coalesce(F.max(of("fired", F.col("at_chars"))), F.lit(-1)).cast("long").alias("fired_at"), F.coalesce(F.max(of("fired", codes)), F.lit("")).alias("fired_reasons"),
+        F.max(of("end", codes)).alias("end_reasons"), F.count(of("late", F.lit(1))).alias("n_late"),
+    )
+
+
+def stream_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents streamed in two waves of chunks of 100 characters: what passes the guard, which check fires first, and the last verdict of those that never fire."""
+    folder, chunks = _shared_folder(spark, "fired"), guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100)
+    stream = _in_waves(spark, [chunks.where("seq < 5"), chunks.where("seq >= 5")], folder)
+    return _reported(guard.report_to_table(guard.guard_stream(stream, k.PRESETS["chat"]), folder)).drop("n_late")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with event times: chunks are replayed, and each response gets a looping chunk after its end; neither changes anything."""
+    folder = _shared_folder(spark, "late")
+    chunks = guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100).withColumn("sent", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    loop = F.repeat(F.lit("again and again "), 40)
+    after = chunks.where("is_end").select("response_id", (F.col("seq") + 1).alias("seq"), loop.alias("delta"), "finish_reason", F.lit(False).alias("is_end"), (F.col("sent") + F.expr("interval 1 second")).alias("sent"))
+    waves = [chunks.where("seq < 5"), chunks.where("seq >= 3"), chunks.where("seq % 3 = 0").unionByName(after)]
+    report = guard.guard_stream(_in_waves(spark, waves, folder), k.PRESETS["chat"], silence_ms=3_600_000, event_time="sent", delay="12 hours", report_late=True)
+    return _reported(guard.report_to_table(report, folder))
 
 
 def stream_end(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,21 +452,35 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and modes read from a log of verdict lines."""
     folder = _shared_folder(spark, "scores")
-    sinks.write_verdicts(k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"]).withColumn("label", F.col("doc_id").cast("string")), folder)
+    sinks.write_verdicts(k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"]).withColumn("label", F.col("doc_id").cast("string")), folder)
     rows = scans.read_scores(spark, folder)
     return rows.select(F.explode(F.map_keys("scores")).alias("code"), "scores", "modes").groupBy("code").agg(F.count("*").alias("n"), r6(F.max(F.col("scores")[F.col("code")])).alias("worst"), F.count_if(F.col("modes")["TAIL_LOOP"] == "char").alias("by_char"))
 
 
 def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a check of each source's documents would exit with."""
-    rows = k.check_output(_documents(spark, sf_dir), "text", NO_ENTROPY["chat"])
-    return rows.groupBy("source").agg(F.when(F.count_if(F.col("text").isNotNull()) == 0, 2).when(F.count_if(~F.col("verdict.ok")) > 0, 1).otherwise(0).cast("long").alias("exit_code"))
+    counts = sinks.footer(k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"]), by=["source"])
+    return counts.select("source", "checked", "degenerate", F.col("exit_code").cast("long").alias("exit_code"))
+
+
+def written_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict lines of all documents written to files, and the counts and exit code that were observed meanwhile; every ninth text is absent."""
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("label"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    counts = sinks.write_verdicts(k.check_output(rows, "text", k.PRESETS["chat"]), folder := _shared_folder(spark, "lines"))
+    lines = spark.read.text(folder).agg(F.count("*").alias("lines"))
+    return lines.select("lines", *[F.lit(counts[c]).cast("long").alias(c) for c in ("checked", "degenerate", "unrecognised", "exit_code")])
+
+
+def check_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every reason, for people."""
+    rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["longForm"].but(max_compressibility=None))
+    return rows.select("doc_id", F.inline("verdict.reasons")).where("code in ('EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP')").select("doc_id", "code", "message", r6(F.col("threshold")).alias("threshold"))
 
 
 def stream_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that reach the reader of each document under two policies for degenerate output."""
     chunks = guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100)
-    failures = guard.replay(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("response_id"), "text"), ["response_id"], "text", NO_ENTROPY["chat"], 100)
+    failures = guard.replay(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("response_id"), "text"), ["response_id"], "text", k.PRESETS["chat"], 100)
     out = None
     for policy in ("abort", "ignore"):
         rows = guard.pass_through(chunks, failures, policy).groupBy(F.col("response_id").cast("long").alias("doc_id")).agg(F.sum(F.length("delta")).cast("long").alias("n_chars"), F.lit(policy).alias("policy"))
@@ -470,7 +511,6 @@ QUERIES = {
     "schema_check": schema_check,
     "prompt_echo_conversations": prompt_echo_conversations,
     "benchmark_echo": benchmark_echo,
-    "benchmark_echo_whole": benchmark_echo,  # the name under which whole texts were first read
     "verdict_chat": _verdicts("chat", True),
     "verdict_long_form": _verdicts("longForm", True),
     "verdict_lenient": _verdicts("lenient", True),
@@ -479,16 +519,12 @@ QUERIES = {
     "verdict_long_form_native": _verdicts("longForm", False),
     "verdict_full": verdict_full,
     "reason_counts": reason_counts,
-    "reason_counts_full": _full(reason_counts),
     "check_footer": check_footer,
-    "check_footer_full": _full(check_footer),
     "verdict_lines": verdict_lines,
     "verdict_lines_read": verdict_lines_read,
     "assert_output": assert_output,
-    "assert_output_full": _full(assert_output),
     "calibrate_summary": calibrate_summary,
     "calibrate_maps": calibrate_maps,
-    "calibrate_maps_full": _full(calibrate_maps),
     "label_margins": label_margins,
     "extract_text": extract_text,
     "extract_scores": extract_scores,
@@ -499,16 +535,19 @@ QUERIES = {
     "score_envelopes": score_envelopes,
     "tool_arguments_worst": tool_arguments_worst,
     "merge_verdicts": merge_verdicts,
-    "merge_verdicts_full": _full(merge_verdicts),
     "stream_events": stream_events,
     "stream_replay_first_catch": _replay(False),
     "stream_replay_early_document": _replay(True),
     "stateful_stream_guard": stateful_stream_guard,
     "stream_end": stream_end,
     "stream_policies": stream_policies,
+    "stream_fired": stream_fired,
+    "stream_late": stream_late,
     "sql_names": sql_names,
     "scan_responses": scan_responses,
     "scan_texts": scan_texts,
     "scan_scores": scan_scores,
     "exit_codes": exit_codes,
+    "written_footer": written_footer,
+    "check_messages": check_messages,
 }

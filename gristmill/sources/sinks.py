@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 
@@ -16,20 +16,32 @@ def verdict_lines(df: DataFrame, label: str = "label", verdict: str = "verdict")
     return df.select(F.to_json(F.struct(F.col(label).alias("label"), *[v[c].alias(c) for c in ("ok", "reasons", "scores", "modes", "json")])).alias("value"))
 
 
-def write_verdicts(df: DataFrame, path: str, label: str = "label", verdict: str = "verdict") -> None:
-    """Write ``verdict_lines`` as text files."""
-    verdict_lines(df, label, verdict).write.text(path)
+def write_verdicts(df: DataFrame, path: str, label: str = "label", verdict: str = "verdict", text: str = "text") -> Row:
+    """Write ``verdict_lines`` of the rows with a text as text files; the footer's counts, observed by the same job."""
+    seen = Observation()
+    known = F.col(text).isNotNull()
+    verdict_lines(df.observe(seen, *[c.alias(n) for n, c in _counts(verdict, text).items()]).where(known), label, verdict).write.text(path)
+    counts = seen.get
+    return Row(**counts, exit_code=exit_code(counts))
 
 
-def footer(df: DataFrame, verdict: str = "verdict", text: str = "text") -> DataFrame:
-    """``checked``, ``degenerate`` and ``unrecognised`` (rows without a text)."""
+def _counts(verdict: str, text: str) -> dict[str, Column]:
     known = F.col(text).isNotNull()
-    return df.agg(F.count_if(known).alias("checked"), F.count_if(known & ~F.col(verdict)["ok"]).alias("degenerate"), F.count_if(~known).alias("unrecognised"))
+    return {"checked": F.count_if(known), "degenerate": F.count_if(known & ~F.col(verdict)["ok"]), "unrecognised": F.count_if(~known)}
+
+
+def footer(df: DataFrame, verdict: str = "verdict", text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``checked``, ``degenerate``, ``unrecognised`` (rows without a text) and ``exit_code``, for each group if there are any."""
+    counts = df.groupBy(*(by or [])).agg(*[c.alias(n) for n, c in _counts(verdict, text).items()])
+    return counts.withColumn("exit_code", exit_code({c: F.col(c) for c in ("checked", "degenerate")}))
 
 
-def exit_code(counts: Row) -> int:
-    """0 if all passed, 1 if some response is degenerate, 2 if nothing could be read."""
-    return 2 if not counts["checked"] else int(counts["degenerate"] > 0)
+def exit_code(counts: Row | dict) -> int | Column:
+    """0 if all passed, 1 if some response is degenerate, 2 if nothing could be read; of numbers or of columns."""
+    checked, degenerate = counts["checked"], counts["degenerate"]
+    if isinstance(checked, Column):
+        return F.when(checked == 0, 2).when(degenerate > 0, 1).otherwise(0)
+    return 2 if not checked else int(degenerate > 0)
 
 
 def describe(label: str, verdict: Row) -> str:

@@ -2,7 +2,11 @@
 
 ``replay`` applies the schedule of checks to finished texts, as plain expressions.  ``spans_to_judge`` applies it
 to a stream of chunks with keyed state and emits the spans that are due; ``judge`` scores spans with the
-same built-in detectors as everywhere else, so state holds text and counters only.
+same built-in detectors as everywhere else, so state holds text and counters only.  ``guard_stream`` puts a second
+keyed stage behind them that remembers which responses have fired: chunks pass until then, and nothing is reported after it.
+
+State is written in proportion to what arrives: text is appended to a list, the counters and the last window are
+the only values written anew.  Queries need the RocksDB state store; ``run_to_table`` starts them with it.
 
 The schedule: a first check at ``warmup`` characters, then one whenever ``check_every`` more have come, at most one
 a chunk; each reads the last ``window`` characters.  With early document checks, the first 8000 characters are also
@@ -11,17 +15,17 @@ read for script and prompt echo, from 600 characters on and each time the length
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.text import trim
-from ..operators.check import PRESETS, CheckOptions, check_output
+from ..operators.check import PRESETS, VERDICT, CheckOptions, DegenerateOutputError, check_output
 from ..operators.verdicts import merge_early, preamble_options
 
 # The schedule.
@@ -29,7 +33,9 @@ WARMUP, CHECK_EVERY, WINDOW = 240, 400, 2000
 DOCUMENT_FROM, DOCUMENT_CERTAINTY, DOCUMENT_SAMPLE = 600, 0.9, 8000
 
 SPAN = "response_id string, at_chars bigint, kind string, span string, finish_reason string"
-_STATE = "text string, since bigint, checks bigint, document_at bigint, settled boolean, next_seq bigint, pending string, finish_reason string, tool boolean, done boolean"
+EVENT = "response_id string, seq bigint, kind string, at_chars bigint, delta string, span string, head string, finish_reason string"
+_COUNTERS = "n bigint, since bigint, checks bigint, document_at bigint, settled boolean, next_seq bigint, waiting bigint, finish_reason string, tool boolean, timer bigint"
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 @dataclass(frozen=True)
@@ -80,12 +86,13 @@ def document_positions(positions: Column) -> Column:
 
 
 def replay(df: DataFrame, key: list[str], text: str, options: CheckOptions | str, chunk: int, s: Schedule = Schedule()) -> DataFrame:
-    """``key``, ``n_chars``, ``checks``, ``caught_at`` (characters come by the first failing check) and its ``reasons``."""
+    """``key``, ``n_chars``, ``checks``, ``caught_at`` (characters come by the first failing check) and its ``reasons``; a row for each row of ``df``."""
     o = _resolved(options)
     early = s.early_document and (o.expect_script is not None or o.prompt is not None)
     rows = df.withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_at": check_positions(F.length(F.coalesce(F.col(text), F.lit(""))), chunk, s)})
     rows = rows.withColumn("_documents", document_positions(F.col("_at"))) if early else rows
-    due = rows.select("*", F.explode_outer("_at").alias("_p"))
+    # a number for each row: repeated keys stay apart, and a key with most rows isn't one group
+    due = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode_outer("_at").alias("_p"))
     span = F.when(F.col("_p").isNotNull(), F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("_p") - s.window + 1).cast("int"), F.least(F.col("_p"), F.lit(s.window)).cast("int")))
     judged = check_output(due.withColumn("_span", span), "_span", window_options(o), "_window")
     verdict = F.col("_window")
@@ -96,97 +103,278 @@ def replay(df: DataFrame, key: list[str], text: str, options: CheckOptions | str
     judged = judged.withColumn("_verdict", F.when(F.col("_p").isNotNull(), verdict))
     codes = F.transform("_verdict.reasons", lambda r: r["code"])
     failed = F.col("_p").isNotNull() & ~F.col("_verdict.ok")
-    found = judged.groupBy(*key).agg(
+    found = judged.groupBy(*key, "_row").agg(
         F.max(F.length("_text")).cast("long").alias("n_chars"), F.count("_p").alias("checks"), F.min(F.when(failed, F.col("_p"))).alias("caught_at"),
         F.min_by(F.when(failed, codes), F.when(failed, F.col("_p"))).alias("reasons"),
     )
-    return found
+    return found.drop("_row")
+
 
+@dataclass
+class _Counters:
+    """What is known of a response besides its text, in the order of ``_COUNTERS``."""
 
-def _advance(state: dict, chunk: str, s: Schedule) -> Iterator[tuple[int, str, str]]:
-    """One chunk of a response: the spans that become due."""
-    if not chunk:
-        return
-    state["text"] += chunk
-    state["since"] += len(chunk)
-    n = len(state["text"])
-    if not (n >= s.warmup if state["checks"] == 0 else state["since"] >= s.check_every):
-        return
-    state["since"], state["checks"] = 0, state["checks"] + 1
-    yield n, "window", state["text"][-s.window :]
-    if s.early_document and not state["settled"] and n >= state["document_at"]:
-        state["document_at"], state["settled"] = 2 * n, n >= DOCUMENT_SAMPLE
-        yield n, "document", state["text"][:DOCUMENT_SAMPLE]
+    n: int = 0
+    since: int = 0
+    checks: int = 0
+    document_at: int = DOCUMENT_FROM
+    settled: bool = False
+    next_seq: int = 0
+    waiting: int = 0
+    finish_reason: str | None = None
+    tool: bool = False
+    timer: int = 0
 
+    def values(self) -> tuple:
+        return tuple(self.__dict__.values())
 
-def _step(s: Schedule, silence_ms: int | None):
-    names = [part.split()[0] for part in _STATE.split(", ")]
 
-    def end(key: tuple, state: dict) -> tuple:
+class Spans(StatefulProcessor):
+    """Applies chunks in order and says which spans are due.
+
+    State: counters and the last window as values, the first characters as a value while they still grow, all text as a list with one entry for
+    each call, chunks that wait for earlier ones as a map, and a mark for finished responses.
+    """
+
+    def __init__(self, schedule: Schedule, silence_ms: int | None, event_time: bool, pass_chunks: bool, report_late: bool):
+        self.s, self.silence_ms, self.event_time, self.pass_chunks, self.report_late = schedule, silence_ms, event_time, pass_chunks, report_late
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("counters", _COUNTERS)
+        self.recent = handle.getValueState("recent", "text string")
+        self.front = handle.getValueState("front", "text string") if self.s.early_document else None
+        self.parts = handle.getListState("parts", "text string")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "delta string, finish_reason string, is_end boolean, tool_call boolean")
+        # in processing time the mark expires by itself; in event time a timer removes it
+        ttl = {"ttlDurationMs": self.silence_ms} if self.silence_ms and not self.event_time else {}
+        self.finished = handle.getValueState("finished", "at bigint", **ttl) if self.silence_ms else None
+
+    def close(self) -> None:
+        pass
+
+    def _remind(self, c: _Counters, timer_values, newest: int) -> None:
+        """Move the timer of silence to after what has just come."""
+        if not self.silence_ms:
+            return
+        now = newest if self.event_time else timer_values.getCurrentProcessingTimeInMs()
+        at = max(now + self.silence_ms, c.timer)
+        if at != c.timer:
+            if c.timer:
+                self.handle.deleteTimer(c.timer)
+            self.handle.registerTimer(at)
+            c.timer = at
+
+    def _clear(self) -> None:
+        for state in (self.counters, self.recent, self.front, self.parts, self.waiting):
+            if state is not None:
+                state.clear()
+
+    def _end(self, key: tuple, c: _Counters, more: str) -> tuple:
         """A turn with tool calls ends as a ``preamble``: its text may be short, unfinished or absent."""
-        return key[0], len(state["text"]), "preamble" if state["tool"] else "end", state["text"], state["finish_reason"]
+        text = "".join(part[0] for part in self.parts.get()) + more
+        return key[0], c.next_seq - 1, "preamble" if c.tool else "end", c.n, None, text, None, c.finish_reason
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        fresh = {"text": "", "since": 0, "checks": 0, "document_at": DOCUMENT_FROM, "settled": False, "next_seq": 0, "pending": "{}", "finish_reason": None, "tool": False, "done": False}
-        state = dict(zip(names, held.get, strict=True)) if held.exists else fresh
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        come = [r for df in rows for r in df.itertuples(index=False)]
+        newest = max((int(r.event_ms) for r in come), default=0)
+        if self.finished is not None and self.finished.exists():
+            if self.report_late:
+                out = [(key[0], r.seq, "late", None, r.delta, None, None, None) for r in come]
+        else:
+            out = self._apply(key, come, timerValues, newest)
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in EVENT.split(", ")])
+
+    def _apply(self, key: tuple, come: list, timer_values, newest: int) -> list[tuple]:
         out: list[tuple] = []
-        if held.hasTimedOut:
-            if not state["done"]:
-                out.append(end(key, state))
-            held.remove()
-        elif not state["done"]:
-            pending = json.loads(state["pending"])
-            for rows in batches:
-                for r in rows.itertuples(index=False):
-                    pending[str(r.seq)] = [None if pd.isna(r.delta) else r.delta, None if pd.isna(r.finish_reason) else r.finish_reason, bool(r.is_end), bool(r.tool_call)]
-            while not state["done"] and str(state["next_seq"]) in pending:
-                delta, finish, last, tool = pending.pop(str(state["next_seq"]))
-                state["next_seq"] += 1
-                state["finish_reason"], state["tool"] = finish or state["finish_reason"], state["tool"] or tool
-                out += [(key[0], at, kind, span, None) for at, kind, span in _advance(state, delta or "", s)]
-                if last:
-                    out.append(end(key, state))
-                    state["done"] = True
-            state["text"], state["pending"] = ("", "{}") if state["done"] else (state["text"], json.dumps(pending))
-            if state["done"] and not silence_ms:
-                if held.exists:
-                    held.remove()
+        c = _Counters(*self.counters.get()) if self.counters.exists() else _Counters()
+        recent = self.recent.get()[0] if c.n else ""
+        front = self.front.get()[0] if self.front is not None and c.n else ""
+        fronted, fresh, done = len(front), [], False
+        at_hand: dict[int, tuple] = {}
+        none = lambda x: None if pd.isna(x) else x
+        for r in come:
+            if r.seq >= c.next_seq:
+                at_hand.setdefault(int(r.seq), (none(r.delta), none(r.finish_reason), bool(r.is_end), bool(r.tool_call)))
+        while not done:
+            if c.next_seq in at_hand:
+                chunk = at_hand.pop(c.next_seq)
+                if c.waiting and self.waiting.containsKey((c.next_seq,)):
+                    self.waiting.removeKey((c.next_seq,))
+                    c.waiting -= 1
+            elif c.waiting and self.waiting.containsKey((c.next_seq,)):
+                chunk = tuple(self.waiting.getValue((c.next_seq,)))
+                self.waiting.removeKey((c.next_seq,))
+                c.waiting -= 1
             else:
-                held.update(tuple(state[n] for n in names))
-                if silence_ms:
-                    held.setTimeoutDuration(silence_ms)
-        yield pd.DataFrame(out, columns=["response_id", "at_chars", "kind", "span", "finish_reason"])
-
-    return run
+                break
+            delta, finish, done, tool = chunk[0] or "", *chunk[1:]
+            seq, c.next_seq = c.next_seq, c.next_seq + 1
+            c.finish_reason, c.tool = finish or c.finish_reason, c.tool or tool
+            fresh.append(delta)
+            c.n, c.since = c.n + len(delta), c.since + len(delta)
+            recent = (recent + delta)[-self.s.window :]
+            if self.s.early_document and len(front) < DOCUMENT_SAMPLE:
+                front = (front + delta)[:DOCUMENT_SAMPLE]
+            if self.pass_chunks:
+                out.append((key[0], seq, "chunk", c.n, delta, None, None, None))
+            if delta and (c.n >= self.s.warmup if c.checks == 0 else c.since >= self.s.check_every):
+                c.since, c.checks, head = 0, c.checks + 1, None
+                if self.s.early_document and not c.settled and c.n >= c.document_at:
+                    c.document_at, c.settled, head = 2 * c.n, c.n >= DOCUMENT_SAMPLE, front
+                out.append((key[0], seq, "window", c.n, None, recent, head, None))
+            if done:
+                out.append(self._end(key, c, "".join(fresh)))
+        if done:
+            timer = c.timer
+            self._clear()
+            if self.finished is not None:
+                c.timer = timer
+                self._remind(c, timer_values, newest)
+                self.finished.update((c.timer,))
+            return out
+        for seq, chunk in at_hand.items():
+            if not (c.waiting and self.waiting.containsKey((seq,))):
+                self.waiting.updateValue((seq,), chunk)
+                c.waiting += 1
+        if text := "".join(fresh):
+            self.parts.appendValue((text,))
+            self.recent.update((recent,))
+            if self.front is not None and len(front) > fronted:
+                self.front.update((front,))
+        self._remind(c, timer_values, newest)
+        self.counters.update(c.values())
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.counters.exists():  # silent for too long: it ends with what has come in order
+            c = _Counters(*self.counters.get())
+            out = [self._end(key, c, "")]
+            self._clear()
+        elif self.finished is not None:
+            self.finished.clear()
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in EVENT.split(", ")])
+
+
+_REPORT = "response_id string, seq bigint, kind string, at_chars bigint, delta string, verdict string"
+
+
+class Firing(StatefulProcessor):
+    """Lets chunks pass until a check fails, reports that check, and remembers the response as fired until its end."""
+
+    def __init__(self, on_degenerate: str):
+        self.on_degenerate = on_degenerate
+
+    def init(self, handle) -> None:
+        self.fired = handle.getValueState("fired", "at bigint")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was = fired = self.fired.exists()
+        ended, out, at = False, [], 0
+        come = sorted((r for df in rows for r in df.itertuples(index=False)), key=lambda r: (r.seq, ("chunk", "window", "preamble", "end", "late").index(r.kind)))
+        for r in come:
+            row = (key[0], r.seq, r.kind, r.at_chars, r.delta)
+            if r.kind == "chunk":
+                if not fired or self.on_degenerate == "ignore":
+                    out.append((*row, None))
+            elif r.kind == "late":
+                out.append((*row, None))
+            elif r.kind == "window":
+                if not fired and not r.ok:
+                    if self.on_degenerate == "throw":
+                        raise DegenerateOutputError({"reasons": [{"message": f"response {key[0]} degenerates at character {r.at_chars}: {r.verdict}"}]})
+                    fired, at = True, int(r.at_chars)
+                    out.append((key[0], r.seq, "fired", r.at_chars, None, r.verdict))
+            else:
+                if not fired and r.verdict is not None:
+                    out.append((*row, r.verdict))
+                ended = True
+        if ended:
+            self.fired.clear()
+        elif fired and not was:
+            self.fired.update((at,))
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in _REPORT.split(", ")])
 
 
-def spans_to_judge(chunks: DataFrame, s: Schedule = Schedule(), silence_ms: int | None = None) -> DataFrame:
+def spans_to_judge(chunks: DataFrame, s: Schedule = Schedule(), silence_ms: int | None = None, event_time: str | None = None, delay: str = "10 minutes", pass_chunks: bool = False, report_late: bool = False) -> DataFrame:
     """Spans due for judgement in a stream ``(response_id, seq, delta, finish_reason, is_end)``, perhaps with ``tool_call``.
 
-    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait.  A response ends
-    once, and what comes after its end is passed over.  The last stop reason that a chunk names holds.  With
-    ``silence_ms`` a response that stays silent for so long is ended; such a query runs until it is stopped, and the state of a
-    finished response is kept for that time.  Without it, state goes with the end, so ids must not be used again.
+    Chunks are applied in the order of ``seq`` from 0, whatever batches they come in; gaps wait, and of chunks with one number the first
+    counts.  A response ends once; with early document checks a window carries the ``head`` of its document when that is due.  The last stop reason that a
+    chunk names holds.  With ``silence_ms`` a response that stays silent for so long is ended with what has come in order, and a
+    finished response is remembered for that time: chunks after its end are passed over, or become rows of kind ``late`` with ``report_late``.
+    Without it, state goes with the end, so ids must not be used again.
+
+    ``event_time`` names a column of timestamps: silence is then measured on it, chunks that are replayed within ``delay`` count
+    once, and what comes later than that is dropped.  ``pass_chunks`` adds a row of kind ``chunk`` for each chunk as it is applied.
     """
     tool = F.coalesce("tool_call", F.lit(False)) if "tool_call" in chunks.columns else F.lit(False)
-    rows = chunks.select("response_id", "seq", "delta", "finish_reason", "is_end", tool.alias("tool_call"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy("response_id").applyInPandasWithState(_step(s, silence_ms), SPAN, _STATE, "append", timeout)
+    if event_time:
+        chunks = chunks.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["response_id", "seq"])
+    ms = F.unix_millis(event_time) if event_time else F.lit(0).cast("bigint")
+    rows = chunks.select("response_id", "seq", "delta", "finish_reason", "is_end", tool.alias("tool_call"), ms.alias("event_ms"), *([event_time] if event_time else []))
+    mode = "EventTime" if event_time and silence_ms else "ProcessingTime" if silence_ms else "None"
+    return rows.groupBy("response_id").transformWithStateInPandas(Spans(s, silence_ms, mode == "EventTime", pass_chunks, report_late), EVENT, "Append", mode)
 
 
-def judge(spans: DataFrame, options: CheckOptions | str) -> DataFrame:
+def guard_stream(chunks: DataFrame, options: CheckOptions | str, s: Schedule = Schedule(), on_degenerate: str = "abort", silence_ms: int | None = None, event_time: str | None = None, delay: str = "10 minutes", report_late: bool = False) -> DataFrame:
+    """``response_id``, ``seq``, ``kind``, ``at_chars``, ``delta``, ``verdict`` and ``streaming`` (true) of a guarded stream of chunks.
+
+    ``chunk`` rows are the chunks that reach the reader.  The first check that fails gives a row ``fired``: under ``abort`` no
+    chunk follows the one it fell on, under ``ignore`` chunks go on, under ``throw`` the query fails.  A response that has not fired ends with a row
+    ``end`` or ``preamble``; one that has fired is judged no further.  A response's stage of firing is remembered until its end.
+    """
+    judged = judge(spans_to_judge(chunks, s, silence_ms, event_time, delay, True, report_late), options, ("seq", "delta"), True)
+    rows = judged.select("response_id", "seq", "kind", "at_chars", "delta", F.col("verdict.ok").alias("ok"), F.to_json("verdict").alias("verdict"))
+    found = rows.groupBy("response_id").transformWithStateInPandas(Firing(on_degenerate), _REPORT, "Append", "None")
+    return found.withColumns({"verdict": F.from_json("verdict", VERDICT), "streaming": F.lit(True)})
+
+
+def judge(spans: DataFrame, options: CheckOptions | str, carry: tuple[str, ...] = (), keep_blank: bool = False) -> DataFrame:
     """``spans`` without their text, with the ``verdict`` that suits their kind: window, document, preamble or end.
 
-    A blank preamble is not judged and has no row.
+    A window that comes with the ``head`` of its document gets one verdict on both.  A blank preamble is not judged: it has no row, or
+    with ``keep_blank`` a row without verdict, as other kinds have.
     """
     o = _resolved(options)
     by = {"window": window_options(o), "document": document_options(o), "preamble": preamble_options(o), "end": o.but(finish_reason=F.col("finish_reason"))}
-    spans = spans.where((F.col("kind") != "preamble") | (trim(F.col("span")) != ""))
+    blank = (F.col("kind") == "preamble") & (trim(F.col("span")) == "")
+    spans = spans.withColumn("span", F.when(~blank, F.col("span"))) if keep_blank else spans.where(~blank)
+    early = "head" in spans.columns and (o.expect_script is not None or o.prompt is not None)
     for kind, chosen in by.items():
-        spans = spans.withColumn(f"_{kind}_text", F.when(F.col("kind") == kind, F.col("span")))
-        spans = check_output(spans, f"_{kind}_text", chosen, f"_{kind}")
-    verdict = F.coalesce(*[F.when(F.col("kind") == kind, F.col(f"_{kind}")) for kind in by])
-    return spans.select("response_id", "at_chars", "kind", verdict.alias("verdict"))
+        text = F.when(F.col("kind") == kind, F.col("span"))
+        if kind == "document" and early:
+            text = F.coalesce(text, F.col("head"))
+        spans = check_output(spans.withColumn(f"_{kind}_text", text), f"_{kind}_text", chosen, f"_{kind}")
+    window = merge_early(F.col("_window"), F.when(F.col("head").isNotNull(), F.col("_document"))) if early else F.col("_window")
+    verdicts = {kind: F.col(f"_{kind}") for kind in by} | {"window": window}
+    verdict = F.coalesce(*[F.when((F.col("kind") == kind) & F.col("span").isNotNull(), verdicts[kind]) for kind in by])
+    return spans.select("response_id", "at_chars", "kind", *carry, verdict.alias("verdict"))
+
+
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB; the session's setting is put back."""
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ROCKS[0]) if before is None else spark.conf.set(_ROCKS[0], before)
+
+
+def report_to_table(report: DataFrame, path: str) -> DataFrame:
+    """Run ``guard_stream`` until its input is used up; ``path`` gets its rows and the checkpoint, from which a later call goes on."""
+    spark = report.sparkSession
+    with rocks_db(spark):
+        query = report.writeStream.format("parquet").option("path", f"{path}/report").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(report.schema).parquet(f"{path}/report")
 
 
 def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -207,7 +395,8 @@ def run_to_table(spans: DataFrame, options: CheckOptions | str, path: str) -> Da
     """
     spark = spans.sparkSession
     write = lambda batch, number: judge(batch, options).write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
-    query = spans.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    with rocks_db(spark):
+        query = spans.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/verdicts").drop("batch")
 

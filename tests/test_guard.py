@@ -1,64 +1,212 @@
-"""The stateful stream guard's step, and micro-batches that run again."""
+"""The stream guard's two stages against a stand-in for Spark's state, and whole streams."""
 
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gristmill.operators.check import PRESETS
 from gristmill.streaming import guard
+from tests.test_detectors import PROSE
 
-NAMES = [part.split()[0] for part in guard._STATE.split(", ")]
+
+class Handle:
+    """State as Spark hands it to a processor, for one key; counts the characters that are written."""
+
+    def __init__(self):
+        self.states, self.timers, self.written = {}, set(), 0
+
+    def _state(self, name):
+        return self.states.setdefault(name, State(self))
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        return self._state(name)
+
+    getListState = getValueState
+
+    def getMapState(self, name, key_schema, schema, ttlDurationMs=None):
+        return self._state(name)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
 
 
 class State:
-    """What Spark hands to a step, for one key."""
+    def __init__(self, handle):
+        self.handle, self.value, self.items, self.map = handle, None, [], {}
 
-    def __init__(self):
-        self.get, self.hasTimedOut, self.timeout = None, False, None
+    def _count(self, value):
+        self.handle.written += len(repr(value))
 
-    @property
     def exists(self):
-        return self.get is not None
+        return self.value is not None
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.items)
 
     def update(self, value):
-        self.get = value
+        self._count(value)
+        self.value = value
+
+    def appendValue(self, value):
+        self._count(value)
+        self.items.append(value)
 
-    def remove(self):
-        self.get = None
+    def clear(self):
+        self.value, self.items, self.map = None, [], {}
 
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
+    def containsKey(self, key):
+        return key in self.map
 
+    def getValue(self, key):
+        return self.map[key]
 
-def fed(state, chunks, silence_ms=None):
-    rows = pd.DataFrame(chunks, columns=["seq", "delta", "finish_reason", "is_end", "tool_call"]).assign(response_id="a")
-    return [tuple(r) for out in guard._step(guard.Schedule(), silence_ms)(("a",), iter([rows]), state) for r in out.itertuples(index=False)]
+    def updateValue(self, key, value):
+        self._count(value)
+        self.map[key] = value
 
+    def removeKey(self, key):
+        del self.map[key]
 
-def silent(state, silence_ms):
-    state.hasTimedOut = True
-    return [tuple(r) for out in guard._step(guard.Schedule(), silence_ms)(("a",), iter([]), state) for r in out.itertuples(index=False)]
+
+class Now:
+    def __init__(self, ms=0):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+class Fed:
+    """A processor that is handed chunks, and what it gives back."""
+
+    def __init__(self, silence_ms=None, event_time=False, schedule=guard.Schedule(), report_late=False):
+        self.handle, self.of = Handle(), guard.Spans(schedule, silence_ms, event_time, False, report_late)
+        self.of.init(self.handle)
+
+    def __call__(self, *chunks, at=0):
+        rows = pd.DataFrame(chunks, columns=["seq", "delta", "finish_reason", "is_end", "tool_call"]).assign(event_ms=at)
+        return self._told(self.of.handleInputRows(("a",), iter([rows]), Now(at)))
+
+    def silent(self, at):
+        self.handle.timers.discard(at)
+        return self._told(self.of.handleExpiredTimer(("a",), Now(at), None))
+
+    def _told(self, found):
+        return [(r.at_chars, r.kind, r.span, r.finish_reason) for out in found for r in out.itertuples(index=False)]
+
+    def holds(self):
+        return {name for name, s in self.handle.states.items() if s.value is not None or s.items or s.map}
 
 
 def test_a_finished_response_ends_once():
-    state = State()
-    assert fed(state, [(0, "A fine answer.", None, False, False), (1, "", "stop", True, False)], 1000) == [("a", 14, "end", "A fine answer.", "stop")]
-    assert fed(state, [(2, "more", None, True, False)], 1000) == [] and state.exists
-    assert silent(state, 1000) == [] and not state.exists
+    fed = Fed(1000)
+    assert fed((0, "A fine answer.", None, False, False), (1, "", "stop", True, False)) == [(14, "end", "A fine answer.", "stop")]
+    assert fed.holds() == {"finished"}
+    assert fed((2, "more", None, True, False)) == [] and fed.holds() == {"finished"}
+
+
+def test_late_chunks_are_reported_if_asked_for():
+    fed = Fed(1000, event_time=True, report_late=True)
+    fed((0, "x", None, True, False), at=50)
+    assert fed((1, "more", None, False, False), at=60) == [(None, "late", None, None)]
+    assert fed.silent(1050) == [] and fed.holds() == set()
 
 
 def test_state_goes_with_the_end_or_with_silence():
-    state = State()
-    fed(state, [(0, "x", None, True, False)])
-    assert not state.exists
-    state = State()
-    assert fed(state, [(0, "half an ans", None, False, False)], 50) == [] and state.timeout == 50
-    assert silent(state, 50) == [("a", 11, "end", "half an ans", None)] and not state.exists
+    fed = Fed()
+    fed((0, "x", None, True, False))
+    assert fed.holds() == set()
+    fed = Fed(50)
+    assert fed((0, "half an ans", None, False, False), at=100) == [] and fed.handle.timers == {150}
+    assert fed((2, "lost", None, False, False), at=120) == [] and fed.handle.timers == {170}
+    assert fed.silent(170) == [(11, "end", "half an ans", None)] and fed.holds() == set()
 
 
 def test_a_tool_call_makes_a_preamble_and_the_last_reason_holds():
-    state = State()
-    assert fed(state, [(2, "", "tool_calls", True, False), (0, "Let me look", None, False, False)]) == []
-    assert fed(state, [(1, "", "length", False, True)]) == [("a", 11, "preamble", "Let me look", "tool_calls")]
+    fed = Fed()
+    assert fed((2, "", "tool_calls", True, False), (0, "Let me look", None, False, False)) == []
+    assert fed((1, "", "length", False, True)) == [(11, "preamble", "Let me look", "tool_calls")]
+
+
+def test_chunks_that_come_again_count_once():
+    fed = Fed()
+    fed((0, "one ", None, False, False), (2, "three", None, False, False))
+    fed((0, "one ", None, False, False), (2, "three", None, False, False), (1, "two ", None, False, False), (2, "other", None, False, False))
+    assert fed((3, "", None, True, False)) == [(13, "end", "one two three", None)]
+
+
+def test_windows_come_on_schedule_with_the_head_of_the_document():
+    fed = Fed(schedule=guard.Schedule(early_document=True))
+    found = [(n, kind, len(span)) for i in range(30) for n, kind, span, _ in fed((i, "x" * 100, None, i == 29, False))]
+    assert found == [(n, "window", min(n, 2000)) for n in range(300, 3001, 400)] + [(3000, "end", 3000)]
+
+
+def test_what_is_written_grows_in_proportion():
+    def written(n):
+        fed = Fed()
+        for i in range(n):
+            fed((i, "word " * 20, None, False, False))
+        return fed.handle.written
+
+    # beside each chunk, one window and the counters are written anew
+    assert written(400) < 2.2 * written(200) and written(400) < 400 * 2600
+
+
+def report_of(spark, stages, tmp_path, options="chat", **more):
+    """Rows of a guarded stream whose input comes in stages, each run from the last one's checkpoint."""
+    for i, rows in enumerate(stages):
+        schema = "response_id string, seq bigint, delta string, finish_reason string, is_end boolean"
+        df = spark.createDataFrame([(*r[:3], None, r[3]) for r in rows], schema)
+        if "event_time" in more:
+            df = df.withColumn("sent", F.timestamp_seconds(F.lit(10**9) + F.col("seq")))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/chunks")
+        found = guard.report_to_table(guard.guard_stream(stream, options, **more), f"{tmp_path}/run")
+    return [(r["response_id"], r["seq"], r["kind"], [x["code"] for x in r["verdict"]["reasons"]] if r["verdict"] else None) for r in found.orderBy("response_id", "seq", F.expr("kind <> 'chunk'")).collect()]
+
+
+LOOP = ("again and again " * 20)[:300]
+
+
+def test_nothing_passes_or_is_judged_after_firing_across_restarts(spark, tmp_path):
+    loop = [("a", i, LOOP, i == 5) for i in range(6)]
+    fine = [("b", i, PROSE[i * 200 : i * 200 + 200], i == 2) for i in range(3)]
+    found = report_of(spark, [loop[:1] + fine[:1], loop[1:3] + fine[1:2], loop[3:] + fine[2:]], tmp_path)
+    assert found == [("a", 0, "chunk", None), ("a", 0, "fired", ["REPETITION"])] + [("b", i, "chunk", None) for i in range(3)] + [("b", 2, "end", [])]
+
+
+def test_ignore_lets_chunks_pass_but_reports_once(spark, tmp_path):
+    found = report_of(spark, [[("a", i, LOOP, i == 3) for i in range(4)]], tmp_path, on_degenerate="ignore")
+    assert [x[2] for x in found] == ["chunk", "fired", "chunk", "chunk", "chunk"]
+
+
+def test_throw_fails_the_query(spark, tmp_path):
+    with pytest.raises(StreamingQueryException, match="degenerates at character 300"):
+        report_of(spark, [[("a", i, LOOP, i == 3) for i in range(4)]], tmp_path, on_degenerate="throw")
+
+
+def test_replayed_and_late_chunks_change_nothing(spark, tmp_path):
+    chunks = [("b", i, PROSE[i * 200 : i * 200 + 200], i == 2) for i in range(3)]
+    stages = [chunks[:2], chunks, chunks[1:] + [("b", 3, LOOP, False), ("b", 4, LOOP, True)]]
+    found = report_of(spark, stages, tmp_path, event_time="sent", delay="1 hour", silence_ms=3_600_000, report_late=True)
+    assert found == [("b", i, "chunk", None) for i in range(3)] + [("b", 2, "end", []), ("b", 3, "late", None), ("b", 4, "late", None)]
+
+
+def test_settings_of_the_session_are_put_back(spark):
+    before = spark.conf.get(guard._ROCKS[0], None)
+    with guard.rocks_db(spark):
+        assert spark.conf.get(guard._ROCKS[0]) == guard._ROCKS[1]
+    assert spark.conf.get(guard._ROCKS[0], None) == before
+
+
+def test_replay_keeps_rows_of_one_key_apart(spark):
+    rows = spark.createDataFrame([(1, LOOP * 2), (1, PROSE)], "id int, text string")
+    found = guard.replay(rows, ["id"], "text", "chat", 100).orderBy("n_chars").collect()
+    assert sorted((r["n_chars"], r["caught_at"]) for r in found) == sorted([(600, 300), (len(PROSE), None)], key=lambda x: x[0])
 
 
 def test_preambles_are_judged_as_such(spark):

@@ -116,8 +116,8 @@ def test_calibration(spark):
     found = summaries(spark, healthy + [0.85] * 8)
     assert found["gap"]["count"] == 8 and found["gap"]["above"] == 0.85 and found["suggested"] == pytest.approx(0.465, abs=1e-3) and found["option"] == "max_repetition"
     found = summaries(spark, healthy)
-    assert found["gap"] is None and any("no clean separation" in x for x in found["caveats"])
-    assert any("sample is too small" in x for x in summaries(spark, [0.1, 0.2])["caveats"])
+    assert found["gap"] is None and any("show no gap" in x for x in found["caveats"])
+    assert any("that decides" in x for x in summaries(spark, [0.1, 0.2])["caveats"])
     assert any("every score is 0" in x for x in summaries(spark, [0.0] * 50)["caveats"])
     assert summaries(spark, [i / 100 for i in range(101)])["p90"] == pytest.approx(0.9)
     # the first of equally wide gaps

@@ -21,7 +21,7 @@ def test_benchmark_echo_sees_a_passage_beyond_8000_characters(spark, tmp_path):
         benchmark=([(1, f"{filler.replace('filler', 'other')} {passage}")], "item_id long, text string"),
     )
     assert len(filler) > 8000
-    found = {r["doc_id"]: (r["n_runs"], r["hits"]) for r in QUERIES["benchmark_echo_whole"](spark, folder).collect()}
+    found = {r["doc_id"]: (r["n_runs"], r["hits"]) for r in QUERIES["benchmark_echo"](spark, folder).collect()}
     assert found == {1: (1502, 2), 2: (1496, 0)}
 
 
@@ -30,11 +30,11 @@ def test_full_presets_count_what_only_low_entropy_catches(spark, tmp_path):
     turns = [(c, n, role, text) for c in (0, 3) for n, (role, text) in enumerate([("user", "Say something."), ("assistant", squeezed if c else PROSE)])]
     folder = stored(spark, tmp_path, documents=([(1, PROSE, "en", "s"), (2, squeezed, "en", "s")], DOCUMENTS), conversations=(turns, "conv_id long, turn long, role string, text string"))
     run = lambda name: QUERIES[name](spark, folder).collect()
-    assert [(r["code"], r["n"]) for r in run("reason_counts_full")] == [("LOW_ENTROPY", 1)] and not run("reason_counts")
-    assert [(r["checked"], r["degenerate"]) for r in run("check_footer_full")] == [(2, 1)]
-    assert [r["doc_id"] for r in run("assert_output_full")] == [1]
-    assert {r["code"]: r["n"] for r in run("calibrate_maps_full")}["LOW_ENTROPY"] == 2
+    assert [(r["code"], r["n"]) for r in run("reason_counts")] == [("LOW_ENTROPY", 1)]
+    assert [(r["checked"], r["degenerate"], r["exit_code"]) for r in run("check_footer")] == [(2, 1, 1)]
+    assert [r["doc_id"] for r in run("assert_output")] == [1]
+    assert {r["code"]: r["n"] for r in run("calibrate_maps")}["LOW_ENTROPY"] == 2
+    assert [(r["source"], r["exit_code"]) for r in run("exit_codes")] == [("s", 1)]
     assert sorted('"LOW_ENTROPY"' in r["value"].split('"scores"')[0] for r in run("verdict_lines")) == [False, True]
     assert {r["conv_id"]: "LOW_ENTROPY" in r["reasons"] for r in run("score_envelopes")} == {0: False, 3: True}
-    few, many = ({r["conv_id"]: r["n_reasons"] for r in run(name)} for name in ("merge_verdicts", "merge_verdicts_full"))
-    assert many[3] == few[3] + 1
+    assert {r["conv_id"]: r["n_reasons"] for r in run("merge_verdicts")} == {0: 2, 3: 1}
