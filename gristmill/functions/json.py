@@ -1,4 +1,5 @@
-"""JSON functions.  Strict parsing and recursion over values of any shape need Arrow UDFs; the rest is native.
+"""JSON functions.  Contracts that are Spark types are judged as ``VARIANT`` expressions.  Strict parsing and recursion over values of
+any shape are Arrow UDFs: the parser of ``VARIANT`` passes over trailing text, refuses repeated keys and loses the order of keys.
 
 Strict means the grammar of JSON alone: no NaN, no trailing text.  Of repeated keys the last one counts.
 """
@@ -15,7 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import SPACES, trim
+from .text import SPACES, let, trim
+from .variant import member, strict
 
 
 def _reject(token: str) -> None:
@@ -60,6 +62,15 @@ def _spans(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _spans_each(arrays: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[str] | None:
+        ok, value = parse(text)
+        return (leaves(value) or [""]) if ok else None
+
+    return arrays.map(lambda texts: None if texts is None else [one(t) for t in texts])
+
+
 def is_json(text: Column) -> Column:
     """Whether the text is strict JSON; null for null."""
     return _is_json(text)
@@ -68,7 +79,7 @@ def is_json(text: Column) -> Column:
 def is_complete_document(text: Column) -> Column:
     """Whether the trimmed text is a JSON object or array; other texts are not sent to Python's parser."""
     bare = trim(text)
-    return F.coalesce(_is_json(F.when(bare.rlike(r"\A[{\[]"), bare)), F.lit(False))
+    return F.coalesce(is_json(F.when(bare.rlike(r"\A[{\[]"), bare)), F.lit(False))
 
 
 def strip_fence(text: Column) -> Column:
@@ -83,6 +94,11 @@ def string_leaves(text: Column) -> Column:
     return _spans(text)
 
 
+def string_leaves_each(texts: Column) -> Column:
+    """``string_leaves`` of every text of an array."""
+    return _spans_each(texts)
+
+
 def redundancy_spans(text: Column, scope: str = "document") -> Column:
     """The spans that redundancy is measured over: the whole text, or the leaves of a JSON text."""
     if scope != "jsonValues":
@@ -101,12 +117,83 @@ def render_issue(issue: Any) -> str:
     return f"{path}: {issue['message']}" if path else str(issue["message"])
 
 
-def json_result(text: Column, allow_fence: bool = True, required_keys: list[str] | None = None, schema: Callable[[Any], Any] | None = None) -> Column:
+def contract_issues(value: Column, contract: T.DataType, nullable: bool = True, path: str | Column = "") -> Column:
+    """What keeps a variant from meeting a type, as an array of ``path: message``; empty if nothing does.
+
+    Fields and elements that are not nullable must be there and not be null; further fields are passed over.  A whole number is one without a fraction (``1.0`` is one) within
+    the range of its type; dates and timestamps are strings that can be cast.  ``VARIANT`` takes anything.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    schema = F.schema_of_variant(value)
+
+    def issue(message: str) -> Column:
+        return F.array(F.lit(f"{path}: {message}" if path else message) if isinstance(path, str) else F.concat(path, F.lit(f": {message}")))
+
+    def below(name: str | Column) -> str | Column:
+        if isinstance(path, str) and isinstance(name, str):
+            return f"{path}.{name}" if path else name
+        head = ([F.lit(f"{path}.")] if path else []) if isinstance(path, str) else [path, F.lit(".")]
+        return F.concat(*head, F.lit(name) if isinstance(name, str) else name)
+
+    def kinds() -> tuple[Column, str]:
+        if isinstance(contract, T.StringType):
+            return schema == "STRING", "a string"
+        if isinstance(contract, T.BooleanType):
+            return schema == "BOOLEAN", "a boolean"
+        if isinstance(contract, T.IntegralType):
+            return schema.rlike(r"\A(BIGINT|DECIMAL\(\d+,0\))\z") & F.try_variant_get(value, "$", contract.simpleString()).isNotNull(), "an integer"
+        if isinstance(contract, T.NumericType):
+            return schema.rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z") & F.try_variant_get(value, "$", contract.simpleString()).isNotNull(), "a number"
+        if isinstance(contract, T.DateType | T.TimestampType | T.TimestampNTZType):
+            return (schema == "STRING") & F.try_variant_get(value, "$", "string").try_cast(contract).isNotNull(), f"a {contract.simpleString()}"
+        raise TypeError(f"a contract cannot hold {contract.simpleString()}")
+
+    if isinstance(contract, T.VariantType):
+        found = none
+    elif isinstance(contract, T.StructType):
+        of = lambda f: let(member(value, f.name), lambda x: contract_issues(x, f.dataType, f.nullable, below(f.name)))
+        each = [of(f) for f in contract.fields]
+        found = F.when(schema.startswith("OBJECT"), F.concat(*each) if each else none).otherwise(issue("expected an object"))
+    elif isinstance(contract, T.ArrayType):
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: contract_issues(x, contract.elementType, contract.containsNull, below(i.cast("string"))))
+        found = F.when(schema.startswith("ARRAY"), F.flatten(each)).otherwise(issue("expected an array"))
+    elif isinstance(contract, T.MapType) and isinstance(contract.keyType, T.StringType):
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+        each = F.transform(entries, lambda x: contract_issues(x["value"], contract.valueType, contract.valueContainsNull, below(x["key"])))
+        found = F.when(schema.startswith("OBJECT"), F.flatten(each)).otherwise(issue("expected an object"))
+    else:
+        fits, wanted = kinds()
+        found = F.when(fits, none).otherwise(issue(f"expected {wanted}"))
+    absent = value.isNull() | F.is_variant_null(value)
+    return F.when(absent, none if nullable else F.when(value.isNull(), issue("required")).otherwise(issue("must not be null"))).otherwise(found)
+
+
+def contract_result(text: Column, contract: T.DataType, allow_fence: bool = True, required_keys: list[str] | None = None) -> Column:
+    """``json_result`` for a contract that is a Spark type, without Python; objects with repeated keys count as unparseable."""
+    def parts(v: Column) -> Column:
+        wanted = [F.when(member(v, k).isNull(), F.lit(k)) for k in required_keys or []]
+        missing = F.array_compact(F.array(*wanted)) if wanted else F.expr("cast(array() as array<string>)")
+        return F.struct(v.alias("v"), missing.alias("missing"), contract_issues(v, contract, False).alias("issues"))
+
+    state = let(let(strict(strip_fence(text) if allow_fence else trim(text)), parts), lambda s: F.struct(
+        F.when(s["v"].isNotNull() & (F.size(s["missing"]) == 0) & (F.size(s["issues"]) == 0), F.lit(0.0)).otherwise(F.lit(1.0)).alias("score"),
+        F.to_json(s["v"]).alias("value"),
+        F.when(s["v"].isNull(), "unparseable").when(F.size(s["missing"]) > 0, "missing-keys").when(F.size(s["issues"]) > 0, "schema").alias("reason"),
+        F.when(F.size(s["missing"]) > 0, s["missing"]).alias("missing_keys"),
+        F.when(s["v"].isNotNull() & (F.size(s["missing"]) == 0) & (F.size(s["issues"]) > 0), s["issues"]).alias("issues"),
+    ))
+    return state
+
+
+def json_result(text: Column, allow_fence: bool = True, required_keys: list[str] | None = None, schema: Callable[[Any], Any] | T.DataType | None = None) -> Column:
     """``struct(score, value, reason, missing_keys, issues)``: 0 if the payload parses and meets its contract, else 1.
 
+    A ``schema`` that is a Spark type is compiled to expressions (``contract_result``).  Otherwise it is a function:
     ``schema(value)`` returns the accepted value (which may differ), or raises ``ValueError`` whose
     argument is a list of issues: strings, or ``{"path": [...], "message": ...}``.  It must not be a coroutine.
     """
+    if isinstance(schema, T.DataType):
+        return contract_result(text, schema, allow_fence, required_keys)
     if schema is not None and (inspect.iscoroutinefunction(schema) or inspect.iscoroutinefunction(getattr(schema, "__call__", None))):
         raise TypeError("schema must validate synchronously")
     wanted = list(required_keys or [])

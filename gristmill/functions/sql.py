@@ -26,9 +26,10 @@ class StreamChecks:
     """The spans that become due while a text comes in chunks of one size; for lateral joins.  None for null texts."""
 
     def eval(self, text: str | None, chunk: int) -> Iterator[tuple[int, str, str]]:
-        state = {"text": "", "since": 0, "checks": 0, "document_at": guard.DOCUMENT_FROM, "settled": False}
+        c, s = guard._Counters(), guard.Schedule()
         for at in range(0, len(text or ""), chunk):
-            yield from guard._advance(state, text[at : at + chunk], guard.Schedule())
+            if c.take(len(text[at : at + chunk]), s)[0]:
+                yield c.n, "window", text[max(0, c.n - s.window) : c.n]
 
 
 def register(spark: SparkSession, prefix: str = "gristmill_") -> None:

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.json import json_result, redundancy_spans
 from ..functions.text import excerpt, stage, trim, words
@@ -37,7 +38,7 @@ class CheckOptions:
     expect_json: bool = False
     allow_json_fence: bool = True
     required_keys: tuple[str, ...] = ()
-    schema: Callable[[Any], Any] | None = None
+    schema: Callable[[Any], Any] | DataType | None = None
     expect_lang: str | Column | None = None
     max_lang_mismatch: float = 0.6
     expect_script: str | tuple[str, ...] | None = None
@@ -71,6 +72,50 @@ def _reason(code: str, score: Column, threshold: Column, message: Column, mode:
     return F.struct(F.lit(code).alias("code"), score.alias("score"), threshold.cast("double").alias("threshold"), message.alias("message"), mode.alias("mode"))
 
 
+def repetition_found(score: Column, o: CheckOptions) -> tuple:
+    """Score, threshold, message and mode of a measured repetition."""
+    return score, F.lit(o.max_repetition), F.concat(_percent(score), F.lit(f"% of {o.ngram}-grams are duplicates.")), None
+
+
+def tail_loop_found(detail: Column, o: CheckOptions) -> tuple:
+    """Score, threshold, message and mode of a measured tail loop; no score where its mode has no threshold."""
+    score, mode = detail["score"], detail["mode"]
+    threshold = F.when(mode == "char", F.lit(o.max_char_tail_loop).cast("double")).otherwise(F.lit(o.max_tail_loop).cast("double"))
+    message = F.concat(F.lit("Response ends in a repeating block covering "), _percent(score), F.lit("% of the tail."))
+    return F.when(threshold.isNotNull(), score), threshold, message, F.when(threshold.isNotNull(), mode)
+
+
+def worst_repetition(spans: Column, o: CheckOptions) -> Column:
+    """The greatest repetition of several spans."""
+    return F.array_max(F.transform(spans, lambda s: d.repetition_score(s, o.ngram)))
+
+
+def worst_tail_loop(spans: Column, o: CheckOptions) -> Column:
+    """The detail of the span that loops most, the first of equals."""
+    each = F.transform(spans, lambda s: d.tail_loop_detail(s, non_spaced_cutoff=o.non_spaced_cutoff))
+    none = F.struct(F.lit(-1.0).alias("score"), F.lit("word").alias("mode"))
+    return F.aggregate(each, none, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+
+
+def verdict_of(found: dict[str, tuple], value: Column, is_null: Column) -> Column:
+    """``struct(ok, reasons, scores, modes, json)`` of what the detectors found; of a null or empty text the reason EMPTY only."""
+    reasons = F.filter(F.array(*[F.when(score > limit, _reason(code, score, limit, message, mode)) for code, (score, limit, message, mode) in found.items()]), lambda r: r.isNotNull())
+    scores = F.map_filter(F.create_map(*[x for code, (score, *_) in found.items() for x in (F.lit(code), score)]), lambda k, v: v.isNotNull())
+    pairs = [x for code, (*_, mode) in found.items() if mode is not None for x in (F.lit(code), mode)]
+    modes = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.lit(None).cast("map<string, string>")
+    no_text = _reason("EMPTY", F.lit(1.0), F.lit(0.5), F.when(is_null, F.lit("Response was null, not a string.")).otherwise(found["EMPTY"][2]), None)
+    short = F.struct(
+        F.lit(False).alias("ok"), F.array(no_text).alias("reasons"), F.create_map(F.lit("EMPTY"), F.lit(1.0)).alias("scores"),
+        F.lit(None).cast("map<string, string>").alias("modes"), F.lit(None).cast("string").alias("json"),
+    )
+    full = F.struct((F.size(reasons) == 0).alias("ok"), reasons.alias("reasons"), scores.alias("scores"), F.when(F.size(modes) > 0, modes).alias("modes"), value.alias("json"))
+    return F.when(is_null | (found["EMPTY"][0] >= 1), short).otherwise(full).cast(VERDICT)
+
+
+def empty_found(score: Column) -> tuple:
+    return score, F.lit(0.5), F.lit("Response contains no usable content."), None
+
+
 def measures(df: DataFrame, text: Column, o: CheckOptions, prefix: str = "_m_") -> tuple[DataFrame, dict[str, tuple]]:
     """``df`` with a column for each enabled detector's score, and ``code -> (score, threshold, message, mode)``."""
     spans = redundancy_spans(text, o.redundancy_scope) if o.redundancy_scope == "jsonValues" else None
@@ -85,14 +130,12 @@ def measures(df: DataFrame, text: Column, o: CheckOptions, prefix: str = "_m_")
             head = F.when(F.length(t) <= 8000, w).otherwise(words(F.substring(t, 1, 8000)))
             scores["REPETITION"] = d.let(head, lambda x: d.repetition_of_words(x, o.ngram))
         else:
-            scores["REPETITION"] = F.array_max(F.transform(f"{prefix}spans", lambda s: d.repetition_score(s, o.ngram)))
+            scores["REPETITION"] = worst_repetition(F.col(f"{prefix}spans"), o)
     if o.max_tail_loop is not None or o.max_char_tail_loop is not None:
         if spans is None:
             scores["TAIL_LOOP"] = d.tail_loop_detail(t, non_spaced_cutoff=o.non_spaced_cutoff, tokens=w)
         else:
-            each = F.transform(f"{prefix}spans", lambda s: d.tail_loop_detail(s, non_spaced_cutoff=o.non_spaced_cutoff))
-            none = F.struct(F.lit(-1.0).alias("score"), F.lit("word").alias("mode"))
-            scores["TAIL_LOOP"] = F.aggregate(each, none, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+            scores["TAIL_LOOP"] = worst_tail_loop(F.col(f"{prefix}spans"), o)
     if o.max_compressibility is not None:
         scores["LOW_ENTROPY"] = d.compressibility_score(t)
     if o.max_truncation is not None or o.finish_reason is not None:
@@ -109,16 +152,14 @@ def measures(df: DataFrame, text: Column, o: CheckOptions, prefix: str = "_m_")
     staged = staged.withColumns({f"{prefix}{code}": score for code, score in from_python.items()})
     staged = stage(staged, {f"{prefix}{code}": score for code, score in scores.items() if code not in from_python})
     m = {code: F.col(f"{prefix}{code}") for code in scores}
-    out: dict[str, tuple] = {"EMPTY": (m["EMPTY"], F.lit(0.5), F.lit("Response contains no usable content."), None)}
+    # The messages of the reasons, here and above.
+    out: dict[str, tuple] = {"EMPTY": empty_found(m["EMPTY"])}
     if "TOO_SHORT" in m:
         out["TOO_SHORT"] = (m["TOO_SHORT"], F.lit(0.0), F.concat(F.lit("Response is "), F.length(trim(t)).cast("string"), F.lit(f" chars, below the {o.min_length} minimum.")), None)
     if "REPETITION" in m:
-        out["REPETITION"] = (m["REPETITION"], F.lit(o.max_repetition), F.concat(_percent(m["REPETITION"]), F.lit(f"% of {o.ngram}-grams are duplicates.")), None)
+        out["REPETITION"] = repetition_found(m["REPETITION"], o)
     if "TAIL_LOOP" in m:
-        score, mode = m["TAIL_LOOP"]["score"], m["TAIL_LOOP"]["mode"]
-        threshold = F.when(mode == "char", F.lit(o.max_char_tail_loop).cast("double")).otherwise(F.lit(o.max_tail_loop).cast("double"))
-        message = F.concat(F.lit("Response ends in a repeating block covering "), _percent(score), F.lit("% of the tail."))
-        out["TAIL_LOOP"] = (F.when(threshold.isNotNull(), score), threshold, message, F.when(threshold.isNotNull(), mode))
+        out["TAIL_LOOP"] = tail_loop_found(m["TAIL_LOOP"], o)
     if "LOW_ENTROPY" in m:
         out["LOW_ENTROPY"] = (m["LOW_ENTROPY"], F.lit(o.max_compressibility), F.lit("Response is far more compressible than natural language."), None)
     if "TRUNCATED" in m:
@@ -155,19 +196,8 @@ def check_output(df: DataFrame, text: str | Column = "text", options: CheckOptio
     column = F.col(text) if isinstance(text, str) else text
     prefix = f"_{name}_"
     staged, found = measures(df, column, o, prefix)
-    reasons = F.filter(F.array(*[F.when(score > limit, _reason(code, score, limit, message, mode)) for code, (score, limit, message, mode) in found.items()]), lambda r: r.isNotNull())
-    scores = F.map_filter(F.create_map(*[x for code, (score, *_) in found.items() for x in (F.lit(code), score)]), lambda k, v: v.isNotNull())
-    pairs = [x for code, (*_, mode) in found.items() if mode is not None for x in (F.lit(code), mode)]
-    modes = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.lit(None).cast("map<string, string>")
     value = F.col(f"{prefix}INVALID_JSON")["value"] if o.expect_json else F.lit(None).cast("string")
-    is_null, empty = F.col(f"{prefix}text").isNull(), found["EMPTY"][0] >= 1
-    no_text = _reason("EMPTY", F.lit(1.0), F.lit(0.5), F.when(is_null, F.lit("Response was null, not a string.")).otherwise(found["EMPTY"][2]), None)
-    short = F.struct(
-        F.lit(False).alias("ok"), F.array(no_text).alias("reasons"), F.create_map(F.lit("EMPTY"), F.lit(1.0)).alias("scores"),
-        F.lit(None).cast("map<string, string>").alias("modes"), F.lit(None).cast("string").alias("json"),
-    )
-    full = F.struct((F.size(reasons) == 0).alias("ok"), reasons.alias("reasons"), scores.alias("scores"), F.when(F.size(modes) > 0, modes).alias("modes"), value.alias("json"))
-    verdict = F.when(is_null | empty, short).otherwise(full).cast(VERDICT)
+    verdict = verdict_of(found, value, F.col(f"{prefix}text").isNull())
     return staged.withColumn(name, verdict).select(*df.columns, name)
 
 

@@ -76,7 +76,9 @@ def periodic_coverage(tail: Column, max_period: int, min_repeats: int = 3) -> Co
         n = F.size(r)
         cap = F.least(F.lit(max_period), F.floor(n / min_repeats).cast("int"))
         same = [lambda p, k=k: F.slice(r, F.lit(1), p) == F.slice(r, k * p + 1, p) for k in range(1, min_repeats)]
-        periods = F.filter(F.sequence(F.lit(1), F.greatest(cap, F.lit(1))), lambda p: _all([s(p) for s in same]))
+        # most periods already fail at the first element, without a slice
+        first = lambda p: F.get(r, p) == F.get(r, F.lit(0))
+        periods = F.filter(F.sequence(F.lit(1), F.greatest(cap, F.lit(1))), lambda p: _all([first(p), *(s(p) for s in same)]))
 
         def cover(p: Column) -> Column:
             agree = F.transform(F.sequence(F.lit(1), n - p), lambda i: F.get(r, i - 1) == F.get(r, i + p - 1))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import string_leaves, strip_fence
-from ..functions.text import trim
-from .check import PRESETS, VERDICT, CheckOptions, check_output
+from ..functions.json import string_leaves_each, strip_fence
+from ..functions.text import let, stage, trim
+from . import detectors as d
+from .check import PRESETS, VERDICT, CheckOptions, check_output, empty_found, repetition_found, tail_loop_found, verdict_of, worst_repetition, worst_tail_loop
 
 
 def preamble_options(o: CheckOptions) -> CheckOptions:
@@ -28,28 +29,40 @@ def _resolved(options: CheckOptions | str) -> CheckOptions:
 
 def check_preamble(df: DataFrame, text: str, options: CheckOptions | str, name: str = "preamble") -> DataFrame:
     """A verdict on text before a tool call; null (not judged) where it is blank."""
-    judged = check_output(df, text, preamble_options(_resolved(options)), name)
     blank = F.col(text).isNull() | (trim(F.col(text)) == "")
+    judged = check_output(df, F.when(~blank, F.col(text)), preamble_options(_resolved(options)), name)
     return judged.withColumn(name, F.when(~blank, F.col(name)))
 
 
-def has_measurable_content(arguments: Column) -> Column:
-    """Whether some string value of an argument text is not blank."""
-    spans = F.coalesce(string_leaves(strip_fence(arguments)), F.array(arguments))
-    return F.exists(spans, lambda s: trim(s) != "")
+def check_arguments(df: DataFrame, arguments: str, options: CheckOptions | str, name: str = "arguments_verdict") -> DataFrame:
+    """``df`` with the worst verdict over an array of argument texts; null where none of them has a string value that isn't blank.
 
-
-def check_arguments(df: DataFrame, key: list[str], arguments: str, options: CheckOptions | str, name: str = "arguments_verdict") -> DataFrame:
-    """``key`` and the worst verdict over an array of argument texts; keys without measurable arguments have no row.
-
-    A failing verdict beats a healthy one; of failing ones the greatest reason wins, the first of equals.
+    A failing verdict beats a healthy one; of failing ones the greatest reason wins, the first of equals.  Texts stay in their row: all
+    calls are judged as arrays, without a shuffle.
     """
-    calls = df.select(*key, F.posexplode(arguments).alias("_at", "_call")).where(F.col("_call").isNotNull())
-    calls = calls.withColumn("_measurable", has_measurable_content(F.col("_call"))).where("_measurable")
-    judged = check_output(calls, "_call", argument_options(_resolved(options)), name)
-    worst = F.coalesce(F.array_max(F.transform(F.col(name)["reasons"], lambda r: r["score"])), F.lit(0.0))
-    rank = F.struct(~F.col(f"{name}.ok"), F.when(F.col(f"{name}.ok"), F.lit(0.0)).otherwise(worst), -F.col("_at"))
-    return judged.groupBy(*key).agg(F.max_by(name, rank).alias(name))
+    o = argument_options(_resolved(options))
+    calls = F.filter(arguments, lambda c: c.isNotNull())
+    staged = stage(df, {f"_{name}_calls": calls, f"_{name}_bare": F.when(F.size(calls) > 0, F.transform(calls, strip_fence))})
+    staged = staged.withColumn(f"_{name}_leaves", string_leaves_each(F.col(f"_{name}_bare")))
+
+    def judged(call: Column, leaves: Column) -> Column:
+        def measured(spans: Column) -> Column:
+            detail = {"EMPTY": d.emptiness_score(call).alias("EMPTY")}
+            if o.max_repetition is not None:
+                detail["REPETITION"] = worst_repetition(spans, o).alias("REPETITION")
+            if o.max_tail_loop is not None or o.max_char_tail_loop is not None:
+                detail["TAIL_LOOP"] = worst_tail_loop(spans, o).alias("TAIL_LOOP")
+            how = {"EMPTY": empty_found, "REPETITION": lambda x: repetition_found(x, o), "TAIL_LOOP": lambda x: tail_loop_found(x, o)}
+            verdict = let(F.struct(*detail.values()), lambda m: verdict_of({c: how[c](m[c]) for c in detail}, F.lit(None).cast("string"), F.lit(False)))
+            return F.when(F.exists(spans, lambda s: trim(s) != ""), verdict)
+
+        return let(F.coalesce(leaves, F.array(call)), measured)
+
+    each = F.filter(F.zip_with(f"_{name}_calls", f"_{name}_leaves", judged), lambda v: v.isNotNull())
+    staged = stage(staged, {f"_{name}_each": F.when(F.size(f"_{name}_calls") > 0, each)})
+    worst = lambda v: F.coalesce(F.array_max(F.transform(v["reasons"], lambda r: r["score"])), F.lit(0.0))
+    ranks = F.transform(f"_{name}_each", lambda v, i: F.struct(~v["ok"], F.when(v["ok"], F.lit(0.0)).otherwise(worst(v)), (-i).alias("at")))
+    return staged.withColumn(name, F.get(f"_{name}_each", -F.array_max(ranks)["at"])).select(*df.columns, name)
 
 
 def merge_verdicts(preamble: Column, arguments: Column) -> Column:

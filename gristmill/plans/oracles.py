@@ -358,8 +358,12 @@ ORACLES["stream_policies"] = f"""
 SELECT doc_id, CASE WHEN policy = 'abort' AND caught_at >= 0 THEN least(caught_at, n_chars) ELSE n_chars END::BIGINT AS n_chars, policy
 FROM ({ORACLES['stream_replay_first_catch']}), (SELECT unnest(['abort', 'ignore']) AS policy)"""
 ORACLES["scan_responses"] = """
-SELECT doc_id, sha256(text) AS text_sha256, (SELECT count(*) FROM documents WHERE doc_id % 11 <> 4) AS lines, (SELECT count(*) FROM documents WHERE doc_id % 11 = 7) AS unrecognised
-FROM documents WHERE doc_id % 11 NOT IN (4, 7)"""
+SELECT doc_id, line_no, sha256(text) AS text_sha256, (SELECT count(*) FROM documents WHERE doc_id % 11 <> 4) AS lines, (SELECT count(*) FROM documents WHERE doc_id % 11 = 7) AS unrecognised
+FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line_no FROM documents) WHERE doc_id % 11 NOT IN (4, 7)"""
+ORACLES["schema_contract"] = """
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score, CASE WHEN n > 0 THEN 'schema' END AS reason,
+    CASE n WHEN 1 THEN 'turns.1.n: expected an integer' WHEN 2 THEN 'turns.1.n: expected an integer' WHEN 3 THEN 'turns.1.role: required' WHEN 4 THEN 'id: must not be null' END AS issues
+FROM (SELECT *, (conv_id + turn) % 5 AS n FROM conversations)"""
 ORACLES["scan_texts"] = "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark"
 ORACLES["scan_scores"] = f"""
 {WHOLE_CHAT[0]}, long AS (SELECT unnest(['EMPTY', 'TOO_SHORT', 'REPETITION', 'TAIL_LOOP', 'LOW_ENTROPY']) AS code, unnest([empty, too_short, rep, tail, dense]) AS score, empty, mode FROM scored)

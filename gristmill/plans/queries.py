@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import json as j
 from ..functions import sql as names
@@ -107,6 +108,20 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("r.score").alias("score"), F.get_json_object("r.value", "$.even").alias("even"), F.array_join("r.issues", ";").alias("issues"))
 
 
+#: A contract for answers that list turns.
+ANSWER = "id long not null, note string, turns array<struct<role: string not null, n: int not null>>"
+
+
+def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made of conversation turns against a contract that is a Spark type, some of them with parts missing or of another type."""
+    turns, n = read(spark, sf_dir, "conversations"), (F.col("conv_id") + F.col("turn")) % 5
+    number = F.when(n == 1, F.to_json(F.struct(F.col("role").alias("x"))).substr(F.lit(6), F.length("role") + 2)).when(n == 2, F.lit("1.5")).otherwise(F.col("turn").cast("string"))
+    listed = F.concat(F.lit('[{"role": "a", "n": 1}, {'), F.when(n == 3, F.lit("")).otherwise(F.lit('"role": "b", ')), F.lit('"n": '), number, F.lit("}]"))
+    payload = F.concat(F.lit('{"id": '), F.when(n == 4, F.lit("null")).otherwise(F.col("conv_id").cast("string")), F.lit(', "more": true, "turns": '), listed, F.lit("}"))
+    found = turns.select("conv_id", "turn", j.json_result(payload, schema=T.StructType.fromDDL(ANSWER)).alias("r"))
+    return found.select("conv_id", "turn", F.col("r.score").alias("score"), F.col("r.reason").alias("reason"), F.array_join("r.issues", "; ").alias("issues"))
+
+
 def _turns_with_prompt(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """Assistant turns with what the model was given before: system and user turns, joined by blank lines.
 
@@ -252,11 +267,11 @@ def extract_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", r6(F.col("f.scores")["REPETITION"]).alias("repetition"), r6(F.col("f.scores")["TAIL_LOOP"]).alias("tail_loop"), F.col("f.modes")["TAIL_LOOP"].alias("mode"))
 
 
-def _responses(surface: str):
-    """Envelopes of one provider around the assistant turns, with the request before them."""
+def _responses(surface: str, prompt: bool = True):
+    """Envelopes of one provider around the assistant turns, with the request before them if a prompt is wanted."""
 
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _turns_with_prompt(spark, sf_dir)
+        rows = _turns_with_prompt(spark, sf_dir) if prompt else read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.lit("").alias("prompt"))
         text, odd = F.col("text"), F.col("conv_id") % 3 == 0
         loop = F.repeat(F.lit("again and again "), 30)
         arguments = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(loop.alias("query")))).otherwise(F.lit('{"id": 7}'))
@@ -300,14 +315,14 @@ def score_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_arguments_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = e.read_envelopes(_responses("openai_chat")(spark, sf_dir), "openai_chat").where("has_tool_calls")
-    found = v.check_arguments(rows, ["conv_id", "turn"], "arguments", "chat")
+    rows = e.read_envelopes(_responses("openai_chat", False)(spark, sf_dir), "openai_chat").where("has_tool_calls")
+    found = v.check_arguments(rows, "arguments", "chat").where("arguments_verdict is not null")
     return found.select("conv_id", "turn", F.col("arguments_verdict.ok").alias("ok"), r6(F.col("arguments_verdict.scores")["REPETITION"]).alias("repetition"))
 
 
 def merge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = e.read_envelopes(_responses("openai_chat")(spark, sf_dir), "openai_chat").where("has_tool_calls")
-    both = v.check_preamble(rows, "text", k.PRESETS["chat"]).join(v.check_arguments(rows, ["conv_id", "turn"], "arguments", k.PRESETS["chat"]), ["conv_id", "turn"], "left")
+    rows = e.read_envelopes(_responses("openai_chat", False)(spark, sf_dir), "openai_chat").where("has_tool_calls")
+    both = v.check_arguments(v.check_preamble(rows, "text", k.PRESETS["chat"]), "arguments", k.PRESETS["chat"])
     merged = both.select("conv_id", "turn", v.merge_verdicts(F.col("preamble"), F.col("arguments_verdict")).alias("m"))
     return merged.select("conv_id", "turn", F.col("m.ok").alias("ok"), F.size("m.reasons").cast("long").alias("n_reasons"), r6(F.col("m.scores")["REPETITION"]).alias("repetition"))
 
@@ -433,12 +448,15 @@ def _written(spark: SparkSession, sf_dir: str, name: str, value: Column) -> str:
 
 
 def scan_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses read from JSON lines, with blank and foreign lines among them; the id is found in the text."""
+    """Responses read from JSON lines, with blank and foreign lines among them; the id is found in the text, the line number in the label."""
     line = F.when(F.col("doc_id") % 11 == 4, F.lit("")).when(F.col("doc_id") % 11 == 7, F.lit('{"level": "info"}')).otherwise(F.to_json(F.struct(F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("output"))))
-    rows = scans.read_responses(spark, _written(spark, sf_dir, "responses", line))
-    known = rows.where("text is not null").select(F.split("text", " ", 2).alias("x"))
+    folder = _shared_folder(spark, "responses")
+    logs = _documents(spark, sf_dir).select(line.alias("value"), (F.col("doc_id") % 16).alias("log"), "doc_id").repartition("log").sortWithinPartitions("log", "doc_id")
+    logs.drop("doc_id").write.partitionBy("log").text(folder)
+    rows = scans.read_responses(spark, f"{folder}/*")
+    known = rows.where("text is not null").select(F.split("text", " ", 2).alias("x"), F.regexp_extract("label", ":([0-9]+)$", 1).cast("long").alias("line_no"))
     counts = rows.agg(F.count("*").alias("lines"), F.count_if(F.col("text").isNull()).alias("unrecognised"))
-    return known.select(F.col("x")[0].cast("long").alias("doc_id"), F.sha2(F.col("x")[1], 256).alias("text_sha256")).join(counts)
+    return known.select(F.col("x")[0].cast("long").alias("doc_id"), "line_no", F.sha2(F.col("x")[1], 256).alias("text_sha256")).join(F.broadcast(counts))
 
 
 def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +527,7 @@ QUERIES = {
     "json_required_keys": json_required_keys,
     "json_string_leaves": json_string_leaves,
     "schema_check": schema_check,
+    "schema_contract": schema_contract,
     "prompt_echo_conversations": prompt_echo_conversations,
     "benchmark_echo": benchmark_echo,
     "verdict_chat": _verdicts("chat", True),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stage, trim
+from ..functions.variant import as_array, as_string, at, kind
 from ..operators.check import PRESETS, CheckOptions, check_output
 from ..operators.verdicts import check_arguments, check_preamble, merge_verdicts
 
@@ -20,30 +21,6 @@ from ..operators.verdicts import check_arguments, check_preamble, merge_verdicts
 INPUT_ROLES = ("system", "developer", "user", "human")
 
 
-def kind(value: Column) -> Column:
-    """``string``, ``array``, ``object`` or ``other``; null for null and JSON null."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string"))
-        .when(schema == "STRING", "string").when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").otherwise("other")
-    )
-
-
-def at(value: Column, path: str) -> Column:
-    """The member at a path, as a variant."""
-    return F.try_variant_get(value, f"$.{path}", "variant")
-
-
-def as_string(value: Column) -> Column:
-    """A JSON string's text; null for any other value."""
-    return F.when(kind(value) == "string", F.try_variant_get(value, "$", "string"))
-
-
-def as_array(value: Column) -> Column:
-    """A JSON array's elements; an empty array for any other value."""
-    return F.coalesce(F.when(kind(value) == "array", F.try_variant_get(value, "$", "array<variant>")), F.expr("cast(array() as array<variant>)"))
-
-
 def _join(parts: Column, sep: str) -> Column:
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), sep)
 
@@ -220,7 +197,7 @@ def read_stream_events(df: DataFrame, surface: str | Surface, event: str = "even
 
 
 def score_envelopes(df: DataFrame, key: list[str], surface: str | Surface, options: CheckOptions | str, response: str = "response", request: str | None = None, check_tool_arguments: bool = False, check_prompt_echo: bool = False) -> DataFrame:
-    """``key`` and the verdict of each response; null where a tool-call turn has nothing to judge.
+    """``key`` and the verdict of each response; null where a tool-call turn has nothing to judge.  A map over rows: keys may repeat.
 
     A turn with tool calls is judged by its preamble and, if asked for, its arguments; other turns
     get the full check under the response's own stop reason.  A prompt in the options beats the request's.
@@ -229,11 +206,13 @@ def score_envelopes(df: DataFrame, key: list[str], surface: str | Surface, optio
     rows = read_envelopes(df, surface, response, request if check_prompt_echo else None)
     if o.prompt is None and check_prompt_echo and request:
         o = o.but(prompt=F.col("prompt"))
-    full = check_output(rows, "text", o.but(finish_reason=F.col("finish_reason")), "_full")
-    both = check_preamble(full, "text", o, "_preamble")
+    # a row is judged once: the text of the branch that does not apply is null, and costs nothing
+    tool, text = F.col("has_tool_calls"), F.col("text")
+    split = rows.withColumns({"_said": F.when(~tool, text), "_before": F.when(tool, text), "_calls": F.when(tool, F.col("arguments"))})
+    both = check_preamble(check_output(split, "_said", o.but(finish_reason=F.col("finish_reason")), "_full"), "_before", o, "_preamble")
     if check_tool_arguments:
-        both = both.join(check_arguments(rows, key, "arguments", o, "_arguments"), key, "left")
+        both = check_arguments(both, "_calls", o, "_arguments")
         merged = merge_verdicts(F.col("_preamble"), F.col("_arguments"))
     else:
         merged = F.col("_preamble")
-    return both.select(*key, F.when(F.col("has_tool_calls"), merged).otherwise(F.col("_full")).alias("verdict"))
+    return both.select(*key, F.when(tool, merged).otherwise(F.col("_full")).alias("verdict"))

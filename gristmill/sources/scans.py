@@ -19,6 +19,9 @@ from ..operators.check import CODES
 # The fields a logged response may stand in, in order.
 TEXT_FIELDS = ("text", "output", "content", "response", "completion", "answer")
 
+#: Of so many blocks of files the table of line numbers is broadcast, at 24 bytes each.
+MOST_BLOCKS = 4_000_000
+
 FIXTURE = (
     "id string, note string, text string, category string, expect array<string>, "
     "options struct<expectJson: boolean, requiredKeys: array<string>, expectLang: string, expectScript: string, minLength: int, maxTruncation: double, finishReason: string>, "
@@ -104,12 +107,17 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path``, ``line_no`` (from 1, blank lines counted) and ``line`` of text files, which may be split.
 
-    Lines are numbered inside each block of a file, and the counts of the blocks before are added.
+    A block's lines lie together in one task, so their running ids count from the block's least.  The number of lines in the blocks before is added
+    from a table of blocks (three numbers each) that is broadcast up to ``MOST_BLOCKS`` rows; lines themselves are not shuffled.
     """
-    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    counts = rows.groupBy("path", "block").count().selectExpr("path", "block", "coalesce(sum(count) over (partition by path order by block rows between unbounded preceding and 1 preceding), 0) as before")
-    numbered = rows.selectExpr("*", "row_number() over (partition by path, block order by at) as nth")
-    return numbered.join(counts, ["path", "block"]).select("path", (F.col("before") + F.col("nth")).cast("long").alias("line_no"), "line")
+    files = spark.read.option("lineSep", "\n").text(paths)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    found = rows.groupBy(F.xxhash64("path").alias("file"), F.col("block").alias("start")).agg(F.min("at").alias("least"), F.count("*").alias("lines"))
+    starts = found.selectExpr("file", "start", "least - coalesce(sum(lines) over (partition by file order by start rows between unbounded preceding and 1 preceding), 0) - 1 as zero")
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    blocks = size // max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) + len(files._jdf.inputFiles())
+    placed = rows.join(F.broadcast(starts) if blocks <= MOST_BLOCKS else starts, (F.xxhash64(rows["path"]) == F.col("file")) & (rows["block"] == F.col("start")))
+    return placed.select("path", (F.col("at") - F.col("zero")).cast("long").alias("line_no"), "line")
 
 
 def read_responses(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -128,6 +128,17 @@ class _Counters:
     def values(self) -> tuple:
         return tuple(self.__dict__.values())
 
+    def take(self, length: int, s: Schedule) -> tuple[bool, bool]:
+        """A chunk of some length: whether a window is due now, and whether the document so far is read with it."""
+        self.n, self.since = self.n + length, self.since + length
+        if not length or not (self.n >= s.warmup if self.checks == 0 else self.since >= s.check_every):
+            return False, False
+        self.since, self.checks = 0, self.checks + 1
+        head = s.early_document and not self.settled and self.n >= self.document_at
+        if head:
+            self.document_at, self.settled = 2 * self.n, self.n >= DOCUMENT_SAMPLE
+        return True, head
+
 
 class Spans(StatefulProcessor):
     """Applies chunks in order and says which spans are due.
@@ -213,17 +224,14 @@ class Spans(StatefulProcessor):
             seq, c.next_seq = c.next_seq, c.next_seq + 1
             c.finish_reason, c.tool = finish or c.finish_reason, c.tool or tool
             fresh.append(delta)
-            c.n, c.since = c.n + len(delta), c.since + len(delta)
+            due, early = c.take(len(delta), self.s)
             recent = (recent + delta)[-self.s.window :]
             if self.s.early_document and len(front) < DOCUMENT_SAMPLE:
                 front = (front + delta)[:DOCUMENT_SAMPLE]
             if self.pass_chunks:
                 out.append((key[0], seq, "chunk", c.n, delta, None, None, None))
-            if delta and (c.n >= self.s.warmup if c.checks == 0 else c.since >= self.s.check_every):
-                c.since, c.checks, head = 0, c.checks + 1, None
-                if self.s.early_document and not c.settled and c.n >= c.document_at:
-                    c.document_at, c.settled, head = 2 * c.n, c.n >= DOCUMENT_SAMPLE, front
-                out.append((key[0], seq, "window", c.n, None, recent, head, None))
+            if due:
+                out.append((key[0], seq, "window", c.n, None, recent, front if early else None, None))
             if done:
                 out.append(self._end(key, c, "".join(fresh)))
         if done:

@@ -1,9 +1,15 @@
 """Verdicts, presets, tool calls and JSON contracts."""
 
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import json as j
+from gristmill.functions.json import is_json, json_result
 from gristmill.operators import verdicts as v
 from gristmill.operators.check import PRESETS, CheckOptions, assert_output, check_output, flat_scores
 from tests.test_detectors import LOOP, PROSE
@@ -108,14 +114,65 @@ def test_tool_calls(spark):
         "id int, text string, calls array<string>",
     )
     preamble = v.check_preamble(rows, "text", "chat")
-    arguments = v.check_arguments(rows, ["id"], "calls", "chat")
-    assert {r["id"] for r in arguments.collect()} == {0, 3}
-    merged = preamble.join(arguments, "id", "left").select("id", v.merge_verdicts(F.col("preamble"), F.col("arguments_verdict")).alias("m"))
+    arguments = v.check_arguments(preamble, "calls", "chat")
+    assert {r["id"] for r in arguments.where("arguments_verdict is not null").collect()} == {0, 3}
+    merged = arguments.select("id", v.merge_verdicts(F.col("preamble"), F.col("arguments_verdict")).alias("m"))
     found = {r["id"]: r["m"] for r in merged.collect()}
     assert not found[0]["ok"] and found[0]["reasons"][0]["message"].startswith("In a tool call argument: ")
     assert not found[1]["ok"] and found[2] is None and found[3]["ok"] and "TOO_SHORT" not in found[3]["scores"]
 
 
+def test_the_worst_of_several_arguments_and_none(spark):
+    loop, worse = '{"q": "' + "again and again " * 40 + '"}', '{"q": "' + "x " * 300 + '"}'
+    rows = spark.createDataFrame([(0, ["not json at all", loop, worse, worse]), (1, [None, "{}"]), (2, []), (3, None), (4, ["", '["fine words", ""]'])], "id int, calls array<string>")
+    found = {r["id"]: r["w"] for r in v.check_arguments(rows, "calls", "chat", "w").collect()}
+    assert found[1] is None and found[2] is None and found[3] is None and found[4]["ok"] and set(found[4]["scores"]) == {"EMPTY", "REPETITION", "TAIL_LOOP"}
+    assert not found[0]["ok"] and 0.9 < found[0]["scores"]["REPETITION"] < 0.99  # all three end in a loop of score 1, and the first of them counts
+
+
+def test_contracts_of_spark_types_find_what_a_function_finds(spark):
+    contract = T.StructType.fromDDL("id long not null, note string, `a'b.c` boolean, when date, items array<struct<n: int not null, x: double>>, tags map<string, string> not null")
+
+    def judged(v, kind, nullable, path):
+        said = lambda m: [f"{path}: {m}" if path else m]
+        if v is None:
+            return [] if nullable else said("must not be null")
+        whole = isinstance(v, int | float) and not isinstance(v, bool) and v == int(v)
+        if isinstance(kind, T.StructType):
+            if not isinstance(v, dict):
+                return said("expected an object")
+            return [i for f in kind.fields for i in ((judged(v[f.name], f.dataType, f.nullable, f"{path}.{f.name}".lstrip(".")) if f.name in v else [] if f.nullable else [f"{path}.{f.name}: required".lstrip(".")]))]
+        if isinstance(kind, T.ArrayType):
+            return [i for n, x in enumerate(v) for i in judged(x, kind.elementType, True, f"{path}.{n}")] if isinstance(v, list) else said("expected an array")
+        if isinstance(kind, T.MapType):
+            return [i for k in sorted(v) for i in judged(v[k], kind.valueType, True, f"{path}.{k}")] if isinstance(v, dict) else said("expected an object")
+        fits = {
+            T.LongType: (whole and abs(v) < 2**63 if whole else False, "an integer"), T.IntegerType: (whole and abs(v) < 2**31 if whole else False, "an integer"),
+            T.DoubleType: (isinstance(v, int | float) and not isinstance(v, bool), "a number"), T.StringType: (isinstance(v, str), "a string"),
+            T.BooleanType: (isinstance(v, bool), "a boolean"), T.DateType: (isinstance(v, str) and bool(re.fullmatch(r"\d{4}-\d\d-\d\d", v)), "a date"),
+        }[type(kind)]
+        return [] if fits[0] else said(f"expected {fits[1]}")
+
+    r = random.Random(4)
+    odd = [None, 1, -2.5, 1.0, 3_000_000_000, True, "x", "2024-02-03", [], {}, [1], {"n": 1}, [{"n": 2, "x": 0.5}, {"n": "y"}, {"x": 1}], {"k": "v", "l": 3}]
+    values = [{k: r.choice(odd) for k in ("id", "note", "a'b.c", "when", "items", "tags", "more") if r.random() < 0.9} for _ in range(10_000)] + odd
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, t string")
+    df = rows.select("i", json_result(F.col("t"), schema=contract).alias("r"))
+    found = {x["i"]: x["r"] for x in df.collect()}
+    for i, v in enumerate(values):
+        assert (found[i]["issues"] or []) == judged(v, contract, False, ""), json.dumps(v)
+        assert found[i]["score"] == (1.0 if found[i]["issues"] else 0.0)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contracts_of_broken_payloads(spark):
+    texts = ['{"a": 1} x', "1 2", "1],[2", '1,"x"', "", None, "nul", '{"a": 1, "a": 2}', '```json\n{"a": 1}\n```', '{"b": 1}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r["r"] for r in rows.select("i", json_result(F.col("t"), required_keys=["a"], schema=T.StructType.fromDDL("a int")).alias("r")).orderBy("i").collect()]
+    assert [r["reason"] for r in found] == ["unparseable"] * 8 + [None, "missing-keys"] and found[9]["missing_keys"] == ["a"] and found[8]["value"] == '{"a":1}'
+    assert [r["v"] for r in rows.select("i", is_json(F.col("t")).alias("v")).orderBy("i").collect()] == [False, False, False, False, False, None, False, True, False, True]
+
+
 def test_strict_json_functions(spark):
     texts = ['{"a":[{"b":"x"},"y"],"c":"z"}', "[1,]", "01", '"s"', "NaN", "[1] x", "", None, "[" * 5000]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", j.is_json(F.col("t")).alias("ok"), j.string_leaves(F.col("t")).alias("leaves"))

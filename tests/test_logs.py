@@ -1,5 +1,6 @@
 """Scans, envelopes, calibration, streaming, sinks and the command line."""
 
+import gzip
 import json
 
 import pytest
@@ -106,6 +107,54 @@ def test_score_envelopes_routes_tool_turns(spark):
     assert reasons(0) == [] and reasons(1) == ["TRUNCATED"] and "REPETITION" in reasons(2) and found[3] is None and reasons(4) == ["PROMPT_ECHO"]
 
 
+def test_envelopes_of_one_key_keep_their_own_verdicts(spark):
+    call = lambda text: json.dumps({"choices": [{"message": {"content": None, "tool_calls": [{"function": {"arguments": json.dumps({"q": text})}}]}}]})
+    rows = spark.createDataFrame([("k", call("again and again " * 40)), ("k", call("plain words"))], "id string, response string")
+    found = e.score_envelopes(rows, ["id"], "openai_chat", "chat", check_tool_arguments=True)
+    assert sorted(r["verdict"]["ok"] for r in found.collect()) == [False, True]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_numbers_of_split_and_packed_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" if i % 7 else "\n" for i in range(1, 5001)))
+    (tmp_path / "b.txt").write_text("x\ny")
+    (tmp_path / "none.txt").write_text("")
+    with gzip.open(tmp_path / "c.txt.gz", "wt") as out:
+        out.write("".join(f"line {i}\n" for i in range(1, 2001)))
+    before = {n: spark.conf.get(f"spark.sql.files.{n}") for n in ("maxPartitionBytes", "openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        lines = scans.read_lines(spark, str(tmp_path))
+        rows = lines.collect()
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(f"spark.sql.files.{n}", value)
+    assert len(rows) == 7002 and all(r["line"] == f"line {r['line_no']}" if r["line"] else r["line_no"] % 7 == 0 for r in rows if "b.txt" not in r["path"])
+    assert sorted((r["line_no"], r["line"]) for r in rows if "b.txt" in r["path"]) == [(1, "x"), (2, "y")]
+    assert all("line#" not in part.split("+-")[0] for part in plan.split("Exchange hashpartitioning")[1:])
+
+
+@pytest.mark.parametrize(("bins", "few"), [(1024, 1024), (4, 3), (2, 1)])
+def test_percentiles_by_refined_bins(spark, bins, few):
+    values = [("A", "word", x / 7) for x in range(200) for _ in range(1 + x % 3)] + [("A", None, x) for x in (5.0, 5.0, 1.0)] + [("B", None, 0.5**x) for x in range(60)] + [("C", None, 1e308), ("C", None, -1e308)]
+    counted = spark.createDataFrame(values, "code string, mode string, score double").groupBy("code", "mode", "score").agg(F.count("*").alias("n"))
+    at = [0.5, 0.9, 0.99, 0.999, 0.37]
+    wanted = {(r["code"], r["mode"]): r["p"] for r in counted.groupBy("code", "mode").agg(F.percentile("score", at, F.col("n")).alias("p")).collect()}
+    assert c.exact_percentiles(counted, at, bins, few) == wanted
+    assert c.exact_percentiles(counted.where("false"), at) == {}
+
+
+def test_counts_are_observed_while_lines_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", PROSE), ("b", "again and again " * 40), ("c", None)], "label string, text string")
+    counts = sinks.write_verdicts(check_output(rows, "text", "chat"), str(tmp_path / "out"))
+    assert counts.asDict() == {"checked": 2, "degenerate": 1, "unrecognised": 1, "exit_code": 1}
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    none = sinks.write_verdicts(check_output(rows.where("label = 'c'"), "text", "chat"), str(tmp_path / "none"))
+    assert none["exit_code"] == 2
+
+
 def summaries(spark, values, rate=0.001):
     rows = spark.createDataFrame([("REPETITION", None, float(x)) for x in values], "code string, mode string, score double")
     return c.calibrate_long(rows, rate).first()
