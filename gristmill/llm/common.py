@@ -78,17 +78,20 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         kept.append(_written[-1])
         return out
 
-    yield keep
-    drop_tables(spark, start, tuple(kept))
+    try:
+        yield keep
+    finally:
+        drop_tables(spark, start, tuple(kept))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows whose ``column`` has about ``most`` bytes.
+    """The batches cut into runs of rows whose ``column`` has about ``most`` bytes; a column of numbers holds the sizes themselves.
 
     A row is never cut, so a single long text makes a slice of its own.
     """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        held = batch.column(column)
+        sizes = pc.fill_null(held if pa.types.is_integer(held.type) else pc.binary_length(held), 0).to_numpy(zero_copy_only=False)
         at = total = 0
         for i, size in enumerate(sizes):
             if total and total + size > most:

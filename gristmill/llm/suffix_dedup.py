@@ -118,7 +118,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and compressed words of each text; a text that comes again in a task is left out."""
+    """Digest, compressed words and their raw size of each text; a text that comes again in a task is left out."""
     press, seen = zstandard.ZstdCompressor(level=3), set()
     for batch in slices(batches, "text"):
         new = {}
@@ -126,13 +126,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = b" ".join(text.split())
             if (same := sha256(plain).digest()) not in seen:
                 seen.add(same)
-                new[same] = press.compress(plain)
-        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["same", "packed"])
+                new[same] = press.compress(plain), len(plain)
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([x for x, _ in new.values()], pa.binary()), pa.array([n for _, n in new.values()], pa.int64())], ["same", "packed", "size"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices by the size of the words as they are unpacked: repetitive texts are a hundred times smaller before."""
     open_ = zstandard.ZstdDecompressor()
-    for batch in slices(batches, "packed", 1 << 19):
+    for batch in slices(batches, "size", 1 << 20):
         yield batch, [open_.decompress(x).split() for x in batch.column("packed").to_pylist()]
 
 
@@ -289,7 +290,8 @@ def _frequent(hot: DataFrame, group_rows: int, bucket_rows: int) -> tuple[DataFr
         if width == 1:
             found.append(nodes.where("n > 1").select("id", F.col("at").alias("low"), F.col("at").alias("high")))
             break
-        sized = table(nodes.join(nodes.groupBy("key").agg(F.count("*").alias("m")), "key"), f"sized-{level}")
+        sizes = table(nodes.groupBy("key").agg(F.count("*").alias("m")), f"sizes-{level}")
+        sized = table(_looked_up(nodes, sizes, "key", ["id"], sizes.agg(F.max("m")).first()[0] or 0, group_rows), f"sized-{level}")
         fit, more = sized.where(F.col("m") <= group_rows), sized.where(F.col("m") > group_rows)
         found.append(_bucketed(fit, bucket_rows, fit.count()).applyInArrow(_frequent_group, "id binary, low int, high int"))
         if more.isEmpty():
@@ -316,9 +318,10 @@ def repeated_text(df: DataFrame, key: str = "doc_id", text: str = "text", group_
     once = table(seen.groupBy("same").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"), F.first("times").alias("times")), "texts")
     most_copies = once.agg(F.max("copies")).first()[0] or 0
     places = once.select("same", F.inline(F.arrays_zip("anchors", "times"))).withColumnRenamed("anchors", "anchor")
-    again = places.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("times").alias("n")).where("n > 1").select("anchor", (F.col("n") > group_rows).alias("frequent"))
-    wanted = places.select("same", "anchor").join(again, "anchor").groupBy("same").agg(F.collect_list(F.struct("anchor", "frequent")).alias("w")).select("same", F.col("w.anchor").alias("keys"), F.col("w.frequent").alias("hot"))
-    held = table(rows.mapInArrow(_packed, "same binary, packed binary").join(wanted, "same").dropDuplicates(["same"]), "held")
+    again = table(places.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("times").alias("n")).where("n > 1").select("anchor", "texts", (F.col("n") > group_rows).alias("frequent")), "again")
+    met = _looked_up(places.select("same", "anchor"), again.drop("texts"), "anchor", ["same"], again.agg(F.max("texts")).first()[0] or 0, group_rows)
+    wanted = met.groupBy("same").agg(F.collect_list(F.struct("anchor", "frequent")).alias("w")).select("same", F.col("w.anchor").alias("keys"), F.col("w.frequent").alias("hot"))
+    held = table(rows.mapInArrow(_packed, "same binary, packed binary, size bigint").join(wanted, "same").dropDuplicates(["same"]), "held")
     stretches = table(held.mapInArrow(_stretches, _STRETCH), "stretches")
     cool, hot = stretches.where("not hot"), stretches.where("hot")
     covers = _bucketed(cool, bucket_rows, cool.count()).applyInArrow(_group, "same binary, start bigint, stop bigint").select("same", F.array(F.struct("start", "stop")).alias("cover"))
@@ -381,7 +384,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", grou
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of each document."""
     seen, cover, held, most = repeated_text(df, key, text, group_rows, bucket_rows)
-    digests = held.select("same", "packed").join(cover.where("not copied").select("same", "cover"), "same").mapInArrow(_digests, "same binary, n_removed bigint, kept binary")
+    digests = held.select("same", "packed", "size").join(cover.where("not copied").select("same", "cover"), "same").mapInArrow(_digests, "same binary, n_removed bigint, kept binary")
     judged = table(digests.withColumn("copied", F.lit(False)).unionByName(cover.where("copied").select("same", "copied"), allowMissingColumns=True), "judged")
     every = _looked_up(seen, judged, "same", [key], most, group_rows, "left")
     return every.select(
