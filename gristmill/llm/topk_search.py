@@ -7,7 +7,9 @@ those of the other bands whose longest vector can reach its bound; this is decid
 copied, and bands without queries are not read.  In a block the bound becomes a local cosine
 threshold; the block is pruned either by length (a prefix of the block, sorted by norm) or by one coordinate (the
 range that a vector within the cosine threshold can have there), whichever leaves
-fewer vectors; these are then verified by exact integer products, many queries at once where little was pruned.  Query
+fewer vectors.  Where neither prunes much, an incremental bound follows, for many queries at once: vectors are turned to the
+block's principal axes, the product over the first axes plus the product of what the other axes hold of both lengths
+bounds the score, and vectors are dropped after each ``STEPS`` share of the axes.  What is left is verified by exact integer products.  Query
 rows meet candidates in blocks of both; what leaves a block is at most k rows a query.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 BANDS = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
+#: After which shares of the principal axes vectors are dropped.
+STEPS = (0.5, 0.625, 0.75, 0.875)
 _FOUND = "qkey bigint, qhash bigint, vkey bigint, score bigint"
 
 
@@ -76,12 +80,51 @@ def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
             broad.append(i)
         else:
             out.append(_best(i, c[chosen] @ row, keys[chosen], queries, k))
+    turned = _turned(c) if broad else None
     for part in np.array_split(broad, -(-len(broad) // 64)) if broad else []:
-        products = c @ q[part].T
-        out += [_best(i, products[:, j], keys, queries, k) for j, i in enumerate(part)]
+        alive = _promising(turned, q[part], queries["bound"].to_numpy()[part], keys[:, None] != queries["key"].to_numpy()[part][None], k)
+        for j, i in enumerate(part):
+            rows = np.flatnonzero(alive[:, j])
+            out.append(_best(i, c[rows] @ q[i], keys[rows], queries, k))
     return pd.concat(out) if out else empty
 
 
+def _turned(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The principal axes of some vectors (columns, the longest first), the vectors along them, and the lengths of what is left after each axis."""
+    x = c.astype(float)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    y = x @ axes
+    return axes, y, _tails(y)
+
+
+def _tails(y: np.ndarray) -> np.ndarray:
+    squares = np.concatenate([np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(y), 1))], axis=1)
+    return np.sqrt(squares)
+
+
+def _promising(turned: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, bounds: np.ndarray, others: np.ndarray, k: int, shares: list | None = None) -> np.ndarray:
+    """Which vectors (rows) may be among the ``k`` best of which queries (columns); ``shares`` gets the part that is left after each step."""
+    axes, y, tails = turned
+    z = q.astype(float) @ axes
+    z_tails, d = _tails(z), y.shape[1]
+    # products of rounded numbers are off by less than this
+    slack = 1e-9 * (1 + tails[:, :1] @ z_tails[:, :1].T)
+    least = np.where(np.isnan(bounds.astype(float)), -np.inf, bounds.astype(float))[None]
+    alive, score, at = others.copy(), np.zeros(others.shape), 0
+    for share in STEPS:
+        to = max(at, int(d * share))
+        score += y[:, at:to] @ z[:, at:to].T
+        at = to
+        rest = tails[:, to : to + 1] @ z_tails[:, to : to + 1].T + slack
+        if len(y) > k:
+            low = np.where(others, score - rest, -np.inf)
+            least = np.maximum(least, np.partition(low, len(low) - k, axis=0)[len(low) - k][None])
+        alive &= score + rest >= least
+        if shares is not None:
+            shares.append(alive.mean())
+    return alive
+
+
 def _best(i: int, scores: np.ndarray, ids: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` best of one query's scores, ties to the smaller id."""
     qkey, bound = queries["key"].iat[i], queries["bound"].iat[i]
