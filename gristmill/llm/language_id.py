@@ -3,11 +3,11 @@
 A text is lower-cased UTF-8; its subwords are runs of 3 to 5 bytes with no white space
 inside (a neighbouring space marks the edge of a word), hashed into a fixed number of rows.  The text is
 the mean of its subwords' embeddings; a linear softmax gives a probability for each
-language.  Embeddings and weights are learned together by stochastic gradient descent in
+language.  A prediction averages embeddings of ``DIMENSIONS`` numbers and applies the weights once a text.  Embeddings and weights are learned together by stochastic gradient descent in
 numpy, on the driver, from a sample whose size is bounded by ``sample_rows``, or by one row
 for each label if there are more labels; executors turn the sampled texts into counts of
 whole texts first.  Every non-null label with a text that is not blank is learned; the model
-takes 128 KB for each label, on the driver and in each task.  A part of the sample is held
+takes 2 MB and 128 bytes for each label, on the driver and in each task.  A part of the sample is held
 back to calibrate a temperature and the level below which a prediction is rejected: the lower of ``SURE`` and the
 probability that all but ``LOST`` of that part's correct predictions reach.  A text is rejected too if its subwords are
 strange: their mean logarithmic frequency in the sample is less than ``FAMILIAR`` times what all but ``LOST`` of that part
@@ -72,10 +72,11 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the product of embeddings and weights with the logarithmic frequency as last column, bias, inverse temperature and the levels of rejection."""
+    """Languages, embeddings with the logarithmic frequency as last column, weights, bias, inverse temperature and the levels of rejection."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     sharpness: float
     level: float
@@ -83,7 +84,7 @@ class Model:
 
     def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Logits, and how familiar the subwords are, of each text."""
-        total, n = np.zeros((len(texts), len(self.languages) + 1)), np.zeros(len(texts))
+        total, n = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
         for owner, bucket in subwords(texts):
             if not len(owner):
                 continue
@@ -91,7 +92,7 @@ class Model:
             total[owner[first]] += np.add.reduceat(self.table[bucket], first, axis=0)
             n += np.bincount(owner, minlength=len(texts))
         mean = total / np.maximum(n, 1)[:, None]
-        return (mean[:, :-1] + self.bias) * self.sharpness, mean[:, -1]
+        return (mean[:, :-1] @ self.weights + self.bias) * self.sharpness, mean[:, -1]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Label, probability and whether it is rejected, for each text."""
@@ -148,7 +149,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     rows = [r for r in rows if len(r["buckets"])]
     names = tuple(sorted({r["label"] for r in rows}))
     if not names:
-        return Model((), np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 1)), np.zeros((0, 0)), np.zeros(0), 1.0, 0.0)
     number = {name: i for i, name in enumerate(names)}
     y = np.array([number[r["label"]] for r in rows])
 
@@ -179,9 +180,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
             w -= rate * (h.T @ d)
             b -= rate * d.sum(axis=0)
             e -= rate * scale * (xb.T @ back)
-    full = (e @ w).astype(np.float64)
+    e, w = e.astype(np.float64), w.astype(np.float64)
     judged = np.flatnonzero(held) if held.any() else fit
-    z, truth = np.concatenate([dense(p) @ full + b for p in np.array_split(judged, -(-len(judged) // BATCH))]), y[judged]
+    z, truth = np.concatenate([dense(p) @ e @ w + b for p in np.array_split(judged, -(-len(judged) // BATCH))]), y[judged]
     grid = np.geomspace(0.25, 16, 25)
     loss = [-np.log(np.maximum(softmax(z * s)[np.arange(len(truth)), truth], 1e-12)).mean() for s in grid]
     sharpness = float(grid[int(np.argmin(loss))])
@@ -194,7 +195,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     often = np.log1p(share / max(1, len(fit)) * BUCKETS)
     familiar = np.concatenate([dense(p) @ often for p in np.array_split(judged, -(-len(judged) // BATCH))])
     floor = float(FAMILIAR * np.quantile(familiar, LOST, method="lower"))
-    return Model(names, np.concatenate([full, often[:, None]], axis=1), b.astype(np.float64), sharpness, level, floor)
+    return Model(names, np.concatenate([e, often[:, None]], axis=1), w, b.astype(np.float64), sharpness, level, floor)
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
