@@ -3,14 +3,16 @@
 Each payload is stored as a mono WAV file of unsigned 8-bit samples and read back
 from those bytes.  The samples are resampled by a polyphase filter, cut into
 overlapped windows, turned into log-mel energies, and segmented by hysteresis on
-the frame energy.  Frames are stored as tensors of one fixed shape
-``(FRAMES, MELS)`` (the last one zero-padded), each with the time span it covers.
+the frame energy.  Frames are stored as Arrow tensors of one fixed shape
+``(FRAMES, MELS)`` (the last one zero-padded), each with the time span it covers: a document's ``tensors`` is an Arrow stream of
+one batch with the columns ``tensor`` (of the extension type ``arrow.fixed_shape_tensor``, which carries the shape), ``start_s`` and ``end_s``.
+Spark has no such type, so the column is binary; ``read_tensors`` gives the arrays back, and so does any reader of Arrow.
 
 A null text is an empty payload; payloads are padded with zero bytes to a
 positive multiple of 64.  Equal payloads give equal values wherever they run,
 because each payload is computed alone in blocks of a fixed size.  Memory is
 bounded by one payload plus one block; there is no shuffle.  Other columns are
-ignored and repeated rows are kept.
+ignored and repeated rows are kept.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 2, 3
 WIDTH, HOP, MELS, FRAMES = 256, 128, 16, 32
 TAPS = 24
 BLOCK = 1 << 17
@@ -33,7 +35,7 @@ ON_DB, OFF_DB = 3.0, 0.5
 PAD = 64
 
 SCHEMA = (
-    "n_bytes bigint, media binary, payload binary, n_frames int, tensors array<array<float>>, "
+    "n_bytes bigint, media binary, payload binary, n_frames int, tensors binary, level double, "
     "spans array<struct<start_s: double, end_s: double>>, active array<struct<start_s: double, end_s: double>>"
 )
 _SPAN = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
@@ -130,12 +132,23 @@ def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, int, list[tu
     return tensors.reshape(k, FRAMES, MELS), n, spans, active
 
 
-def tensor_column(tensors: list[np.ndarray]) -> pa.Array:
-    """Arrow's fixed-shape tensors of all documents of a batch, as lists by document."""
-    flat = np.concatenate(tensors) if tensors else np.zeros((0, FRAMES, MELS), np.float32)
-    column = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(flat))
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in tensors])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), column.storage.cast(pa.list_(pa.float32())))
+_TENSORS = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def write_tensors(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Tensors ``(k, FRAMES, MELS)`` and their time spans as an Arrow stream."""
+    columns = [pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors)), *(pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1))]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _TENSORS) as out:
+        out.write_batch(pa.record_batch(columns, schema=_TENSORS))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """What ``write_tensors`` stored; the shape comes from the stream."""
+    found = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    tensors = found.column("tensor").chunk(0).to_numpy_ndarray()
+    return tensors, list(zip(found.column("start_s").to_pylist(), found.column("end_s").to_pylist(), strict=True))
 
 
 def audio_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,12 +161,15 @@ def audio_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 raw = value or b""
                 media = write_wav(raw + b"\0" * (PAD - len(raw) % PAD if len(raw) % PAD or not raw else 0))
                 rate, payload = read_wav(media)
-                rows.append((len(raw), media, payload, *features(payload, rate)))
-            n, media, payload, tensors, frames, spans, active = map(list, zip(*rows, strict=True))
+                tensors, frames, spans, active = features(payload, rate)
+                stored = write_tensors(tensors, spans)
+                level = float(read_tensors(stored)[0].sum(dtype=np.float64)) / (frames * MELS)
+                rows.append((len(raw), media, payload, frames, stored, level, spans, active))
+            n, media, payload, frames, tensors, level, spans, active = map(list, zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(frames, pa.int32()), tensor_column(tensors)]
+                [batch.column("key"), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(frames, pa.int32()), pa.array(tensors, pa.binary()), pa.array(level, pa.float64())]
                 + [pa.array([[{"start_s": a, "end_s": b} for a, b in x] for x in part], _SPAN) for part in (spans, active)],
-                ["key", "n_bytes", "media", "payload", "n_frames", "tensors", "spans", "active"],
+                ["key", "n_bytes", "media", "payload", "n_frames", "tensors", "level", "spans", "active"],
             )
 
     kind = df.schema[key].dataType.simpleString()

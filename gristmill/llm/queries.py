@@ -52,8 +52,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.audio_features(_read(spark, sf_dir, "documents"))
-    total = F.aggregate(F.flatten("tensors"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    level = F.round(total / (F.col("n_frames") * media.MELS), 2).cast("string")
+    level = F.round("level", 2).cast("string")
     times = F.array_join(F.transform("active", lambda s: F.concat_ws("-", F.round(s["start_s"], 3).cast("string"), F.round(s["end_s"], 3).cast("string"))), ";")
     return found.select(
         "doc_id",
@@ -63,7 +62,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("|", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.sha2(F.to_json("spans"), 256), level, times).alias("feature"),
+        F.concat_ws("|", F.col("n_frames").cast("string"), F.size("spans").cast("string"), F.sha2("tensors", 256), level, times).alias("feature"),
     )
 
 

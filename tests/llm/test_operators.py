@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -501,7 +502,9 @@ def test_wav_round_trip_and_padding(spark):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = found[i]
         assert (r["n_bytes"], bytes(r["payload"])) == (len(raw), payload) and media.read_wav(bytes(r["media"])) == (media.RATE, payload)
-        assert len(r["tensors"]) == len(r["spans"]) == -(-r["n_frames"] // media.FRAMES) and all(len(x) == media.FRAMES * media.MELS for x in r["tensors"])
+        tensors, spans = media.read_tensors(bytes(r["tensors"]))
+        assert tensors.shape == (-(-r["n_frames"] // media.FRAMES), media.FRAMES, media.MELS) and spans == [(s["start_s"], s["end_s"]) for s in r["spans"]]
+        assert pa.ipc.open_stream(bytes(r["tensors"])).schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.MELS))
         assert all(a["start_s"] < a["end_s"] for a in r["spans"])
     assert found[3]["tensors"] == found[4]["tensors"]
 
@@ -571,3 +574,42 @@ def test_texts_of_an_unlearned_language_are_rejected(spark):
     model = language_id.train(documents(spark, texts, langs))
     found = model.predict([texts[0], "лодка река камень дом сторож " * 6, "", "123"])
     assert found[0][0] == "a" and not found[0][2] and [x[2] for x in found[1:]] == [True] * 3 and model.level <= language_id.SURE
+
+
+# --- later additions
+
+
+def test_incremental_bound_drops_vectors_but_no_result():
+    r = np.random.default_rng(3)
+    c = np.floor(256 * (x := r.normal(size=(3000, 64)) * np.linspace(2, 0.5, 64)) / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    q, keys, shares = c[:20], np.arange(3000), []
+    alive = topk_search._promising(topk_search._turned(c), q, np.full(20, np.nan), keys[:, None] != keys[None, :20], 5, shares)
+    scores = c @ q.T
+    for j in range(20):
+        rest = np.delete(keys, j)
+        fifth = np.sort(scores[rest, j])[-5]
+        assert alive[rest[scores[rest, j] >= fifth], j].all()
+    assert shares[-1] < 0.5 and not alive[np.arange(20), np.arange(20)].any()
+
+
+def test_unpacked_slices_follow_the_size_of_the_words():
+    texts = [f"ha {i} " * 50_000 for i in range(30)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    packed = pa.Table.from_batches(list(suffix_dedup._packed(iter([batch])))).combine_chunks().to_batches()
+    found = [len(words) for _, words in suffix_dedup._unpacked(iter(packed))]
+    assert sum(found) == 30 and max(found) <= 4
+
+
+def test_resampler_uses_all_phases():
+    x = np.sin(np.arange(4000) * 2 * np.pi * 0.02).astype(np.float64)
+    y = media.resample(x, 2, 3)
+    assert len(y) == 2667
+    want = np.sin((np.arange(2667) * 1.5 - (media.TAPS * 2 - 1) / 2 / 2) * 2 * np.pi * 0.02)
+    assert np.abs(y[100:-100] - want[100:-100]).max() < 0.02
+
+
+def test_operators_on_empty_tables(spark):
+    none = documents(spark, [])
+    assert suffix_dedup.remove_repeats(none).count() == 0 and near_dedup.near_duplicates(none, percent=85).count() == 0
+    assert byte_bpe.id_digests(byte_bpe.decode_documents(byte_bpe.encode_documents(none))).count() == 0
+    assert language_id.predict(none, language_id.train(none)).count() == 0 and media.audio_features(none).count() == 0
