@@ -3,7 +3,7 @@
 A text is lower-cased UTF-8; its subwords are runs of 3 to 5 bytes with no white space
 inside (a neighbouring space marks the edge of a word), hashed into a fixed number of rows.  The text is
 the mean of its subwords' embeddings; a linear softmax gives a probability for each
-language.  A prediction averages embeddings of ``DIMENSIONS`` numbers and applies the weights once a text.  Embeddings and weights are learned together by stochastic gradient descent in
+language.  A prediction averages embeddings of ``DIMENSIONS`` numbers and applies the weights once a text; with fewer labels than that the weights are applied to the embeddings beforehand.  Embeddings and weights are learned together by stochastic gradient descent in
 numpy, on the driver, from a sample whose size is bounded by ``sample_rows``, or by one row
 for each label if there are more labels; executors turn the sampled texts into counts of
 whole texts first.  Every non-null label with a text that is not blank is learned; the model
@@ -195,6 +195,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     often = np.log1p(share / max(1, len(fit)) * BUCKETS)
     familiar = np.concatenate([dense(p) @ often for p in np.array_split(judged, -(-len(judged) // BATCH))])
     floor = float(FAMILIAR * np.quantile(familiar, LOST, method="lower"))
+    if len(names) < DIMENSIONS:  # the shorter of the two forms of one product
+        e, w = e @ w, np.eye(len(names))
     return Model(names, np.concatenate([e, often[:, None]], axis=1), w, b.astype(np.float64), sharpness, level, floor)
 
 
