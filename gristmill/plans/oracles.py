@@ -257,6 +257,7 @@ SELECT doc_id, count(*)::BIGINT AS n_runs, count(known.run)::BIGINT AS hits, rou
     "verdict_strict_json": verdict_query(2, 0.6, 0.6, 0.75, 0.75, True),
     "verdict_chat": verdict_query(12, 0.4, 0.5, 0.7, entropy=0.75),
     "verdict_long_form": verdict_query(200, 0.35, 0.4, 0.6, 0.75, entropy=0.7),
+    "verdict_overlay": verdict_query(80, 0.2, 0.5, 0.6, entropy=0.75),
     "verdict_lenient": verdict_query(1, 0.7, 0.7, 0.85, entropy=0.9),
     "low_entropy": f"WITH {lz('documents')} SELECT doc_id, round({RATIO}, 6) AS ratio, round({ENTROPY}, 6) AS score FROM documents LEFT JOIN lz ON lz.s = text[1:4000]",
     "reason_counts": reason_counts(WHOLE_CHAT),
@@ -360,6 +361,13 @@ FROM ({ORACLES['stream_replay_first_catch']}), (SELECT unnest(['abort', 'ignore'
 ORACLES["scan_responses"] = """
 SELECT doc_id, line_no, sha256(text) AS text_sha256, (SELECT count(*) FROM documents WHERE doc_id % 11 <> 4) AS lines, (SELECT count(*) FROM documents WHERE doc_id % 11 = 7) AS unrecognised
 FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line_no FROM documents) WHERE doc_id % 11 NOT IN (4, 7)"""
+ORACLES["log_source_responses"] = """
+SELECT mode, doc_id, sha256(text) AS text_sha256, row_number() OVER (PARTITION BY mode, doc_id % 16 ORDER BY doc_id) AS place
+FROM documents, (SELECT unnest(['batch', 'stream']) AS mode) WHERE doc_id % 11 NOT IN (4, 7)"""
+ORACLES["log_stream_guard"] = ORACLES["stream_fired"]
+ORACLES["fixtures_read"] = """
+SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'bad' ELSE 'good' END AS label, sha256(text) AS text_sha256, CASE item_id % 2 WHEN 0 THEN 'EMPTY,TAIL_LOOP' ELSE '' END AS expect,
+    CASE item_id % 2 WHEN 0 THEN 'han,kana' ELSE 'latin' END AS scripts, (item_id % 50)::BIGINT AS min_length FROM benchmark WHERE text IS NOT NULL"""
 ORACLES["schema_contract"] = """
 SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score, CASE WHEN n > 0 THEN 'schema' END AS reason,
     CASE n WHEN 1 THEN 'turns.1.n: expected an integer' WHEN 2 THEN 'turns.1.n: expected an integer' WHEN 3 THEN 'turns.1.role: required' WHEN 4 THEN 'id: must not be null' END AS issues

@@ -17,6 +17,7 @@ from ..operators import check as k
 from ..operators import detectors as d
 from ..operators import verdicts as v
 from ..sources import envelopes as e
+from ..sources import logs as growing
 from ..sources import scans, sinks
 from ..streaming import guard
 
@@ -175,6 +176,13 @@ def verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ok", F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"), *[r6(F.col(f"score_{x.lower()}")).alias(f"score_{x.lower()}") for x in k.CODES if x != "PROMPT_ECHO"])
 
 
+def verdict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preset with some of its options replaced; the others stay."""
+    o = k.PRESETS["chat"].but(min_length=80, max_repetition=0.2, max_char_tail_loop=0.6)
+    rows = k.flat_scores(k.check_output(_documents(spark, sf_dir), "text", o))
+    return rows.select("doc_id", "ok", F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"), *[r6(F.col(f"score_{x}")).alias(f"score_{x}") for x in ("empty", "too_short", "repetition", "tail_loop", "low_entropy")])
+
+
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["chat"])
     return rows.select(F.explode("verdict.reasons").alias("r")).groupBy(F.col("r.code").alias("code")).agg(F.count("*").alias("n"), r6(F.max("r.score")).alias("worst"))
@@ -447,18 +455,67 @@ def _written(spark: SparkSession, sf_dir: str, name: str, value: Column) -> str:
     return folder
 
 
-def scan_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses read from JSON lines, with blank and foreign lines among them; the id is found in the text, the line number in the label."""
+def _response_logs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of 16 logs of JSON lines in order of ids, with blank and foreign lines among them."""
     line = F.when(F.col("doc_id") % 11 == 4, F.lit("")).when(F.col("doc_id") % 11 == 7, F.lit('{"level": "info"}')).otherwise(F.to_json(F.struct(F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("output"))))
     folder = _shared_folder(spark, "responses")
     logs = _documents(spark, sf_dir).select(line.alias("value"), (F.col("doc_id") % 16).alias("log"), "doc_id").repartition("log").sortWithinPartitions("log", "doc_id")
     logs.drop("doc_id").write.partitionBy("log").text(folder)
-    rows = scans.read_responses(spark, f"{folder}/*")
+    return folder
+
+
+def scan_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses read from JSON lines; the id is found in the text, the line number in the label."""
+    rows = scans.read_responses(spark, f"{_response_logs(spark, sf_dir)}/*")
     known = rows.where("text is not null").select(F.split("text", " ", 2).alias("x"), F.regexp_extract("label", ":([0-9]+)$", 1).cast("long").alias("line_no"))
     counts = rows.agg(F.count("*").alias("lines"), F.count_if(F.col("text").isNull()).alias("unrecognised"))
     return known.select(F.col("x")[0].cast("long").alias("doc_id"), "line_no", F.sha2(F.col("x")[1], 256).alias("text_sha256")).join(F.broadcast(counts))
 
 
+def log_source_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same logs through the data source of growing logs, as a batch and as a stream; ``place`` orders the recognised lines of a log by the byte they begin at."""
+    folder, out = _response_logs(spark, sf_dir), _shared_folder(spark, "followed")
+    stream = growing.read_log_responses(spark, folder, stream=True, blockBytes=1 << 20)
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    modes = {"batch": growing.read_log_responses(spark, folder, blockBytes=1 << 20), "stream": spark.read.schema(stream.schema).parquet(f"{out}/rows")}
+    rows = modes["batch"].withColumn("mode", F.lit("batch")).unionByName(modes["stream"].withColumn("mode", F.lit("stream"))).where("text is not null")
+    found = rows.select("mode", F.split("text", " ", 2).alias("x"), F.regexp_extract("label", "^(.*):[0-9]+$", 1).alias("path"), F.regexp_extract("label", ":([0-9]+)$", 1).cast("long").alias("start"))
+    slim = found.select("mode", F.col("x")[0].cast("long").alias("doc_id"), F.sha2(F.col("x")[1], 256).alias("text_sha256"), F.xxhash64("path").alias("log"), "start")
+    return slim.selectExpr("mode", "doc_id", "text_sha256", "row_number() over (partition by mode, log order by start) as place").withColumn("place", F.col("place").cast("long"))
+
+
+def log_stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a chat provider in logs that grow between two runs of the guard, which goes on from its checkpoint: the rows of ``stream_fired``."""
+    logs, out = _shared_folder(spark, "events"), _shared_folder(spark, "guarded")
+    chunks = guard.chunked(_documents(spark, sf_dir), "doc_id", "text", 100)
+    event = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("delta").alias("content")).alias("delta"), F.when(F.col("is_end"), "stop").alias("finish_reason"))).alias("choices")))
+    lines = chunks.select("seq", F.to_json(F.struct("response_id", "seq", event.alias("event"))).alias("value"))
+    report = None
+    for wave in ("seq < 5", "seq >= 5"):
+        lines.where(wave).select("value").write.mode("append").text(logs)
+        read = growing.read_log(spark, logs, stream=True).select(F.from_json("line", "response_id string, seq bigint, event string").alias("x")).select("x.*")
+        found = e.read_stream_events(read, "openai_chat").select("response_id", "seq", "delta", F.lit(None).cast("string").alias("finish_reason"), F.col("finish_reason").isNotNull().alias("is_end"))
+        report = guard.report_to_table(guard.guard_stream(found, k.PRESETS["chat"]), out)
+    return _reported(report).drop("n_late")
+
+
+def fixtures_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as labelled fixtures, one JSON object a file, and read back: every second one bad, with one expected script or two."""
+    folder, even = _shared_folder(spark, "fixtures"), F.col("item_id") % 2 == 0
+    script = F.when(even, F.to_json(F.array(F.lit("han"), F.lit("kana")))).otherwise('"latin"')
+    value = F.concat(
+        F.lit('{\n"id": "'), F.col("item_id").cast("string"), F.lit('",\n"note": "", "text": '), F.get(F.split(F.to_json(F.struct("text")), "^\\{\"text\":|\\}$"), F.lit(1)),
+        F.when(even, F.lit(', "expect": ["EMPTY", "TAIL_LOOP"]')).otherwise(""), F.lit(', "options": {"minLength": '), (F.col("item_id") % 50).cast("string"), F.lit(', "expectScript": '), script, F.lit("}}"),
+    )
+    rows = read(spark, sf_dir, "benchmark").where("text is not null").select(value.alias("value"), "item_id", F.when(even, "bad").otherwise("good").alias("label"))
+    rows.write.partitionBy("item_id", "label").text(folder)
+    found = scans.read_fixtures(spark, f"{folder}/*/*")
+    return found.select(
+        F.col("id").cast("long").alias("item_id"), F.regexp_extract("label", "([a-z]+)$", 1).alias("label"), F.sha2("text", 256).alias("text_sha256"), F.coalesce(F.array_join("expect", ","), F.lit("")).alias("expect"),
+        F.array_join("options.expectScript", ",").alias("scripts"), F.col("options.minLength").cast("long").alias("min_length"),
+    )
+
+
 def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items written one to a file and read back as whole files."""
     folder = _shared_folder(spark, "texts")
@@ -537,6 +594,7 @@ QUERIES = {
     "verdict_chat_native": _verdicts("chat", False),
     "verdict_long_form_native": _verdicts("longForm", False),
     "verdict_full": verdict_full,
+    "verdict_overlay": verdict_overlay,
     "reason_counts": reason_counts,
     "check_footer": check_footer,
     "verdict_lines": verdict_lines,
@@ -564,6 +622,9 @@ QUERIES = {
     "stream_late": stream_late,
     "sql_names": sql_names,
     "scan_responses": scan_responses,
+    "log_source_responses": log_source_responses,
+    "log_stream_guard": log_stream_guard,
+    "fixtures_read": fixtures_read,
     "scan_texts": scan_texts,
     "scan_scores": scan_scores,
     "exit_codes": exit_codes,
