@@ -13,6 +13,7 @@ Files whose names begin with ``_`` or ``.`` and compressed files are not logs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ class Block(InputPartition):
 
 
 def _opened(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", root))
 
 
 def _files(root: str) -> dict[str, int]:

@@ -38,6 +38,12 @@ def test_batch_reads_whole_folder(spark, tmp_path):
     assert sorted((r["label"].rsplit(":", 1)[1], r["text"]) for r in read_log_responses(spark, str(tmp_path / "a.log")).collect()) == [("0", "one"), ("17", None), ("30", None)]
 
 
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_paths_as_spark_writes_them(tmp_path, form):
+    (tmp_path / "a.log").write_text("x\n")
+    assert LogStreamReader(form.format(tmp_path), 100).latestOffset() == {str(tmp_path / "a.log"): 2}
+
+
 def test_folder_without_lines(spark, tmp_path):
     (tmp_path / "empty.log").write_text("")
     assert read_log(spark, str(tmp_path)).collect() == []
