@@ -6,15 +6,16 @@ links to every instance it stands next to: seeds, and candidates that only look
 an identifier of the kind.  Spark scores this graph in rounds.  A pattern's confidence
 for a kind is the weight of trusted instances next to it, divided by all its occurrences in the corpus; only
 patterns with enough different trusted instances and a high confidence count.  A candidate's score is the
-chance that not all of its patterns are wrong; candidates above a level are trusted in the next
-round, until no further one is, and their spans are added at the end.
+chance that not all of its patterns are wrong.  Scores never fall, and rounds go on until all of them together rise by less than
+``SETTLED``; the spans of the candidates above a level are added then.
 
 A fifth kind, ``secret``, has no base pattern: quoted strings of 32 or more hexadecimal digits are its seeds, but such a seed
 is added only where its context is trusted, because the shape alone may be a check sum.
 
 Corpus counts of patterns are exact: documents are scanned once more, and a bitmap whose size follows the number of
 patterns (at most ``1 << BITMAP_BITS`` bits) only says which grams need not be sent.  All joins are on
-hashes; common patterns are pre-aggregated.  Offsets are code points, ends exclusive.
+hashes; common patterns are pre-aggregated, and what an aggregation yields is written before rows are joined to it, so that Spark can
+split a common pattern or instance over tasks.  Offsets are code points, ends exclusive.
 
 The words next to a span are looked for within ``CONTEXT`` characters on each side; a longer word there is no
 pattern.  A candidate is always a whole run of the characters of its shape.  All scans take time in proportion to a text's length.
@@ -42,6 +43,7 @@ SECRET = 4
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
 ACCEPT = 0.8
+SETTLED = 1e-3
 BITMAP_BITS = 27
 CONTEXT = 200
 
@@ -256,26 +258,25 @@ def _gram_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.join(grams, "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("total"))
 
 
-def trusted_instances(edges: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
+def trusted_instances(edges: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, accept: float = ACCEPT, settled: float = SETTLED) -> DataFrame | None:
     """``kind`` and ``instance`` of candidates that the scored graph trusts; None if no pattern has enough seeds."""
     links = table(edges.groupBy("gram", "side", "kind", "instance", "seed").agg(F.count("*").alias("n")), "links")
     able = links.groupBy("gram", "side", "kind").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where(F.col("seeds") >= min_seeds).where((F.col("others") > 0) | (F.col("kind") == SECRET))
     patterns = table(able.select("gram", "side", "kind"), "patterns")
     if patterns.isEmpty():
         return None
-    totals = _gram_totals(texts, patterns)
+    totals = table(_gram_totals(texts, patterns), "totals")
     graph = table(links.join(patterns, ["gram", "side", "kind"]).join(totals, "gram"), "graph")
-    scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct()
-    known = -1
+    scores = table(graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct(), "scores")
+    total = 0
     while True:
         weighed = graph.join(scores.select("kind", "instance", "score"), ["kind", "instance"])
         confidence = weighed.groupBy("gram", "side", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"), F.count_if(F.col("score") >= accept).alias("support"))
-        good = confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds)).select("gram", "side", "kind", "confidence")
+        good = table(confidence.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds)).select("gram", "side", "kind", "confidence"), "good")
         joint = graph.join(good, ["gram", "side", "kind"], "left").groupBy("kind", "instance", "seed").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))).alias("merit"))
         scores = table(joint.select("kind", "instance", "seed", "merit", F.when(F.col("seed"), 1.0).otherwise(F.col("merit")).alias("score")), "scores")
-        # scores never fall from round to round, so the number of trusted instances settles
-        before, known = known, scores.where(F.col("score") >= accept).count()
-        if known == before:
+        before, total = total, scores.agg(F.sum(F.col("score").cast("decimal(20,9)"))).first()[0] or 0
+        if total - before < settled:
             return scores.where((~F.col("seed") | (F.col("kind") == SECRET)) & (F.col("merit") >= accept)).select("kind", "instance")
 
 
