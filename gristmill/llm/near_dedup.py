@@ -12,7 +12,9 @@ from); hubs with many members are dealt out in parts, and a part gets the hub's
 are labelled by the least hub they reach over links to hubs.  Only buckets that still show several labels are searched
 further, in blocks of bounded size: members with the hub's label on one side, all others on the
 other.  A pair with different labels whose signatures agree enough is verified and joined in a
-union-find of the block at once, so a block returns at most a forest; in the other buckets that the pair shares it is passed over.  Verified means
+union-find of the block at once, so a block returns at most a forest; in the other buckets that the pair shares it is passed over.  Blocks
+see signatures first; a text is sent only to the blocks where some signature agrees with its own.  What is
+known of a bucket or a hub is written before its members are joined to it, so that Spark can split a large one over tasks.  Verified means
 ``100 * |A & B| >= percent * |A | B|`` on the full sets of the words themselves, no hashes.
 
 With 26 bands of 5 rows a pair of similarity 0.85 misses all buckets with a probability of 3e-7;
@@ -160,15 +162,40 @@ def _stars(percent: int):
     return run
 
 
+def _agreeing(rows: pa.Table, percent: int, agree: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of the lower block with the differently labelled ones it is to be compared with in this bucket, by their signatures."""
+    label, part, n = (rows.column(c).to_numpy() for c in ("label", "part", "n"))
+    marks = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("marks").to_pylist()])
+    bands, nth = np.array(rows.column("bands").to_pylist()), rows.column("nth")[0].as_py()
+    low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    for i in np.flatnonzero(part == low).tolist():
+        far = (label != label[i]) & (part == high) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        far[: i + 1] &= low != high
+        others = np.flatnonzero(far)
+        others = others[(marks[others] == marks[i]).sum(axis=1) >= agree]
+        # a pair that shares several buckets is verified in the first of them
+        yield i, others[(bands[others] == bands[i]).argmax(axis=1) == nth]
+
+
+def _met(percent: int, agree: int):
+    """The members of one pair of blocks that have anything to be compared with there."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        met = np.zeros(rows.num_rows, bool)
+        for i, others in _agreeing(rows, percent, agree):
+            met[others] = True
+            met[i] |= len(others) > 0
+        return rows.filter(pa.array(met))
+
+    return run
+
+
 def _block(percent: int, agree: int):
     """Verified links between differently labelled members of one pair of blocks of a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
-        node, label, part, n = (rows.column(c).to_numpy() for c in ("node", "label", "part", "n"))
-        marks = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("marks").to_pylist()])
-        bands, nth = np.array(rows.column("bands").to_pylist()), rows.column("nth")[0].as_py()
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        node, label = (rows.column(c).to_numpy() for c in ("node", "label"))
         up = {x: x for x in label.tolist()}
         sets: dict[int, set] = {}
 
@@ -183,13 +210,8 @@ def _block(percent: int, agree: int):
             return sets[i]
 
         us, vs = [], []
-        for i in np.flatnonzero(part == low).tolist():
-            far = (label != label[i]) & (part == high) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            far[: i + 1] &= low != high
-            others = np.flatnonzero(far)
-            others = others[(marks[others] == marks[i]).sum(axis=1) >= agree]
-            # a pair that shares several buckets is verified in the first of them
-            for j in others[(bands[others] == bands[i]).argmax(axis=1) == nth].tolist():
+        for i, others in _agreeing(rows, percent, agree):
+            for j in others.tolist():
                 a, b = root(int(label[i])), root(int(label[j]))
                 if a != b and linked(shingles(i), shingles(j), percent):
                     up[a] = b
@@ -206,10 +228,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     seen = table(rows.mapInArrow(lambda batches: _survey(batches, bands, rows_each), "key bigint, n bigint, same binary, bands array<bigint>, marks binary"), "survey")
     classes = table(seen.where("key is not null and n > 0").groupBy("same").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     buckets = classes.select("node", "n", F.posexplode("bands").alias("nth", "band"))
-    shared = table(buckets.join(buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "shared")
+    counts = table(buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    shared = table(buckets.join(counts, "band"), "shared")
     central = shared.join(shared.groupBy("node").agg(F.sum("m").alias("company")), "node")
     hubs = central.groupBy("band").agg(F.max(F.struct("company", F.bitwise_not("node").alias("not_node"), "n")).alias("h")).select("band", F.bitwise_not("h.not_node").alias("hub"), F.col("h.n").alias("hub_n"))
-    members = table(shared.join(hubs, "band"), "members")
+    members = table(shared.join(table(hubs, "hubs"), "band"), "members")
 
     pairs = members.where(f"node <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("u"), F.col("hub_n").alias("n"), F.col("node").alias("v"), "m")
     parts = F.ceil(F.max("m") * F.max("n") / block_shingles)
@@ -224,18 +247,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     first = links.groupBy("v").agg(F.min("u").alias("label"))
     met = links.join(first, "v").groupBy("u").agg(F.least("u", F.min("label")).alias("label"))
+    met = table(met, "met")
     second = links.join(met, "u").groupBy("v").agg(F.min("label").alias("label"))
     labels = second.unionByName(met.withColumnRenamed("u", "v")).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("label"))
     labelled = table(members.where("m > 2").select("nth", "band", "node", "n", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     size = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     mixed = labelled.groupBy("nth", "band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m"), F.sum("n").alias("all")).where("least <> most")
     once = mixed.groupBy("content", "m", "all").agg(F.min(F.struct("nth", "band", "main")).alias("b")).select("b.band", "b.main")
-    apart = labelled.join(once, "band").withColumn("rest", F.col("label") != F.col("main"))
+    apart = table(labelled.join(once, "band").withColumn("rest", F.col("label") != F.col("main")), "apart")
     sizes = apart.groupBy("band").agg(size(~F.col("rest")).alias("ours"), size(F.col("rest")).alias("others")).select("band", F.ceil(F.col("ours") / block_shingles).cast("int").alias("p"), F.ceil(F.col("others") / block_shingles).cast("int").alias("q"))
-    own = apart.join(sizes, "band").withColumn("part", F.when(F.col("rest"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int"))
+    own = apart.join(table(sizes, "sizes"), "band").withColumn("part", F.when(F.col("rest"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int"))
     other = F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1))
     blocks = own.withColumn("other", other).select("nth", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "label", "part", "n")
-    more = blocks.join(held, "node").join(classes.select("node", "marks", "bands"), "node").groupBy("band", "low", "high").applyInArrow(_block(percent, agree), "u bigint, v bigint")
+    seen_blocks = blocks.join(classes.select("node", "marks", "bands"), "node")
+    met_blocks = seen_blocks.groupBy("band", "low", "high").applyInArrow(_met(percent, agree), seen_blocks.schema)
+    more = table(met_blocks, "met-blocks").join(held, "node").groupBy("band", "low", "high").applyInArrow(_block(percent, agree), "u bigint, v bigint")
     joined = components(links.unionByName(more))
 
     named = classes.select("same", "node").join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))

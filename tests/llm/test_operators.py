@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gristmill.llm import byte_bpe, common, external_shuffle, language_id, media, merkle_audit, near_dedup, packing, pii, queries, suffix_dedup, topk_search
-from gristmill.llm.components import components
+from gristmill.llm.components import _large_star, components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
 
@@ -274,8 +274,36 @@ def test_components(spark, links):
     for a, b in links:
         x, y = sorted((root(a), root(b)))
         up[y] = x
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
-    assert found == {x: root(x) for x in up if root(x) != x}
+    for hot in (1 << 16, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("gristmill.llm.components.HOT", hot)
+            found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+        assert found == {x: root(x) for x in up if root(x) != x}
+
+
+def test_links_of_one_id_are_split_over_tasks(spark):
+    settings_ = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings_}
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        links = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("u"), (F.col("id") + 1_000_000).alias("v"))
+        plans = []
+        for hot in (False, True):
+            star = _large_star(common.table(links, "links"), hot)
+            star.collect()
+            plans.append("skew=true" in star._jdf.queryExecution().executedPlan().toString())
+        assert plans == [False, True]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_texts_go_only_to_blocks_with_agreeing_signatures():
+    marks = [bytes([k]) * 4 for k in (1, 1, 2, 3)]
+    rows = pa.table({"nth": [0] * 4, "low": [0] * 4, "high": [1] * 4, "node": [1, 2, 3, 4], "label": [1, 2, 1, 4], "part": [0, 1, 0, 1], "n": [9] * 4, "marks": marks, "bands": [[7, 8]] * 4})
+    assert near_dedup._met(85, 3)(rows).column("node").to_pylist() == [1, 2]
+    assert near_dedup._met(85, 5)(rows).num_rows == 0
 
 
 # --- tokens
@@ -421,6 +449,16 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert pii.find_spans(clean.limit(0)).count() == 0
 
 
+def test_pii_scores_rise_until_they_settle(spark, monkeypatch):
+    # seeds and two candidates share a pattern; candidates pass in the fourth round only, with no new one before it
+    edges = [(1, 0, 3, i, True) for i in range(3) for _ in range(10)] + [(1, 0, 3, i, False) for i in (7, 8) for _ in range(10)]
+    edges = spark.createDataFrame(edges, "gram bigint, side int, kind int, instance bigint, seed boolean")
+    monkeypatch.setattr(pii, "_gram_totals", lambda texts, patterns: patterns.select("gram", F.lit(56).cast("bigint").alias("total")).distinct())
+    assert sorted(r["instance"] for r in pii.trusted_instances(edges, None).collect()) == [7, 8]
+    monkeypatch.setattr(pii, "_gram_totals", lambda texts, patterns: patterns.select("gram", F.lit(59).cast("bigint").alias("total")).distinct())
+    assert pii.trusted_instances(edges, None).count() == 0
+
+
 def test_pii_spans_as_text(spark):
     row = documents(spark, ["🙂 a@b.co 1.2.3.4"])
     found = pii.find_spans(row).select(pii.span_text(F.col("base")).alias("s"), pii.count_of(F.col("base"), "ip").alias("n")).first()
