@@ -14,7 +14,8 @@ further, in blocks of bounded size: members with the hub's label on one side, al
 other.  A pair with different labels whose signatures agree enough is verified and joined in a
 union-find of the block at once, so a block returns at most a forest; in the other buckets that the pair shares it is passed over.  Blocks
 see signatures first; a text is sent only to the blocks where some signature agrees with its own.  What is
-known of a bucket or a hub is written before its members are joined to it, so that Spark can split a large one over tasks.  Verified means
+known of a bucket or a hub is written before its members are joined to it, so that Spark can split a large one over tasks; sides that
+grow with the corpus are merged at every size and never broadcast.  Verified means
 ``100 * |A & B| >= percent * |A | B|`` on the full sets of the words themselves, no hashes.
 
 With 26 bands of 5 rows a pair of similarity 0.85 misses all buckets with a probability of 3e-7;
@@ -229,10 +230,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     classes = table(seen.where("key is not null and n > 0").groupBy("same").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     buckets = classes.select("node", "n", F.posexplode("bands").alias("nth", "band"))
     counts = table(buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "counts")
-    shared = table(buckets.join(counts, "band"), "shared")
+    shared = table(buckets.join(counts.hint("merge"), "band"), "shared")
     central = shared.join(shared.groupBy("node").agg(F.sum("m").alias("company")), "node")
     hubs = central.groupBy("band").agg(F.max(F.struct("company", F.bitwise_not("node").alias("not_node"), "n")).alias("h")).select("band", F.bitwise_not("h.not_node").alias("hub"), F.col("h.n").alias("hub_n"))
-    members = table(shared.join(table(hubs, "hubs"), "band"), "members")
+    members = table(shared.join(table(hubs, "hubs").hint("merge"), "band"), "members")
 
     pairs = members.where(f"node <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("u"), F.col("hub_n").alias("n"), F.col("node").alias("v"), "m")
     parts = F.ceil(F.max("m") * F.max("n") / block_shingles)
@@ -241,7 +242,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     n_buckets = max(1, math.ceil((size or 0) / block_shingles), min(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     asked = stars.select("u", "part", F.col("v").alias("node")).unionByName(stars.select("u", "part", F.col("u").alias("node")).distinct())
     texts = rows.select(F.col("key").alias("node"), "text").where("node is not null").mapInArrow(_packed, "node bigint, packed binary")
-    held = table(texts.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("packed").alias("packed")), "held")
+    held = table(texts.join(members.select("node").distinct().hint("merge"), "node").groupBy("node").agg(F.min("packed").alias("packed")), "held")
     dealt = asked.join(held, "node").withColumn("bucket", F.pmod(F.xxhash64("u", "part"), F.lit(n_buckets)))
     links = table(dealt.groupBy("bucket").applyInArrow(_stars(percent), "u bigint, v bigint"), "links")
 
@@ -250,7 +251,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     met = table(met, "met")
     second = links.join(met, "u").groupBy("v").agg(F.min("label").alias("label"))
     labels = second.unionByName(met.withColumnRenamed("u", "v")).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("label"))
-    labelled = table(members.where("m > 2").select("nth", "band", "node", "n", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    labelled = table(members.where("m > 2").select("nth", "band", "node", "n", "hub").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     size = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     mixed = labelled.groupBy("nth", "band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("main"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("content"), F.count("*").alias("m"), F.sum("n").alias("all")).where("least <> most")
     once = mixed.groupBy("content", "m", "all").agg(F.min(F.struct("nth", "band", "main")).alias("b")).select("b.band", "b.main")
@@ -266,7 +267,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     named = classes.select("same", "node").join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     # written, so that the join deals both sides out anew and can split a large group of copies
-    found = seen.select("key", "n", "same").join(table(named, "named"), "same", "left")
+    found = seen.select("key", "n", "same").join(table(named, "named").hint("merge"), "same", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
