@@ -392,3 +392,7 @@ WITH {lz('documents')}, stream AS ({ORACLES['stream_replay_first_catch']})
 SELECT doc_id, round({RATIO}, 6) AS ratio, json_valid(text) AS is_json, 2 AS n_leaves, true AS found, checks,
     CASE WHEN stream.n_chars < 240 THEN -1 WHEN stream.n_chars < 300 THEN stream.n_chars ELSE least(stream.n_chars, 300 + 400 * (checks - 1)) END::BIGINT AS last_check
 FROM documents JOIN stream USING (doc_id) LEFT JOIN lz ON lz.s = text[1:4000]"""
+ORACLES["envelope_custom"] = """
+SELECT conv_id, turn, coalesce(text, '') AS text, conv_id % 3 = 0 AS has_tool_calls, CASE WHEN turn % 4 = 1 THEN 'length' ELSE 'done' END AS stop, CASE WHEN conv_id % 3 = 0 THEN '{"q":' || turn || '}' ELSE '' END AS arguments,
+    'turn ' || turn AS prompt, coalesce(text, '') AS delta, conv_id % 3 = 0 AS tool_call, CASE WHEN turn % 2 = 1 THEN CASE WHEN turn % 4 = 1 THEN 'length' ELSE 'done' END END AS event_stop FROM conversations WHERE role = 'assistant'"""
+ORACLES["verdict_callbacks"] = f"{WHOLE_CHAT[0]} SELECT doc_id, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons FROM scored"

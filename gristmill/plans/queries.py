@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import json as j
 from ..functions import sql as names
 from ..functions import text as t
+from ..functions import variant as var
 from ..operators import calibrate as c
 from ..operators import check as k
 from ..operators import detectors as d
@@ -317,6 +318,33 @@ def _envelope(surface: str):
     return query
 
 
+#: A provider that the library does not know, described by accessors.
+REPLIES = e.Surface(
+    text=lambda v: F.array_join(F.transform(var.as_array(var.at(v, "reply.parts")), lambda p: var.as_string(var.at(p, "body"))), ""),
+    has_tool_calls=lambda v: F.size(var.as_array(var.at(v, "reply.calls"))) > 0,
+    finish_reason=lambda v: var.as_string(var.at(v, "why")),
+    arguments=lambda v: F.transform(var.as_array(var.at(v, "reply.calls")), lambda x: e.arguments_text(var.at(x, "args"))),
+    prompt=lambda r: var.as_string(var.at(r, "asked")),
+    delta=lambda v: var.as_string(var.at(v, "piece")),
+    event_tool_call=lambda v: var.kind(var.at(v, "call")).isNotNull(),
+    event_finish_reason=lambda v: var.as_string(var.at(v, "why")),
+)
+
+
+def envelope_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes and stream events of a provider given as a ``Surface`` of the user's own."""
+    text, why = F.col("text"), F.when(F.col("turn") % 4 == 1, "length").otherwise("done")
+    calls = F.when(F.col("conv_id") % 3 == 0, F.array(F.struct(F.struct(F.col("turn").alias("q")).alias("args"))))
+    parts = F.array(F.struct(F.substring(text, 1, 10).alias("body")), F.struct(F.substring(text, F.lit(11), F.length(text)).alias("body")))
+    response = F.to_json(F.struct(F.struct(parts.alias("parts"), calls.alias("calls")).alias("reply"), why.alias("why")))
+    event = F.to_json(F.struct(text.alias("piece"), F.when(F.col("conv_id") % 3 == 0, "f").alias("call"), F.when(F.col("turn") % 2 == 1, why).alias("why")))
+    said = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = said.select("conv_id", "turn", response.alias("response"), F.to_json(F.struct(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("asked"))).alias("request"), event.alias("event"))
+    found = e.read_envelopes(rows, REPLIES, request="request").withColumnRenamed("finish_reason", "stop")
+    both = e.read_stream_events(found, REPLIES)
+    return both.select("conv_id", "turn", "text", "has_tool_calls", "stop", F.array_join("arguments", "|").alias("arguments"), "prompt", "delta", "tool_call", F.col("finish_reason").alias("event_stop"))
+
+
 def score_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = e.score_envelopes(_responses("openai_chat")(spark, sf_dir), ["conv_id", "turn"], "openai_chat", k.PRESETS["chat"], request="request", check_tool_arguments=True, check_prompt_echo=True)
     return found.select("conv_id", "turn", F.col("verdict.ok").alias("ok"), F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons"))
@@ -546,6 +574,23 @@ def written_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("lines", *[F.lit(counts[c]).cast("long").alias(c) for c in ("checked", "degenerate", "unrecognised", "exit_code")])
 
 
+def verdict_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of streamed documents as a callback gets them, one call for each micro-batch; the callback keeps them in a table."""
+    folder = _shared_folder(spark, "callbacks")
+    rows = _documents(spark, sf_dir).select("doc_id", "text")
+    stream = _in_waves(spark, [rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")], folder)
+
+    def call(verdicts: DataFrame, batch: int) -> None:
+        verdicts.select("doc_id", F.col("verdict.ok").alias("ok"), F.array_join(F.transform("verdict.reasons", lambda r: r["code"]), ",").alias("reasons")).write.mode("overwrite").parquet(f"{folder}/kept/batch={batch}")
+
+    query = sinks.for_each_verdict(k.check_output(stream, "text", k.PRESETS["chat"]), call, f"{folder}/checkpoint")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema("doc_id bigint, ok boolean, reasons string").parquet(f"{folder}/kept").select("doc_id", "ok", "reasons")
+
+
 def check_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of every reason, for people."""
     rows = k.check_output(_documents(spark, sf_dir), "text", k.PRESETS["longForm"].but(max_compressibility=None))
@@ -609,6 +654,7 @@ QUERIES = {
     "envelope_openai_responses": _envelope("openai_responses"),
     "envelope_anthropic": _envelope("anthropic"),
     "envelope_ai_sdk": _envelope("ai_sdk"),
+    "envelope_custom": envelope_custom,
     "score_envelopes": score_envelopes,
     "tool_arguments_worst": tool_arguments_worst,
     "merge_verdicts": merge_verdicts,
@@ -629,5 +675,6 @@ QUERIES = {
     "scan_scores": scan_scores,
     "exit_codes": exit_codes,
     "written_footer": written_footer,
+    "verdict_callbacks": verdict_callbacks,
     "check_messages": check_messages,
 }
