@@ -144,3 +144,30 @@ def test_text_helpers(spark):
     assert scores(spark, ["a b", " ", "🙂é"], t.chars) == [["a", "b"], [], ["🙂", "é"]]
     assert scores(spark, ["", "日本語", "ab日"], t.non_spaced_ratio) == pytest.approx([0, 1, 1 / 3])
     assert scores(spark, ["a b c d", "a"], lambda c: t.runs(t.words(c), 3)) == [["a b c", "b c d"], []]
+
+
+def test_ends_of_long_texts_are_those_of_the_whole(spark):
+    odd = ["", "a b", "word " * 3000, "x" * 9000, "\u3000 \n" * 4000 + "end here", "Σ" * 5000 + " ΟΔΟΣ " * 400, "a" + " " * 5000 + "b c", "don't " * 1500 + "-" * 3990, "字" * 9000, "İ" * 4500 + " I " * 300]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)] + [(99, None)], "i int, x string")
+    last = lambda w: F.slice(w, F.greatest(F.size(w) - 199, F.lit(1)), F.lit(200))
+    found = rows.select("i", last(t.last_words(F.col("x"), 200)).alias("a"), last(t.words(F.col("x"))).alias("b"), t.last_non_spaces(F.col("x"), 400).alias("c"), F.right(t.without_spaces(F.col("x")), F.lit(400)).alias("d")).collect()
+    assert len(found) == len(odd) + 1
+    for r in found:
+        assert r["a"] == r["b"] and r["c"] == r["d"], r["i"]
+
+
+def test_white_space_is_the_same_set_everywhere(spark):
+    every = "".join(chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000)
+    found = spark.createDataFrame([(every,)], "x string").select(t.without_spaces(F.col("x")), F.regexp_replace("x", f"[{t.SPACES}]+", "")).head()
+    assert found[0] == found[1] and len(every) - len(found[0]) == len(t.SPACE_CHARS)
+
+
+def test_a_parse_stops_once_the_score_is_settled():
+    assert d.lz_ratio(PROSE, enough=0.32) < d.lz_ratio(PROSE) and d.lz_ratio(PROSE, enough=0.32) >= 0.32
+    assert d.lz_ratio("ab" * 400, enough=0.32) == d.lz_ratio("ab" * 400) < 0.32
+
+
+def test_scripts_without_spaces_are_asked_for_only_above_their_first_letter(spark):
+    texts = {"plain": 0.0, "": 0.0, "ก": 1.0, "字a": 0.5, "カナ": 1.0, "éΩж": 0.0, "𠀀a": 0.5, "ᾳ": 0.0, "!!": 0.0}
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert {r[0]: r[1] for r in rows.select("x", t.non_spaced_ratio(F.col("x"))).collect()} == texts
