@@ -226,3 +226,39 @@ def test_policies(spark):
         assert "degenerate output" in str(e)
     else:
         raise AssertionError("the policy throw did not fail")
+
+
+def test_replay_groups_small_rows_without_sorting_them(spark):
+    rows = spark.createDataFrame([("a", LOOP), ("b", PROSE)], "id string, text string")
+    for early, options in ((False, PRESETS["chat"]), (True, PRESETS["chat"].but(expect_script=("cyrillic",)))):
+        plan = guard.replay(rows, ["id"], "text", options, 100, guard.Schedule(early_document=early))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+        assert not any("_text" in line for line in plan.split("\n") if "Aggregate" in line or "Exchange" in line)
+
+
+def test_replay_names_the_codes_of_windows_and_heads_in_order(spark):
+    rows = spark.createDataFrame([("a", "loop " * 160), ("b", " " * 700), ("c", "x")], "id string, text string")
+    found = guard.replay(rows, ["id"], "text", PRESETS["chat"].but(expect_script=("cyrillic",)), 700, guard.Schedule(early_document=True))
+    assert {r["id"]: (r["n_chars"], r["checks"], r["caught_at"], r["reasons"]) for r in found.collect()} == {
+        "a": (800, 1, 700, ["REPETITION", "TAIL_LOOP", "SCRIPT_MISMATCH"]), "b": (700, 1, 700, ["EMPTY", "EMPTY"]), "c": (1, 0, None, None),
+    }
+
+
+def test_spans_are_measured_once_whatever_their_kind(spark):
+    spans = spark.createDataFrame([("a", 3, "end", "Hm,", "length")], guard.SPAN)
+    plan = guard.judge(spans, PRESETS["chat"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate inline") <= 4 and plan.count("_lz_ratio_below(") <= 2
+
+
+def test_a_response_that_comes_whole_asks_state_once(monkeypatch):
+    asked = []
+    for name in ("exists", "get", "clear", "update", "appendValue", "containsKey"):
+        monkeypatch.setattr(State, name, lambda self, *a, was=getattr(State, name), name=name: (asked.append(name), was(self, *a))[1])
+    assert Fed()((0, "A fine ", None, False, False), (1, "answer.", "stop", True, False)) == [(14, "end", "A fine answer.", "stop")]
+    assert asked == ["exists"]
+
+
+def test_a_policy_that_keeps_all_needs_no_failures(spark):
+    chunks = guard.chunked(spark.createDataFrame([("a", "x" * 30)], "id string, text string"), "id", "text", 10)
+    failures = spark.createDataFrame([("a", 20)], "response_id string, caught_at long")
+    assert "Join" not in guard.pass_through(chunks, failures, "ignore")._jdf.queryExecution().executedPlan().toString()
