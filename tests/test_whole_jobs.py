@@ -1,5 +1,6 @@
 """Queries that do the whole job, on small tables made for what a shorter job would lose."""
 
+from gristmill.functions import sql as names
 from gristmill.plans.queries import QUERIES
 from tests.test_detectors import PROSE
 
@@ -38,3 +39,22 @@ def test_full_presets_count_what_only_low_entropy_catches(spark, tmp_path):
     assert sorted('"LOW_ENTROPY"' in r["value"].split('"scores"')[0] for r in run("verdict_lines")) == [False, True]
     assert {r["conv_id"]: "LOW_ENTROPY" in r["reasons"] for r in run("score_envelopes")} == {0: False, 3: True}
     assert {r["conv_id"]: r["n_reasons"] for r in run("merge_verdicts")} == {0: 2, 3: 1}
+
+
+def test_names_in_sql_get_bounded_batches_and_a_setting_of_the_users_own_stays(spark):
+    before = spark.conf.get(names._BATCH)
+    try:
+        for own, then in (("10000", str(names.BATCH_ROWS)), ("77", "77")):
+            spark.conf.set(names._BATCH, own)
+            names.register(spark)
+            assert spark.conf.get(names._BATCH) == then
+    finally:
+        spark.conf.set(names._BATCH, before)
+
+
+def test_benchmark_echo_makes_the_runs_of_documents_once(spark, tmp_path):
+    folder = stored(spark, tmp_path, documents=([(1, "a b c d", "en", "s"), (2, "a b c d e f", "en", "s")], DOCUMENTS), benchmark=([(1, "b c d e f")], "item_id long, text string"))
+    found = QUERIES["benchmark_echo"](spark, folder)
+    assert [tuple(r) for r in found.collect()] == [(2, 2, 1, 0.5)]
+    counted = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "AS n_runs" in line]
+    assert counted and not any("transform(" in line for line in counted)
