@@ -285,3 +285,19 @@ def test_replay_takes_the_length_of_a_text_once(spark):
     rows = spark.createDataFrame([("a", LOOP), ("b", PROSE)], "id string, text string")
     plan = guard.replay(rows, ["id"], "text", "chat", 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0" in plan and plan.count("length(_text") == 1 and "length(coalesce(text" not in plan
+
+
+def test_only_windows_that_may_fail_are_handed_on():
+    good, chunks = " ".join(f"w{i} x{i * 7}" for i in range(400)), lambda t: [(i, t[i * 100 : i * 100 + 100], None, (i + 1) * 100 >= len(t), False) for i in range(-(-len(t) // 100))]
+    both = good[:1000] + " loop" * 200
+    for text, at_once in ((good, True), (good, False), (both, True), (both, False)):
+        found = []
+        for passing, windows in ((None, True), (guard.window_options(PRESETS["chat"]), True), (None, False)):
+            fed = Fed()
+            fed.of = guard.Spans(guard.Schedule(), None, False, False, False, passing, windows)
+            fed.of.init(fed.handle)
+            found.append(fed(*chunks(text)) if at_once else [x for c in chunks(text) for x in fed(c)])
+        every, doubtful, ends = found
+        assert ends == every[-1:] and len(every) > 4 and [x for x in every if x in doubtful] == doubtful
+        # the bounds are coarse where a window cuts a word, but what fails is kept
+        assert doubtful == ends if text is good else every[-2] in doubtful and len(doubtful) < len(every)
