@@ -179,3 +179,12 @@ def test_strict_json_functions(spark):
     found = sorted(rows.collect(), key=lambda r: r["i"])
     assert [r["ok"] for r in found] == [True, False, False, True, False, False, False, None, False]
     assert found[0]["leaves"] == ["x", "y", "z"] and found[3]["leaves"] == ["s"] and found[1]["leaves"] is None
+
+
+def test_assert_output_believes_a_verdict_that_is_there(spark):
+    rows = check_output(spark.createDataFrame([("A calm answer about boats and rain.",), ("go " * 90,)], "text string"), "text", "chat")
+    good = assert_output(rows.where("verdict.ok"), "text", "chat", "verdict")
+    assert [r["text"] for r in good.collect()] == ["A calm answer about boats and rain."] and good.columns == ["text", "verdict"]
+    assert good._jdf.queryExecution().executedPlan().toString().count("_lz_ratio_below(") <= 2
+    with pytest.raises(Exception, match="degenerate output: "):
+        assert_output(rows, "text", "chat", "verdict").collect()
