@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from gristmill.functions import json as j
 from gristmill.functions.json import is_json, json_result
+from gristmill.operators import plain
 from gristmill.operators import verdicts as v
-from gristmill.operators.check import PRESETS, CheckOptions, assert_output, check_output, flat_scores
+from gristmill.operators.check import PRESETS, CheckOptions, assert_output, check_output, flat_scores, measures
 from tests.test_detectors import LOOP, PROSE
 
 
@@ -188,3 +189,23 @@ def test_assert_output_believes_a_verdict_that_is_there(spark):
     assert good._jdf.queryExecution().executedPlan().toString().count("_lz_ratio_below(") <= 2
     with pytest.raises(Exception, match="degenerate output: "):
         assert_output(rows, "text", "chat", "verdict").collect()
+
+
+def test_plain_texts_are_counted_as_the_detectors_would(spark, monkeypatch):
+    draw = random.Random(5)
+    parts = ["a", "b ", "the and of ", "Der Die ", " ", "é", "'", "-", "x y ", "\n", "ß", "Σ", "`", "日本", "²", "İ", "µ", "Жы ", "https://e.org ", "word ", "ʼ", "ǅ", "٣"]
+    texts = [None, "", "ab", PROSE, "loop " * 50, "x y z " * 2000, PROSE * 12] + ["".join(draw.choices(parts[: draw.choice((6, 12, len(parts)))], k=draw.randrange(1, 150))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t, ("en", "de", "xx", None)[i % 4]) for i, t in enumerate(texts)], "id int, text string, lang string")
+    options = PRESETS["chat"].but(expect_lang=F.col("lang"), expect_script=("latin", "klingon"), max_repetition=0.1)
+    told = {r["id"]: r["verdict"] for r in check_output(rows, "text", options).collect()}
+    monkeypatch.setattr(plain, "counts", lambda text, *more: (None,) * 6)
+    assert told == {r["id"]: r["verdict"] for r in check_output(rows, "text", options).collect()}
+    # every text of plain letters is told, with or without a loop
+    monkeypatch.undo()
+    assert plain.counts("loop " * 50, 3, False, ("latin",)) == (1 - 1 / 48, False, 50, None, 200, 200) and plain.counts("日本", 3, False, ()) == (None,) * 6
+
+
+def test_words_of_plain_texts_are_not_taken_apart_again(spark):
+    rows = spark.createDataFrame([(PROSE,)], "text string")
+    staged, _ = measures(rows, F.col("text"), PRESETS["chat"])
+    assert [r["_m_words"] for r in staged.collect()] == [None]

@@ -171,3 +171,15 @@ def test_scripts_without_spaces_are_asked_for_only_above_their_first_letter(spar
     texts = {"plain": 0.0, "": 0.0, "ก": 1.0, "字a": 0.5, "カナ": 1.0, "éΩж": 0.0, "𠀀a": 0.5, "ᾳ": 0.0, "!!": 0.0}
     rows = spark.createDataFrame([(x,) for x in texts], "x string")
     assert {r[0]: r[1] for r in rows.select("x", t.non_spaced_ratio(F.col("x"))).collect()} == texts
+
+
+def test_least_tokens_are_never_more_than_a_parse_has():
+    draw = random.Random(2)
+    texts = [PROSE, "ab" * 300, "日本語" * 40, "é" * 100, "\U0001f600a" * 50] + ["".join(draw.choices("abcdef ghi"[: draw.randrange(1, 11)], k=draw.randrange(64, 1500))) for _ in range(200)]
+    for text in texts:
+        for window in (8, 1024):
+            least, ratio = d._least_tokens(text, window, 4), d.lz_ratio(text, window)
+            assert least <= round(ratio * len(text)) and d.lz_ratio(text, window, enough=0.3) >= min(0.3, ratio) and (ratio >= 0.3 or d.lz_ratio(text, window, enough=0.3) == ratio)
+    # prose is told without a parse
+    prose = "".join(draw.choices("abcdefghijklmnop ", k=1000))
+    assert d._least_tokens(prose, 1024, 4) >= 0.32 * len(prose)
