@@ -301,3 +301,40 @@ def test_only_windows_that_may_fail_are_handed_on():
         assert ends == every[-1:] and len(every) > 4 and [x for x in every if x in doubtful] == doubtful
         # the bounds are coarse where a window cuts a word, but what fails is kept
         assert doubtful == ends if text is good else every[-2] in doubtful and len(doubtful) < len(every)
+
+
+def test_chunks_that_are_applied_together_are_one_row():
+    of = guard.Spans(guard.Schedule(), None, False, True, False, guard.window_options(PRESETS["chat"]))
+    of.init(Handle())
+    give = lambda *chunks: [r for out in of.handleInputRows(("a",), iter([pd.DataFrame(chunks, columns=["seq", "delta", "finish_reason", "is_end", "tool_call"]).assign(event_ms=0)]), Now()) for r in out.itertuples(index=False)]
+    first = give((1, "two ", None, False, False), (0, "one ", None, False, False), (3, "four", None, True, False))
+    assert [(r.kind, r.seq, r.deltas, r.ends) for r in first] == [("chunks", 0, ["one ", "two "], [4, 8])]
+    assert [(r.kind, r.seq, r.deltas, r.ends, r.span) for r in give((2, "three ", None, False, False))] == [("end", 3, None, None, "one two three four"), ("chunks", 2, ["three ", "four"], [14, 18], None)]
+
+
+def test_short_responses_ask_little_of_state(monkeypatch):
+    asked = []
+    for name in ("exists", "get", "clear", "update", "appendValue", "containsKey"):
+        monkeypatch.setattr(State, name, lambda self, *a, was=getattr(State, name), name=name: (asked.append(name), was(self, *a))[1])
+    fed = Fed()
+    assert fed((0, "A fine ", None, False, False)) == [] and asked == ["exists", "update"]
+    assert fed((1, "answer.", "stop", True, False)) == [(14, "end", "A fine answer.", "stop")] and asked[2:] == ["exists", "get", "clear"] and fed.holds() == set()
+
+
+@pytest.mark.parametrize("size", (700, 1999, 2001, 900))
+def test_text_is_whole_whether_or_not_it_outgrows_a_window(size):
+    text, fed = "".join(chr(97 + i % 23) for i in range(4 * size)), Fed()
+    for i in range(4):
+        found = fed((i, text[i * size : i * size + size], None, i == 3, False))
+    assert found[-1] == (4 * size, "end", text, None) and fed.holds() == set()
+
+
+def test_chunks_are_cut_in_one_pass_over_a_text(spark):
+    texts = ["", None, "a", "x" * 10, "é\n日\U0001f600" * 7, "ab\r\n\u2028" * 5]
+    chunks = guard.chunked(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", 10)
+    found = {}
+    for r in chunks.orderBy("response_id", "seq").collect():
+        found.setdefault(int(r["response_id"]), []).append((r["seq"], r["delta"], r["is_end"]))
+    cut = lambda t: [t[i : i + 10] for i in range(0, len(t), 10)] or [""]
+    assert found == {i: [(k, d, k == len(cut(t or "")) - 1) for k, d in enumerate(cut(t or ""))] for i, t in enumerate(texts)}
+    assert "substring" not in chunks._jdf.queryExecution().optimizedPlan().toString()
