@@ -24,9 +24,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 BANDS = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
@@ -155,19 +157,20 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, bands: int = BANDS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score`` for integer vectors ``(key, v)``; ``is_query`` picks the queries."""
     rows = vectors.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
-    edges = rows.agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)], 10_000)).first()[0] or []
-    band = sum((F.when(F.col("norm") >= e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    banded = rows.withColumn("band", band)
-    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("salts"), F.max("norm").alias("longest"))
+    edges = sorted(set(rows.agg(F.percentile_approx("norm", [i / bands for i in range(1, bands)], 10_000)).first()[0] or []))
+    band = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: F.col("norm") >= e))
+    # each step reads the tables of the ones before: one plan of all of them is more than the driver should hold
+    banded = table(rows.withColumn("band", band), "topk_vectors")
+    highest = F.max("band").over(Window.partitionBy("dim"))
     # at most one row for each dimension and band
-    placed = banded.join(sizes.drop("longest"), ["dim", "band"]).withColumn("salt", F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("salts")).cast("int"))
-    asked = rows.where(is_query).select("key", "v", "dim", "norm", F.xxhash64("v").alias("qhash")).distinct()
+    sizes = table(banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("salts"), F.max("norm").alias("longest")).withColumn("top", F.col("band") == highest), "topk_bands")
+    placed = banded.join(sizes.select("dim", "band", "salts", "top"), ["dim", "band"]).withColumn("salt", F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("salts")).cast("int"))
+    asked = table(banded.where(is_query).select("key", "v", "dim", "norm", F.xxhash64("v").alias("qhash")).distinct(), "topk_queries")
     n_query = max(1, math.ceil(asked.count() / query_rows))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n_query)).cast("int"))
-    top = sizes.groupBy("dim").agg(F.max("band").alias("band"))
-    first = _blocks(placed.join(top, ["dim", "band"], "left_semi"), asked.withColumn("bound", F.lit(None).cast("double")).join(sizes.join(top, ["dim", "band"], "left_semi"), "dim"), k)
+    first = table(_blocks(placed.where("top"), asked.withColumn("bound", F.lit(None).cast("double")).join(sizes.where("top"), "dim"), k), "topk_first")
     bounds = _top(first, k).where(F.col("rank") == k).select(F.col("qkey").alias("key"), "qhash", F.col("score").cast("double").alias("bound"))
     able = F.col("bound").isNull() | (F.col("bound") <= F.col("norm") * F.col("longest") * (1 + 1e-9))
-    further = asked.join(bounds, ["key", "qhash"], "left").join(sizes.join(top, ["dim", "band"], "left_anti"), "dim").where(able)
-    rest = _blocks(placed.join(top, ["dim", "band"], "left_anti"), further, k)
+    bounded = table(asked.join(bounds, ["key", "qhash"], "left"), "topk_bounded")
+    rest = _blocks(placed.where("not top"), bounded.join(sizes.where("not top"), "dim").where(able), k)
     return _top(first.unionByName(rest), k).select(F.col("qkey").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vkey").alias("vec_id"), "score")

@@ -485,6 +485,14 @@ def test_top_k_equals_brute_force(spark, bands, block_rows, query_rows):
     assert topk_search.exact_top_k(topk_search.quantised(rows.limit(0), "vec_id", "embedding"), F.col("key") % 10 == 0).count() == 0
 
 
+def test_top_k_is_planned_in_steps(spark):
+    # the driver holds each step's plan and its generated code; as one plan it named 77 exchanges
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, i / 50]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    found = topk_search.exact_top_k(topk_search.quantised(rows, "vec_id", "embedding"), F.col("key") % 10 == 0, 5, 5, 16, 7)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+    assert found.count() == 30
+
+
 # --- language
 
 
