@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gristmill.functions import json as j
 from gristmill.functions.json import is_json, json_result
+from gristmill.operators import detectors as d
 from gristmill.operators import plain
 from gristmill.operators import verdicts as v
 from gristmill.operators.check import PRESETS, CheckOptions, assert_output, check_output, flat_scores, measures
@@ -209,3 +210,22 @@ def test_words_of_plain_texts_are_not_taken_apart_again(spark):
     rows = spark.createDataFrame([(PROSE,)], "text string")
     staged, _ = measures(rows, F.col("text"), PRESETS["chat"])
     assert [r["_m_words"] for r in staged.collect()] == [None]
+
+
+def test_the_entropy_of_plain_texts_is_told_with_their_counts(spark):
+    # one pass in Python over each text: a second UDF for the ratio got the texts again
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab cdé.") for _ in range(n)) for n in (0, 63, 64, 900, 5000)] + ["loop " * 300, "   " + "x" * 63 + "   ", "日本" * 90, "a\U0001f600" * 60, None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    checked = check_output(rows, "text", "chat")
+    plan = checked.select("i", "verdict")._jdf.queryExecution().executedPlan().toString()
+    assert "_lz_ratio_below(" not in plan and plan.count("ArrowEvalPython [") == 1
+    found = {x["i"]: x["s"] for x in checked.select("i", F.col("verdict.scores")["LOW_ENTROPY"].alias("s")).collect()}
+    alone = {x["i"]: x["s"] for x in rows.select("i", d.compressibility_score(F.col("text")).alias("s")).collect()}
+    assert all(found[i] == alone[i] for i, x in enumerate(texts) if x)
+
+
+def test_lowered_texts_are_those_of_the_detectors():
+    every = "".join(sorted(plain.KNOWN))
+    assert plain.lowered(every) == plain.spaced(every, set(every))
+    assert all((plain.lowered(c) is None) == (c not in plain.KNOWN) for c in map(chr, [*range(0xD800), 0x1F600]))

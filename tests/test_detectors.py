@@ -183,3 +183,17 @@ def test_least_tokens_are_never_more_than_a_parse_has():
     # prose is told without a parse
     prose = "".join(draw.choices("abcdefghijklmnop ", k=1000))
     assert d._least_tokens(prose, 1024, 4) >= 0.32 * len(prose)
+
+
+def test_sorted_matches_parse_as_a_search_does(monkeypatch):
+    r = random.Random(11)
+    for alphabet in ("ab", "ab ", "abcdefgh é", "日本語あ x", "".join(map(chr, range(0x4E00, 0x4F90))), "ab\U0001f600"):
+        for n in (64, 300, 900):
+            text = "".join(r.choice(alphabet) for _ in range(n))
+            for x in (text, text[: n // 3] * 3):
+                for window in (30, 1024):
+                    assert d.lz_ratio(x, window) == pytest.approx(lz(x, window))
+    prose = "".join(r.choice("abcdefghijklmnop ") for _ in range(3000))
+    assert max(d._matches(d._codes(prose), d._fours(d._codes(prose)), 1024)) <= d.TOLD
+    monkeypatch.setattr(d, "REPEATS", 0)
+    assert d.lz_ratio(LOOP) == pytest.approx(lz(LOOP))
